@@ -89,15 +89,17 @@ def repeated_words() -> Column:
               a -> a.n)))) end""")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
-    """doc_id, the counts, base_failed, llr and kept, one row a row of ``docs``; see the module."""
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_limit: int = TRUSTED_LIMIT, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, the counts, base_failed, llr and kept, one row a row of ``docs``; ``carry`` names columns to keep beside them."""
+    carry = [c for c in carry or [] if c not in ("doc_id", "text")]
     table = doubles_literal(log_ratios(docs, trusted, buckets, trusted_limit))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = "filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     return (
-        with_words(docs, "doc_id", "text")
+        with_words(docs.select("doc_id", "text", F.struct(*carry).alias("_carry")) if carry else docs, "doc_id", "text", *(["_carry"] if carry else []))
         .select(
             "doc_id",
+            *(["text", "_carry"] if carry else []),
             F.size("words").cast("long").alias("n_words"),
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -108,4 +110,6 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, b
         )
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+        .select("*", *([F.col("_carry")[c].alias(c) for c in carry]))
+        .drop("_carry")
     )

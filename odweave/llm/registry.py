@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_llr, secrets
+from . import chaining, chat, decontam, line_join, mixing, quality_llr, quality_rff, secrets, suffix_dedup, superminhash
 from .common import table
 
 
@@ -32,8 +32,42 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality(table(spark, sf_dir, "documents"), good)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drop = line_join.dedup_lines(docs)
+    kept = line_join.without_lines(docs, drop).select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return kept.join(drop.select("doc_id", "n_removed", "n_fuzzy"), "doc_id", "left").select(
+        "doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_fuzzy", F.lit(0)).alias("n_fuzzy"), "kept_chars", "kept_sha256"
+    )
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rff.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.col("hits.item_id").alias("item_ids"), F.col("hits.distance").alias("distances"), (F.size("hits") > 0).alias("contaminated"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return chaining.passage_summary(docs, chaining.shared_passages(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op4_source_mixing, op5_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_chat_format, op2_minhash_dedup, op3_line_dedup, op4_source_mixing, op5_secret_scan,
+        op6_quality_classifier, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_substring_dedup,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

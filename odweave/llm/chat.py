@@ -6,7 +6,7 @@ is the concatenation of its turns.
 
 Grammar of the parser: conversation = turn*; a turn starts with one of the three
 openers and ends at the first matching closer; in ``[ROLE]`` the role ends at the
-first colon (a colon or a backslash in a role is written ``\.`` or ``\\``).
+first colon (what a role's name must not hold is percent-coded, see NAME_CODES).
 Inside a body, a control string whose first character is followed by backslashes
 stands for the same with one backslash less.
 
@@ -37,10 +37,14 @@ from .common import partitions
 CONTROL = r"(?:/?s>|/?INST\]|/?ROLE\])"
 CONFLICT = r"([<\[])(\\*)(?=" + CONTROL + ")"
 BARE = r"[<\[]" + CONTROL
+# What a role's name must not hold as it is; the escape itself is coded first and read last.
+NAME_CODES = (("%", "%25"), (":", "%3A"), ("[", "%5B"), ("<", "%3C"))
 
 
 def _render(role: Column, body: Column) -> Column:
-    name = F.regexp_replace(F.regexp_replace(role, r"\\", r"\\\\\\\\"), ":", r"\\\\.")
+    name = role
+    for char, code in NAME_CODES:
+        name = F.replace(name, F.lit(char), F.lit(code))
     return (
         F.when(role == "assistant", F.concat(F.lit("<s>"), body, F.lit("</s>")))
         .when(role == "user", F.concat(F.lit("[INST]"), body, F.lit("[/INST]")))
@@ -60,7 +64,9 @@ def parse_turn(segment: Column) -> tuple[Column, Column, Column]:
     opened = F.when(segment.startswith("<s>"), 1).when(segment.startswith("[INST]"), 2).otherwise(3)
     body = F.when(opened == 1, F.regexp_extract(segment, TURN, 1)).when(opened == 2, F.regexp_extract(segment, TURN, 2)).otherwise(F.regexp_extract(segment, TURN, 4))
     raw = F.regexp_extract(segment, TURN, 3)
-    name = F.regexp_replace(F.regexp_replace(raw, r"\\\.", ":"), r"\\\\", r"\\\\")
+    name = raw
+    for char, code in reversed(NAME_CODES):
+        name = F.replace(name, F.lit(code), F.lit(char))
     role = F.when(opened == 1, "assistant").when(opened == 2, "user").otherwise(name)
     # A turn is well formed if it matches as a whole and no bare control string is left in its body.
     return role, _unescape(body), segment.rlike(TURN) & ~body.rlike(BARE)
@@ -76,7 +82,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     plain = src.withColumn("_plain", _render(F.col("role"), F.col("text")))
     role, text, good = parse_turn(F.col("_plain"))
     same = good & (role == F.col("role")) & (text == F.col("text"))
-    escaped = F.regexp_replace("text", CONFLICT, r"$1$2\\\\")
+    escaped = F.regexp_replace("text", CONFLICT, r"$1$2\\")
     tried = plain.withColumn("segment", F.when(same, F.col("_plain")).otherwise(_render(F.col("role"), escaped)))
     role, text, good = parse_turn(F.col("segment"))
     kept = good & (role == F.col("role")) & (text == F.col("text"))

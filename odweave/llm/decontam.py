@@ -37,7 +37,7 @@ def normal(text: str | None) -> str:
 def find(pattern: dict[str, int], m: int, text: str, limit: int) -> tuple[int, int]:
     """(least distance, end) of the pattern anywhere in ``text``, by Myers' bit-parallel columns; distance limit + 1 if none is within ``limit``."""
     mask, top = (1 << m) - 1, 1 << (m - 1)
-    up, down, score, best, end = mask, 0, m, limit + 1, 0
+    up, down, score, best, end = mask, 0, m, min(m, limit + 1), 0
     for j, c in enumerate(text):
         eq = pattern.get(c, 0)
         v = eq | down

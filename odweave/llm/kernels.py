@@ -118,10 +118,10 @@ def shingles(h: np.ndarray, d: np.ndarray, n_rows: int, k: int) -> tuple[np.ndar
         at = np.concatenate([[0], np.cumsum(per)])
         extra = []
         for r in short:
-            x = U(per[r])
-            for v in h[at[r] : at[r + 1]]:
-                x = mix(np.array([x], U))[0] + v * mult[1]
-            extra.append(x)
+            x = np.array([per[r]], U)
+            for i in range(at[r], at[r + 1]):
+                x = mix(x) + h[i : i + 1] * mult[1:2]
+            extra.append(x[0])
         out, rows = np.concatenate([out, mix(np.array(extra, U))]), np.concatenate([rows, short])
         o = np.argsort(rows, kind="stable")
         out, rows = out[o], rows[o]

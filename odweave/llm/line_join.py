@@ -265,7 +265,7 @@ def line_classes(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE) ->
     # A bucket's packed arrays are held by one task: their number follows the lines, a few MB each.
     buckets = max(4 * n, -(-lines.count() // 40_000))
     packed = src.select("text").mapInArrow(partial(_keys, t=t, least=least, buckets=buckets), "bucket long, keys binary, lines binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(_match, "a long, b long, key long"))
+    found = stored(packed.groupBy("bucket").applyInArrow(lambda bucket: _match(bucket), "a long, b long, key long"))
     pairs = found.where("key is null").select("a", "b").distinct()
     common = found.where("key is not null").select("key", F.col("a").alias("h")).distinct()
     pairs, common = stored(pairs), stored(common)
@@ -282,7 +282,7 @@ def line_classes(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE) ->
         dealt = common.join(size, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
         dealt = dealt.select("key", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        blocks = dealt.join(texts, "h").groupBy("key", "i", "j").applyInArrow(partial(_verify_blocks, t=t), "a long, b long")
+        blocks = dealt.join(texts, "h").groupBy("key", "i", "j").applyInArrow(lambda block: _verify_blocks(block, t), "a long, b long")
         links = links.unionByName(blocks)
     return lines, components(links)
 

@@ -154,7 +154,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row a row of ``docs``; see the module. ``labels`` has doc_id and quality."""
     x = stored(docs.select("doc_id", "text").mapInArrow(_measure, "doc_id long, x array<float>"))
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5, F.lit(0))
-    learned = stored(x.withColumn("fold", fold).where("fold <> 0").join(labels.select("doc_id", "quality").where("quality in (0, 1)"), "doc_id").select("fold", "x", F.col("quality").cast("int").alias("quality")))
+    learned = stored(x.withColumn("fold", fold).where("fold <> 0").join(labels.select("doc_id", "quality").where("quality in (0, 1)"), "doc_id").select("fold", "x", F.col("quality").cast("long").alias("quality")))
     fit = learned.where("fold > 1")
     k = len(STATS)
     sums = fit.agg(F.count("*"), *[f(F.col("x")[i].cast("double")) for i in range(k) for f in (F.avg, F.stddev_pop)]).first()
@@ -164,13 +164,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     mean, scale = np.array(sums[1::2], float), np.array(sums[2::2], float)
     scale[scale < 1e-6] = 1
     # The sums of the partitions are added in Spark; one (FEATURES + 1) x (FEATURES + 2) table reaches the driver.
-    cells = fit.select("x", "quality").mapInArrow(partial(_normal, mean=mean, scale=scale), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    cells = fit.select("x", "quality").mapInArrow(partial(_normal, mean=mean, scale=scale), "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
     a = np.zeros((FEATURES + 1, FEATURES + 2))
     a[np.asarray(cells["i"]), np.asarray(cells["j"])] = np.asarray(cells["v"])
     penalty = np.full(FEATURES + 1, RIDGE)
     penalty[0] = 0
     weights = np.linalg.solve(a[:, :-1] + np.diag(penalty) + 1e-9 * np.eye(FEATURES + 1), a[:, -1])
-    raw = learned.where("fold = 1").select("x", "quality").mapInArrow(partial(_score, mean=mean, scale=scale, weights=weights, knots=np.zeros(0), levels=np.zeros(0)), "quality int, score double")
+    raw = learned.where("fold = 1").select("x", "quality").mapInArrow(partial(_score, mean=mean, scale=scale, weights=weights, knots=np.zeros(0), levels=np.zeros(0)), "quality long, score double")
     lo, hi = -0.5, 1.5
     bins = raw.groupBy(F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") - lo) / (hi - lo) * BINS))).cast("int").alias("b")).agg(F.count("*").alias("n"), F.sum("quality").alias("s")).orderBy("b").collect()
     if bins:

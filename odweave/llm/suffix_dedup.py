@@ -344,15 +344,15 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     earliest = digest.groupBy("d").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m < x")
     copies = stored(digest.join(earliest, "d").where("doc_id > m").select("doc_id"))
     fps = known.mapInArrow(partial(_fingerprints, buckets=n, length=length, k=k), "bucket int, fps binary, docs binary")
-    shared = fps.groupBy("bucket").applyInArrow(partial(_shared, groups=n), "grp int, fps binary, docs binary")
+    shared = fps.groupBy("bucket").applyInArrow(lambda t: _shared(t, n), "grp int, fps binary, docs binary")
     dealt = src.mapInArrow(partial(_dealt, groups=n), "grp int, doc_id long, text string")
     copy_rows = copies.mapInArrow(partial(_dealt_ids, groups=n), "grp int, copy long")
     none = lambda c: F.lit(None).cast("binary").alias(c)
     marks = shared.select("grp", "fps", "docs", F.lit(None).cast("long").alias("copy")).unionByName(copy_rows.select("grp", none("fps"), none("docs"), "copy"))
-    stretches = dealt.where("doc_id is not null").groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(partial(_stretches, buckets=n, length=length, k=k), "bucket int, fps binary, docs binary, lows binary, counts binary, bytes binary")
-    found = stored(stretches.groupBy("bucket").applyInArrow(partial(_find, groups=n, length=length), "grp int, docs binary, starts binary, ends binary"))
+    stretches = dealt.where("doc_id is not null").groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda d, m: _stretches(d, m, n, length, k), "bucket int, fps binary, docs binary, lows binary, counts binary, bytes binary")
+    found = stored(stretches.groupBy("bucket").applyInArrow(lambda t: _find(t, n, length), "grp int, docs binary, starts binary, ends binary"))
     last = found.select("grp", "docs", "starts", "ends", F.lit(None).cast("long").alias("copy")).unionByName(copy_rows.select("grp", none("docs"), none("starts"), none("ends"), "copy"))
-    return dealt.groupBy("grp").cogroup(last.groupBy("grp")).applyInArrow(partial(_result, length=length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
+    return dealt.groupBy("grp").cogroup(last.groupBy("grp")).applyInArrow(lambda d, m: _result(d, m, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ from . import kernels as K
 from .common import partitions, stored
 from .graph import components
 
-U = K.U
+U, MASK = K.U, (1 << 64) - 1
 SHINGLE = 5
 REGISTERS, ROWS = 96, 4
 #: Members of a leader that go to one task.
@@ -49,8 +49,8 @@ def signatures(x: np.ndarray, off: np.ndarray, m: int = REGISTERS) -> np.ndarray
     doc = np.repeat(np.arange(n), np.diff(off))
     perm: np.ndarray | None = None
     for j in range(m):
-        r = K.mix(x + U(2 * j + 1) * U(0xA0761D6478BD642F))
-        k = j + (K.mix(x ^ (U(2 * j + 2) * U(0xE7037ED1A0B428DB))) % U(m - j)).astype(np.int64)
+        r = K.mix(x + U((2 * j + 1) * 0xA0761D6478BD642F & MASK))
+        k = j + (K.mix(x ^ U((2 * j + 2) * 0xE7037ED1A0B428DB & MASK)) % U(m - j)).astype(np.int64)
         value = j + (r >> U(11)).astype(np.float64) / float(1 << 53)
         if j == 0:
             np.minimum.at(sig, doc * m + k, value)

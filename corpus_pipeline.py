@@ -1,16 +1,63 @@
-"""The corpus pipeline: stages over documents, each one of the operators of ``odweave.llm``."""
+"""The corpus pipeline: five stages over documents, each one of the operators of ``odweave.llm``.
+
+Every stage reads what the one before has kept, and its decisions hold: documents
+that fail the quality rules go; lines that an earlier document has too go, and with
+them documents without a word left; one document of each group of near copies stays;
+documents that hold a benchmark item go; of the rest the mix takes so many words.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from odweave.llm import decontam, line_join, mixing, quality_llr, superminhash
+from odweave.llm.common import stored, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    kept = quality_llr.quality(docs, good, carry=docs.columns)
+    return kept.where("kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = line_join.without_lines(docs, line_join.dedup_lines(docs))
+    return left.where(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = superminhash.near_duplicates(docs, percent=80)
+    gone = groups.where("not kept and component_id is not null").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    rows, _ = mixing.mix(docs)
+    taken = rows.where("taken > 0").select(F.col("doc_id").alias("_d"), "size", "source_size", "target", "taken")
+    return docs.select("doc_id", "lang", "source", "n_chars").join(taken, F.col("doc_id") == F.col("_d")).drop("_d")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
+#: Hash-based draws and edit distances over lines cannot be written in SQL of another engine.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents, each one's rows stored before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

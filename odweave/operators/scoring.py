@@ -27,7 +27,9 @@ def daily_rmse(both: DataFrame, days: DataFrame, s: Settings) -> DataFrame:
 
 def period_scores(daily: DataFrame, s: Settings) -> DataFrame:
     """period (overall and each window), n_days, nrmse_diag, nrmse_offdiag, combined_nrmse. No day at all is an error."""
-    by = daily.groupingSets([[], ["cv_window"]], "cv_window").agg(F.count("*").alias("n_days"), F.avg("rmse_diag").alias("d"), F.avg("rmse_off").alias("o"))
+    sums = [F.count("*").alias("n_days"), F.avg("rmse_diag").alias("d"), F.avg("rmse_off").alias("o")]
+    # A total of its own, since it has a row (and so its error) for an empty input too.
+    by = daily.agg(*sums).select(F.lit(None).cast("string").alias("cv_window"), "*").unionByName(daily.groupBy("cv_window").agg(*sums))
     n = F.when(F.col("n_days") > 0, F.col("n_days")).otherwise(F.raise_error(F.lit("no day to score")).cast("long"))
     d, o = F.col("d") / s.norm_diag, F.col("o") / s.norm_off
     return by.select(F.coalesce("cv_window", F.lit("overall")).alias("period"), n.alias("n_days"), d.alias("nrmse_diag"), o.alias("nrmse_offdiag"), ((d + o) / 2).alias("combined_nrmse"))

@@ -64,7 +64,7 @@ def lerp(around: str) -> str:
 
 
 WITH["pred"] = lerp("around")
-WITH["both"] = "SELECT coalesce(p.day, t.day) AS day, coalesce(p.origin, t.origin) AS origin, coalesce(p.dest, t.dest) AS dest, coalesce(p.value, 0.0) AS pred, coalesce(t.value, 0.0) AS actual FROM pred p FULL JOIN truth t ON p.day = t.day AND p.origin = t.origin AND p.dest = t.dest"
+WITH["matched"] = "SELECT coalesce(p.day, t.day) AS day, coalesce(p.origin, t.origin) AS origin, coalesce(p.dest, t.dest) AS dest, coalesce(p.value, 0.0) AS pred, coalesce(t.value, 0.0) AS actual FROM pred p FULL JOIN truth t ON p.day = t.day AND p.origin = t.origin AND p.dest = t.dest"
 WITH["none"] = "SELECT day, origin, dest, 0.0::DOUBLE AS pred, value AS actual FROM truth"
 
 
@@ -185,21 +185,21 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
     "blend_compare": f"""WITH off AS (SELECT day, origin, dest, value FROM truth WHERE origin <> dest), e AS (SELECT coalesce(o.value, 0.0) - coalesce(f.value, 0.0) AS eo, coalesce(i.value, 0.0) - coalesce(f.value, 0.0) AS ei, coalesce(b.value, 0.0) - coalesce(f.value, 0.0) AS eb
       FROM out_flow o JOIN in_flow i USING (day, origin, dest) JOIN blend b USING (day, origin, dest) FULL JOIN off f USING (day, origin, dest))
       SELECT 'outgoing' AS variant, {q('sqrt(avg(eo * eo))')} AS value FROM e UNION ALL SELECT 'incoming', {q('sqrt(avg(ei * ei))')} FROM e UNION ALL SELECT 'blend', {q('sqrt(avg(eb * eb))')} FROM e UNION ALL SELECT 'error_correlation', {q('corr(eo, ei)')} FROM e""",
-    "daily_rmse": f"SELECT day, cv_window, {q('rmse_diag')} AS rmse_diag, {q('rmse_off')} AS rmse_off FROM ({rmse('both')})",
-    "score_periods": periods("both"),
-    "combined_nrmse": f"SELECT n_days, combined_nrmse FROM ({periods('both')}) WHERE period = 'overall'",
+    "daily_rmse": f"SELECT day, cv_window, {q('rmse_diag')} AS rmse_diag, {q('rmse_off')} AS rmse_off FROM ({rmse('matched')})",
+    "score_periods": periods("matched"),
+    "combined_nrmse": f"SELECT n_days, combined_nrmse FROM ({periods('matched')}) WHERE period = 'overall'",
     "zero_baseline": periods("none"),
     "weekday_interp": f"SELECT day, origin, dest, {q('value')} AS value FROM pred",
     "linear_interp": f"SELECT day, origin, dest, {q('value')} AS value FROM ({lerp('around_any')})",
     "appearance_times_mean": f"""SELECT g.day, origin, dest, {q('n / CAST((SELECT count(*) FROM seen s WHERE s.weekday = g.weekday) AS DOUBLE) * mean')} AS value FROM target g JOIN
       (SELECT weekday, origin, dest, count(*) AS n, avg(value) AS mean FROM inner_train JOIN cal USING (day) WHERE value > 0 GROUP BY 1, 2, 3) USING (weekday)""",
     "error_hit_extra_miss": f"""SELECT kind, n, {q('e', 3)} AS sq_error, {q('e / SUM(e) OVER ()')} AS share FROM (SELECT CASE WHEN pred > 0 AND actual > 0 THEN 'hit' WHEN pred > 0 THEN 'extra' ELSE 'miss' END AS kind, count(*) AS n, SUM(pow(pred - actual, 2)) AS e
-      FROM both WHERE origin <> dest AND (pred > 0 OR actual > 0) GROUP BY 1)""",
-    "error_concentration": f"""WITH p AS (SELECT origin, dest, SUM(pow(pred - actual, 2)) AS e FROM both WHERE origin <> dest GROUP BY 1, 2), r AS (SELECT e, row_number() OVER (ORDER BY e DESC, origin, dest) AS k FROM p)
+      FROM matched WHERE origin <> dest AND (pred > 0 OR actual > 0) GROUP BY 1)""",
+    "error_concentration": f"""WITH p AS (SELECT origin, dest, SUM(pow(pred - actual, 2)) AS e FROM matched WHERE origin <> dest GROUP BY 1, 2), r AS (SELECT e, row_number() OVER (ORDER BY e DESC, origin, dest) AS k FROM p)
       SELECT top, {q('(SELECT SUM(e) FROM r WHERE k <= top) / (SELECT SUM(e) FROM p)')} AS share FROM (VALUES (10), (50)) v(top)""",
-    "error_by_area": f"""SELECT area, {q('CASE WHEN SUM(actual * actual) > 0 THEN sqrt(SUM(pow(pred - actual, 2)) / SUM(actual * actual)) END', 4)} AS relative_error, {q('SUM(pred)', 4)} AS pred_total, {q('SUM(actual)', 4)} AS actual_total FROM both JOIN cells ON cell = origin GROUP BY 1""",
+    "error_by_area": f"""SELECT area, {q('CASE WHEN SUM(actual * actual) > 0 THEN sqrt(SUM(pow(pred - actual, 2)) / SUM(actual * actual)) END', 4)} AS relative_error, {q('SUM(pred)', 4)} AS pred_total, {q('SUM(actual)', 4)} AS actual_total FROM matched JOIN cells ON cell = origin GROUP BY 1""",
     "daily_bias": f"""SELECT g.day, {q('CASE WHEN ad > 0 THEN (coalesce(pd, 0.0) - ad) / ad END')} AS bias_diag, {q('CASE WHEN ao > 0 THEN (coalesce(po, 0.0) - ao) / ao END')} AS bias_off FROM target g LEFT JOIN
-      (SELECT day, SUM(pred) FILTER (origin = dest) AS pd, SUM(actual) FILTER (origin = dest) AS ad, SUM(pred) FILTER (origin <> dest) AS po, SUM(actual) FILTER (origin <> dest) AS ao FROM both GROUP BY 1) USING (day)""",
+      (SELECT day, SUM(pred) FILTER (origin = dest) AS pd, SUM(actual) FILTER (origin = dest) AS ad, SUM(pred) FILTER (origin <> dest) AS po, SUM(actual) FILTER (origin <> dest) AS ao FROM matched GROUP BY 1) USING (day)""",
     "candidate_coverage": "SELECT count(*) AS n, count(pair_id) AS n_covered, SUM(value) AS amount, SUM(CASE WHEN pair_id IS NOT NULL THEN value ELSE 0.0 END) AS amount_covered FROM truth LEFT JOIN pairs USING (origin, dest) WHERE origin <> dest AND value > 0",
     "submission_shape": "SELECT day, count(*) AS n_rows, count(*) FILTER (value IS NULL OR value < 0) AS n_bad, count(*) - count(DISTINCT (origin, dest)) AS n_twice FROM pred GROUP BY 1",
     "presence_monthly": f"""SELECT month, cell, {q('p / n')} AS mean, {q('ln(1 + p / n)')} AS log_mean FROM (SELECT strftime(day, '%Y-%m') AS month, cell, SUM(presence) AS p FROM presence GROUP BY 1, 2) JOIN (SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT day) AS n FROM od GROUP BY 1) USING (month)""",

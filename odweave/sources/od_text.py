@@ -13,10 +13,12 @@ MAP = "map<string,map<string,double>>"
 def read_od_days(spark: SparkSession, path: str) -> DataFrame:
     """day, od (nested map): days with NA are left out, an empty map is an observed day, anything else unreadable is an error."""
     part = F.split("value", "\t", 2)
-    rows = spark.read.text(path).select(part[0].alias("d"), F.get(part, F.lit(1)).alias("p")).where(F.trim("p") != "NA")
-    parsed = rows.withColumn("od", F.from_json("p", MAP)).withColumn("day", F.to_date("d", "yyyyMMdd"))
-    bad = F.col("od").isNull() | F.col("day").isNull()
-    return parsed.select("day", F.when(bad, F.raise_error(F.concat(F.lit("malformed flow line: "), F.substring("p", 1, 80))).cast(MAP)).otherwise(F.col("od")).alias("od"))
+    rows = spark.read.text(path).select(part[0].alias("d"), F.get(part, F.lit(1)).alias("p"), "value")
+    day, od = F.try_to_timestamp("d", F.lit("yyyyMMdd")).cast("date"), F.from_json("p", MAP)
+    # One expression decides, so that no filter can be moved around the error.
+    error = F.raise_error(F.concat(F.lit("malformed flow line: "), F.substring("value", 1, 80))).cast(MAP)
+    read = F.when(F.trim("p") == "NA", F.lit(None).cast(MAP)).when(od.isNull() | day.isNull(), error).otherwise(od)
+    return rows.select(day.alias("day"), read.alias("od")).where("od is not null")
 
 
 def explode_od(days: DataFrame) -> DataFrame:

@@ -1 +1 @@
-
+"""The flows that this engine works on arrive as whole days; there is no streaming operator to offer."""

@@ -26,6 +26,7 @@ table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import partial
@@ -351,6 +352,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     marks = shared.select("grp", "fps", "docs", F.lit(None).cast("long").alias("copy")).unionByName(copy_rows.select("grp", none("fps"), none("docs"), "copy"))
     stretches = dealt.where("doc_id is not null").groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda d, m: _stretches(d, m, n, length, k), "bucket int, fps binary, docs binary, lows binary, counts binary, bytes binary")
     found = stored(stretches.groupBy("bucket").applyInArrow(lambda t: _find(t, n, length), "grp int, docs binary, starts binary, ends binary"))
+    # The shuffle files of what led to ``found`` are of no further use; collecting the handles lets Spark's cleaner delete them.
+    del fps, shared, stretches, marks
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     last = found.select("grp", "docs", "starts", "ends", F.lit(None).cast("long").alias("copy")).unionByName(copy_rows.select("grp", none("docs"), none("starts"), none("ends"), "copy"))
     return dealt.groupBy("grp").cogroup(last.groupBy("grp")).applyInArrow(lambda d, m: _result(d, m, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 

@@ -303,17 +303,18 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE) -> D
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
+        for text, drop in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
             if text is not None and drop:
                 gone = set(drop)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             kept.append(text)
         at = batch.schema.get_field_index("text")
         out = batch.set_column(at, "text", pa.array(kept, pa.string()))
-        yield out.drop_columns(["drop"])
+        yield out.drop_columns(["_drop"])
 
 
 def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """``docs`` with the lines named in ``drop`` (doc_id, drop) taken out of their texts."""
-    j = docs.join(drop.select(F.col("doc_id").alias("_d"), "drop"), F.col("doc_id") == F.col("_d"), "left").select(*docs.columns, "drop")
+    marks = drop.select(F.col("doc_id").alias("_d"), F.col("drop").alias("_drop"))
+    j = docs.join(marks, F.col("doc_id") == F.col("_d"), "left").select(*docs.columns, "_drop")
     return j.mapInArrow(_cut, docs.schema)

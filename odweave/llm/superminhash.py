@@ -10,8 +10,9 @@ the full shingle sets; union-find groups them.
 
 Documents with one and the same set are one node from the start, so exact copies,
 however many, cost one row each. In a band the candidates are compared with one
-document, the most central one, and the components that this leaves apart are then
-compared pair by pair across components only. Members of one leader are dealt to
+document, the most central one. Of the components that this leaves apart, documents whose
+shingles that others have too are too few for any link drop out (an exact bound), and
+the others are compared pair by pair across components only. Members of one leader are dealt to
 several tasks by a salt, each with the leader once; a task holds one leader's set.
 
 Null and blank texts have no shingles and link with nothing; ties in the choice of
@@ -140,6 +141,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return by_leader(pairs, texts).mapInArrow(partial(_confirm, k=k, percent=percent), "a long, b long")
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, buf, off in K.chunks(batch.column("text")):
+            h, d = K.word_hashes(buf, off)
+            x, at = K.row_sets(*K.shingles(h, d, b - a, k), b - a)
+            ids = batch.column("doc_id").slice(a, b - a).take(pa.array(np.repeat(np.arange(b - a), np.diff(at))))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), ids], ["h", "rep"])
+
+
+def able(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows (key, rep, n, c) that can still have a link, with m: shingles that another of these documents has too.
+
+    Two documents share at most the smaller m, which bounds their similarity. In a
+    family of copies with edits of their own, copies that miss the similarity to the
+    original miss this bound as well, so they leave without being compared with each other.
+    """
+    reps = placed.select(F.col("rep").alias("doc_id")).distinct()
+    rows = texts.join(reps, "doc_id", "left_semi").mapInArrow(partial(_shingle_rows, k=k), "h long, rep long")
+    alone = rows.groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("k")).where("k = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    least = placed.groupBy("key").agg(F.min("n").alias("low"))
+    bounded = placed.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).join(least, "key")
+    # The best partner of a document has no more shingles than it has to, and not fewer than the smallest of the band.
+    return bounded.where(f"100 * m >= {percent} * (n + greatest(low, m) - m)").select("key", "rep", "n", "c", "m")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of ``docs``; see the module.
 
@@ -160,10 +186,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int
     label = components(links)
     # What the leaders left apart: members of one band in different components, whose pair is still unseen.
     placed = bands.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    split = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = stored(placed.join(split, "key"))
-    other = placed.select("key", F.col("rep").alias("rep2"), F.col("n").alias("ln"), F.col("c").alias("c2"))
-    rest = placed.join(other, "key").where(f"c < c2 and {near}").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    open_ = lambda rows: stored(rows.join(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "key"))
+    for _ in range(3):  # who has left supports nobody any more, so the bound tightens
+        placed = able(open_(placed.select("key", "rep", "n", "c")), texts, k, percent)
+    placed = open_(placed)
+    other = placed.select("key", F.col("rep").alias("rep2"), F.col("n").alias("ln"), F.col("c").alias("c2"), F.col("m").alias("m2"))
+    fits = f"100 * least(m, m2) >= {percent} * (n + ln - least(m, m2))"
+    rest = placed.join(other, "key").where(f"c < c2 and {near} and {fits}").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(seen, ["a", "b"], "left_anti"))
     if not rest.isEmpty():

@@ -17,8 +17,9 @@ from odweave.llm.common import stored, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    kept = quality_llr.quality(docs, good, carry=docs.columns)
-    return kept.where("kept").select(*docs.columns)
+    # The row travels as one struct, so no column of it can clash with what is counted.
+    whole = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return quality_llr.quality(whole, good, carry=["_row"]).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

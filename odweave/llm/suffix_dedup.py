@@ -147,16 +147,26 @@ def _known(pairs: np.ndarray, fp: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return pairs[at] == q
 
 
+def opened(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """Ids, whether they are there, all text bytes, and where each text starts, of packed documents."""
+    get = lambda c: docs.column(c).to_pylist()
+    ids, lens = unpacked(get("ids"), np.int64), unpacked(get("lens"), np.uint32).astype(np.int64)
+    raw = b"".join(pa.decompress(t, n, "zstd", asbytes=True) if n else b"" for t, n in zip(get("text"), get("n_raw"), strict=True))
+    return ids, np.frombuffer(b"".join(get("there")), bool), raw, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+
+
 def _stretches(docs: pa.Table, marks: pa.Table, buckets: int, length: int, k: int) -> pa.Table:
-    """bucket, fps, docs, lows, counts, sizes, bytes: the stretches around shared anchors; copies of a whole document are left out."""
+    """bucket, fps, docs, lows, counts, n_raw, bytes: the stretches around shared anchors; copies of a whole document are left out."""
     fp = unpacked([x.as_py() for x in marks.column("fps") if x.as_py() is not None], U)
     doc = unpacked([x.as_py() for x in marks.column("docs") if x.as_py() is not None], np.int64)
     pairs = np.sort(K.mix(fp + doc.view(U) * U(K.BASE)))
     copies = np.array([x for x in marks.column("copy").to_pylist() if x is not None], np.int64)
-    ids = docs.column("doc_id").to_numpy()
+    ids, there, raw, off = opened(docs)
     out: dict[str, list] = {c: [] for c in ("fp", "doc", "low", "count", "text")}
-    texts = docs.column("text").combine_chunks()
-    for part in texts.chunks if hasattr(texts, "chunks") else [texts]:
+    texts = pa.Array.from_buffers(pa.large_string(), len(ids), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(raw)])
+    if not there.all():
+        ids, texts = ids[there], texts.filter(pa.array(there))
+    for part in [texts]:
         for a, _, buf, off in K.chunks(part):
             fp, row, lo, hi = anchors(buf, off, length, k)
             fp48 = (fp >> U(16)) & KEPT_BITS
@@ -169,8 +179,7 @@ def _stretches(docs: pa.Table, marks: pa.Table, buckets: int, length: int, k: in
             text = buf[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
             for c, v in (("fp", fp), ("doc", mine), ("low", lo), ("count", hi - lo + 1), ("text", (text, total))):
                 out[c].append(v)
-        ids = ids[len(part):]
-    kinds = {"bucket": pa.int32(), "fps": pa.binary(), "docs": pa.binary(), "lows": pa.binary(), "counts": pa.binary(), "bytes": pa.binary()}
+    kinds = {"bucket": pa.int32(), "fps": pa.binary(), "docs": pa.binary(), "lows": pa.binary(), "counts": pa.binary(), "n_raw": pa.int64(), "bytes": pa.binary()}
     rows = []
     if out["fp"]:
         fp, doc, low, count = (np.concatenate(out[c]) for c in ("fp", "doc", "low", "count"))
@@ -186,7 +195,7 @@ def _stretches(docs: pa.Table, marks: pa.Table, buckets: int, length: int, k: in
             size = count[i] + length - 1
             total = np.concatenate([[0], np.cumsum(size)])
             piece = text[np.repeat(begin[i] - total[:-1], size) + np.arange(total[-1])]
-            rows.append((int(where[x]), packed(fp[i]), packed(doc[i].astype(np.int64)), packed(low[i].astype(np.uint32)), packed(count[i].astype(np.uint8)), piece.tobytes()))
+            rows.append((int(where[x]), packed(fp[i]), packed(doc[i].astype(np.int64)), packed(low[i].astype(np.uint32)), packed(count[i].astype(np.uint8)), len(piece), pa.compress(piece.tobytes(), "zstd", asbytes=True)))
     return pa.table({c: pa.array([r[j] for r in rows], t) for j, (c, t) in enumerate(kinds.items())})
 
 
@@ -257,7 +266,7 @@ def _find(bucket: pa.Table, groups: int, length: int) -> pa.Table:
     get = lambda c: [x.as_py() for x in bucket.column(c)]
     fp, doc = unpacked(get("fps"), U), unpacked(get("docs"), np.int64)
     low, count = unpacked(get("lows"), np.uint32).astype(np.int64), unpacked(get("counts"), np.uint8).astype(np.int64)
-    text = np.frombuffer(b"".join(get("bytes")), np.uint8)
+    text = np.frombuffer(b"".join(pa.decompress(t, n, "zstd", asbytes=True) for t, n in zip(get("bytes"), get("n_raw"), strict=True)), np.uint8)
     size = count + length - 1
     begin = np.cumsum(size) - size
     whole = K.span(K.prefix(text), begin, begin + size) ^ fp
@@ -307,8 +316,10 @@ def _result(docs: pa.Table, marks: pa.Table, length: int) -> pa.Table:
     doc, start, end = doc[o], start[o], end[o]
     copies = set(get("copy"))
     rows: list[tuple] = []
-    for i, text in zip(docs.column("doc_id").to_pylist(), docs.column("text"), strict=True):
-        raw = (text.as_py() or "").encode()
+    ids, there, all_bytes, off = opened(docs)
+    for at_doc, (i, known) in enumerate(zip(ids.tolist(), there.tolist(), strict=True)):
+        raw = all_bytes[off[at_doc] : off[at_doc + 1]]
+        i = i if known else None
         n = len(raw)
         if i in copies and n >= length:
             rows.append((i, n, n, 1, hashlib.sha256(b"").hexdigest(), [(0, n)]))
@@ -346,13 +357,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
     copies = stored(digest.join(earliest, "d").where("doc_id > m").select("doc_id"))
     fps = known.mapInArrow(partial(_fingerprints, buckets=n, length=length, k=k), "bucket int, fps binary, docs binary")
     shared = fps.groupBy("bucket").applyInArrow(lambda t: _shared(t, n), "grp int, fps binary, docs binary")
-    dealt = src.mapInArrow(partial(_dealt, groups=n), "grp int, doc_id long, text string")
+    dealt = src.mapInArrow(partial(_dealt, groups=n), "grp int, ids binary, there binary, lens binary, n_raw long, text binary")
     copy_rows = copies.mapInArrow(partial(_dealt_ids, groups=n), "grp int, copy long")
     none = lambda c: F.lit(None).cast("binary").alias(c)
     marks = shared.select("grp", "fps", "docs", F.lit(None).cast("long").alias("copy")).unionByName(copy_rows.select("grp", none("fps"), none("docs"), "copy"))
-    stretches = dealt.where("doc_id is not null").groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda d, m: _stretches(d, m, n, length, k), "bucket int, fps binary, docs binary, lows binary, counts binary, bytes binary")
+    stretches = dealt.groupBy("grp").cogroup(marks.groupBy("grp")).applyInArrow(lambda d, m: _stretches(d, m, n, length, k), "bucket int, fps binary, docs binary, lows binary, counts binary, n_raw long, bytes binary")
     found = stored(stretches.groupBy("bucket").applyInArrow(lambda t: _find(t, n, length), "grp int, docs binary, starts binary, ends binary"))
-    # The shuffle files of what led to ``found`` are of no further use; collecting the handles lets Spark's cleaner delete them.
+    # Shuffle files of what led to ``found`` are of no further use; collecting the handles lets the cleaner delete them.
     del fps, shared, stretches, marks
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -361,9 +372,19 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, k: int = ANCHOR) -> Da
 
 
 def _dealt(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """The documents of a batch by group, ids and compressed texts packed: one row a group."""
     for batch in batches:
+        there = ~batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
         ids = np.array(batch.column("doc_id").fill_null(0), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(group_of(ids, groups).astype(np.int32)), batch.column("doc_id"), batch.column("text")], ["grp", "doc_id", "text"])
+        g = group_of(ids, groups)
+        o, cut, end = _split(g)
+        buf, off = K.text_buffer(batch.column("text").take(pa.array(o)))
+        rows = []
+        for x, y in zip(cut, end, strict=True):
+            raw = buf[off[x] : off[y]].tobytes()
+            rows.append((int(g[o[x]]), packed(ids[o[x:y]]), there[o[x:y]].tobytes(), packed(np.diff(off[x : y + 1]).astype(np.uint32)), len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        kinds = {"grp": pa.int32(), "ids": pa.binary(), "there": pa.binary(), "lens": pa.binary(), "n_raw": pa.int64(), "text": pa.binary()}
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds.values())], list(kinds))
 
 
 def _dealt_ids(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:

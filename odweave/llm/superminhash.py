@@ -10,9 +10,10 @@ the full shingle sets; union-find groups them.
 
 Documents with one and the same set are one node from the start, so exact copies,
 however many, cost one row each. In a band the candidates are compared with one
-document, the most central one. Of the components that this leaves apart, documents whose
-shingles that others have too are too few for any link drop out (an exact bound), and
-the others are compared pair by pair across components only. Members of one leader are dealt to
+document, the most central one. Of the components that this leaves apart, pairs with a
+shingle that few documents have are found by it; documents whose other shingles are too
+few for any link drop out (exact bounds), and what remains is compared across
+components only. Members of one leader are dealt to
 several tasks by a salt, each with the leader once; a task holds one leader's set.
 
 Null and blank texts have no shingles and link with nothing; ties in the choice of
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SHINGLE = 5
 REGISTERS, ROWS = 96, 4
 #: Members of a leader that go to one task.
 SALT_MEMBERS = 256
+#: Documents that may share a rare shingle; rounds in which the documents left apart are narrowed down.
+RARE, ROUNDS = 4, 3
 
 
 def signatures(x: np.ndarray, off: np.ndarray, m: int = REGISTERS) -> np.ndarray:
@@ -150,20 +153,30 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), ids], ["h", "rep"])
 
 
-def able(placed: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The rows (key, rep, n, c) that can still have a link, with m: shingles that another of these documents has too.
+def narrowed(placed: DataFrame, texts: DataFrame, k: int, percent: int, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """(pairs a, b that share a rare shingle and can have a link; rows key, rep, n, c, m that can have one without it).
 
-    Two documents share at most the smaller m, which bounds their similarity. In a
-    family of copies with edits of their own, copies that miss the similarity to the
-    original miss this bound as well, so they leave without being compared with each other.
+    A shingle is rare if at most ``rare`` of these documents have it, so the pairs it
+    gives grow with the documents and not with a family's square. Shingles of the same
+    few documents are counted together. Two documents without a common rare shingle
+    share at most the smaller m, the number of their other shingles; copies with edits
+    of their own miss the similarity by that bound and leave uncompared.
     """
-    reps = placed.select(F.col("rep").alias("doc_id")).distinct()
-    rows = texts.join(reps, "doc_id", "left_semi").mapInArrow(partial(_shingle_rows, k=k), "h long, rep long")
-    alone = rows.groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("k")).where("k = 1").groupBy("rep").agg(F.count("*").alias("u"))
+    reps = placed.select("rep", "n", "c").distinct()
+    rows = stored(texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(partial(_shingle_rows, k=k), "h long, rep long"))
+    few = stored(rows.groupBy("h").agg(F.count("*").alias("f"), F.min("rep").alias("one")).where(f"f <= {rare}"))
+    scarce = stored(rows.join(few.where("f > 1").select("h"), "h"))
+    own = few.where("f = 1").select(F.col("one").alias("rep")).unionByName(scarce.select("rep")).groupBy("rep").agg(F.count("*").alias("s"))
+    sized = stored(reps.join(own, "rep", "left").withColumn("m", F.col("n") - F.coalesce("s", F.lit(0))).drop("s"))
+    holders = scarce.groupBy("h").agg(F.sort_array(F.collect_list("rep")).alias("reps")).groupBy("reps").agg(F.count("*").alias("s"))
+    two = holders.select("s", F.explode(F.expr("flatten(transform(reps, (x, i) -> transform(slice(reps, i + 2, size(reps)), y -> struct(x as a, y as b))))")).alias("p")).select("p.a", "p.b", "s")
+    side = lambda x: sized.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}"))
+    pairs = two.groupBy("a", "b").agg(F.sum("s").alias("s")).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.withColumn("both", F.least(F.col("s") + F.least("ma", "mb"), "na", "nb")).where(f"ca <> cb and 100 * both >= {percent} * (na + nb - both)")
     least = placed.groupBy("key").agg(F.min("n").alias("low"))
-    bounded = placed.join(alone, "rep", "left").withColumn("m", F.col("n") - F.coalesce("u", F.lit(0))).join(least, "key")
+    bounded = placed.join(sized.select("rep", "m"), "rep").join(least, "key")
     # The best partner of a document has no more shingles than it has to, and not fewer than the smallest of the band.
-    return bounded.where(f"100 * m >= {percent} * (n + greatest(low, m) - m)").select("key", "rep", "n", "c", "m")
+    return pairs.select("a", "b"), bounded.where(f"100 * m >= {percent} * (n + greatest(low, m) - m)").select("key", "rep", "n", "c", "m")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
@@ -187,12 +200,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int
     # What the leaders left apart: members of one band in different components, whose pair is still unseen.
     placed = bands.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     open_ = lambda rows: stored(rows.join(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "key"))
-    for _ in range(3):  # who has left supports nobody any more, so the bound tightens
-        placed = able(open_(placed.select("key", "rep", "n", "c")), texts, k, percent)
+    scarce: list[DataFrame] = []
+    for _ in range(ROUNDS):  # who has left makes nobody's shingle common any more, so the bound tightens
+        pairs, placed = narrowed(open_(placed.select("key", "rep", "n", "c")), texts, k, percent)
+        scarce.append(stored(pairs))
     placed = open_(placed)
     other = placed.select("key", F.col("rep").alias("rep2"), F.col("n").alias("ln"), F.col("c").alias("c2"), F.col("m").alias("m2"))
     fits = f"100 * least(m, m2) >= {percent} * (n + ln - least(m, m2))"
-    rest = placed.join(other, "key").where(f"c < c2 and {near} and {fits}").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    rest = placed.join(other, "key").where(f"c < c2 and {near} and {fits}").select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    rest = reduce(DataFrame.unionByName, scarce, rest).distinct()
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(seen, ["a", "b"], "left_anti"))
     if not rest.isEmpty():

@@ -67,6 +67,29 @@ def test_near_duplicates(spark, sf_dir):
     assert superminhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_a_family(spark):
+    """Copies of one text with edits, many of them shared by two or three copies: links are those of all pairs."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    pool = [(rnd.randrange(150), rnd.choice(["x", "y", "", "z z"])) for _ in range(120)]
+    texts = {}
+    for i in range(120):
+        own, w = rnd.sample(pool, rnd.randrange(1, 9)), list(base)
+        if i % 3 == 1 and i > 3:
+            w = texts[i - 1].split(" ")
+            own = own[:2]
+        for at, new in own:
+            if at < len(w):
+                w[at] = new
+        texts[i] = " ".join(x for x in w if x)
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    edges = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = union(list(sets), edges)
+    got = superminhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert 1 < len(set(want.values())) < len(want)
+
+
 def test_superminhash_is_the_sequential_definition():
     rnd = np.random.default_rng(3)
     for n in (1, 3, 40, 700):

@@ -271,6 +271,24 @@ def test_chain_scores_prefer_collinear():
     assert chaining.chains(l, d)[0] == [0, 1, 3, 4]
 
 
+def spans(lead, mine):
+    """Words of ``mine`` in any passage, of two lists of words."""
+    code = lambda t: np.array([hash(x) for x in t]).view(np.uint64)
+    return {x for s, e, *_ in chaining.passages(code(lead), code(mine)) for x in range(s, e)}
+
+
+def own(name, n):
+    return [f"{name}{i}" for i in range(n)]
+
+
+def test_passages_beyond_a_long_gap():
+    for gap in (50, 100, 200, 800):
+        for first, second in ((60, 60), (200, 80)):
+            p, q = own("p", first), own("q", second)
+            found = spans(p + own("a", gap) + q, p + own("b", gap) + q)
+            assert found >= set(range(first)) | set(range(first + gap, first + gap + second))
+
+
 def test_classifier(spark, sf_dir):
     at = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))

@@ -289,6 +289,28 @@ def test_passages_beyond_a_long_gap():
             assert found >= set(range(first)) | set(range(first + gap, first + gap + second))
 
 
+def test_passages_beside_a_short_phrase():
+    for first, gap, second in ((60, 30, 14), (55, 24, 20), (55, 30, 55), (14, 30, 60)):
+        for turn in range(25):
+            p, q = own(f"p{turn}_", first), own(f"q{turn}_", second)
+            found = spans(own("x", 30) + p + own("a", gap) + q + own("y", 30), own("u", 20) + p + own("b", gap) + q + own("v", 40))
+            want = set(range(20, 20 + first)) | set(range(20 + first + gap, 20 + first + gap + second)) if second == first else set(range(20, 20 + first)) if first > 50 else set(range(20 + first + gap, 20 + first + gap + second))
+            assert found == want
+
+
+def test_common_is_longest():
+    rnd = random.Random(4)
+    for _ in range(300):
+        a, b = ([rnd.randrange(6) for _ in range(rnd.randint(1, 25))] for _ in range(2))
+        i, j = chaining.common(np.array(a), np.array(b))
+        n = np.zeros((len(a) + 1, len(b) + 1), int)
+        for x in range(len(a)):
+            for y in range(len(b)):
+                n[x + 1, y + 1] = n[x, y] + 1 if a[x] == b[y] else max(n[x, y + 1], n[x + 1, y])
+        assert all(a[x] == b[y] for x, y in zip(i, j, strict=True)) and np.all(np.diff(i) > 0) and np.all(np.diff(j) > 0)
+        assert len(i) == n[-1, -1] or len(a) == len(b) and len(i) == sum(map(int.__eq__, a, b)) >= len(a) / 2
+
+
 def test_classifier(spark, sf_dir):
     at = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))

@@ -269,6 +269,7 @@ def test_chaining(spark, sf_dir):
 def test_chain_scores_prefer_collinear():
     l, d = np.array([0, 10, 500, 20, 30]), np.array([0, 10, 15, 20, 30])  # noqa: E741
     assert chaining.chains(l, d)[0] == [0, 1, 3, 4]
+    assert chaining.chains(l[:0], d[:0]) == [] and spans(own('a', 60), own('b', 60)) == set()
 
 
 def spans(lead, mine):
@@ -298,6 +299,38 @@ def test_passages_beside_a_short_phrase():
             assert found == want
 
 
+def found_pairs(spark, docs):
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id long, text string").repartition(3)
+    return {(r["a"], r["b"]): r["end"] - r["start"] for r in chaining.shared_passages(df).collect()}
+
+
+def test_passage_whose_parts_stand_in_earlier_documents(spark):
+    """b and c share 60 words; each part of them stands in other documents before, in one or in many."""
+    docs, want = [], set()
+    for turn in range(24):
+        part, many = (2, 3)[turn % 2], (1, 12)[turn // 2 % 2]
+        p, i = own(f"p{turn}_", 60), 1000 * turn
+        for x in range(part):
+            piece = p[60 // part * x : 60 // part * (x + 1)]
+            docs += [(i + 100 * x + j, own(f"a{turn}_{x}_{j}_", 30) + piece + own(f"z{turn}_{x}_{j}_", 30)) for j in range(many)]
+        docs += [(i + 900, own(f"b{turn}_", 40) + p), (i + 901, p + own(f"c{turn}_", 40))]
+        want.add((i + 900, i + 901))
+    assert set(found_pairs(spark, docs)) == want
+
+
+def test_passage_with_words_replaced(spark):
+    docs, want = [], set()
+    for every in (5, 6, 7, 8, 10):
+        for turn in range(8):
+            p = own(f"p{every}_{turn}_", 50)
+            q = [f"new{every}_{turn}_{i}" if i % every == 2 else x for i, x in enumerate(p)]
+            i = 1000 * every + 2 * turn
+            docs += [(i, own(f"a{i}_", 40) + p + own(f"b{i}_", 40)), (i + 1, own(f"c{i}_", 30) + q + own(f"d{i}_", 50))]
+            want.add((i, i + 1))
+    found = found_pairs(spark, docs)
+    assert set(found) == want and min(found.values()) >= 50
+
+
 def test_common_is_longest():
     rnd = random.Random(4)
     for _ in range(300):

@@ -8,7 +8,9 @@ documents that hold a benchmark item go; of the rest the mix takes so many words
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odweave.llm import decontam, line_join, mixing, quality_llr, superminhash
@@ -29,8 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = superminhash.near_duplicates(docs, percent=80)
-    gone = groups.where("not kept and component_id is not null").select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti")
+    gone = stored(groups.where("not kept and component_id is not null").select(F.col("doc_id").alias("_d")).distinct())
+    left = docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti")
+    # Rows that share doc_id and text are one node of the groups above, and one row of them stays.
+    key = left.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
+    many = stored(key.groupBy("_d", "_h").agg(F.count("*").alias("n")).where("n > 1").select("_d", "_h"))
+    repeated = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
+    one = left.join(many, repeated, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*left.columns)).alias("_row")).select("_row.*")
+    return left.join(many, repeated, "left_anti").unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +47,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, _ = mixing.mix(docs)
-    taken = rows.where("taken > 0").select(F.col("doc_id").alias("_d"), "size", "source_size", "target", "taken")
-    return docs.select("doc_id", "lang", "source", "n_chars").join(taken, F.col("doc_id") == F.col("_d")).drop("_d")
+    # A row meets its own draw: equal rows by their number, as mix() tells them apart.
+    key = ["doc_id", "source", "_h"]
+    narrow = docs.select("doc_id", "lang", "source", "n_chars", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    narrow = narrow.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy("lang", "n_chars")))
+    taken = rows.where("taken > 0").select(*[F.col(c).alias(f"_k{c}") for c in [*key, "_twin"]], "size", "source_size", "target", "taken")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in [*key, "_twin"]])
+    return narrow.join(taken, same).select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -73,6 +73,32 @@ def test_stages(spark, sf_dir):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
 
 
+def test_stages_with_repeated_rows_and_long_texts(spark, sf_dir):
+    """The awkward rows that test_stages leaves out, and rows without a doc_id."""
+    docs = documents(spark, sf_dir, 20)
+    schema = docs.schema
+    extra = [(None, "a row without an id and with nine words", "en", "s1", 39, None, None)] * 3 + [(77_777, "twice the same few words in here", "en", None, 32, None, i) for i in range(2)]
+    docs = stored(docs.unionByName(spark.createDataFrame(extra, schema)))
+    stage = dict(P.STAGES)
+    assert docs.where("doc_id = 10006").count() == 2 and docs.where("doc_id in (10012, 10013)").count() == 2
+
+    near = stored(stage["near_dedup"](spark, docs, sf_dir))
+    assert near.schema.simpleString() == docs.schema.simpleString()
+    assert [near.where(f"doc_id = {i}").count() for i in (10006, 10007, 77_777)] == [1, 0, 1]
+    assert near.where("doc_id is null").count() == 1 and near.where("doc_id in (10012, 10013)").count() == 1
+
+    sizes = defaultdict(int)
+    for r in docs.collect():
+        sizes[r["source"]] += len(WORD.findall(r["text"] or ""))
+    mixed = stage["source_mixing"](spark, docs, sf_dir).collect()
+    taken = defaultdict(int)
+    for r in mixed:
+        taken[r["source"]] += r["taken"]
+    want = waterfill(dict(sizes))
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    assert sum(r["doc_id"] == 10006 for r in mixed) <= 2 and sum(r["doc_id"] is None for r in mixed) <= 3
+
+
 def test_near_duplicates_of_families(spark):
     """A family whose copies miss the similarity to each other but not to the original, and one that misses both."""
     from odweave.llm import superminhash

@@ -7,15 +7,15 @@ import datetime as dt
 import json
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PROXY, STATIONS, Settings
+from .functions.numbers import shown
 from .operators import matrix
 from .plans import forecast
 from .session import get_spark
 from .sources import od_text, sinks, tables
-from .sources.storage import store
 
 
 def real_inputs(spark: SparkSession, folder: str, s: Settings) -> forecast.Inputs:
@@ -23,10 +23,55 @@ def real_inputs(spark: SparkSession, folder: str, s: Settings) -> forecast.Input
     cells = tables.aligned(tables.box_cells(spark, s.box), tables.read_cells(spark, f"{folder}/cells.csv"), "area", "lat", "lon").withColumn("area", F.coalesce("area", F.lit("対象外")))
     evac = tables.read_rates(spark, f"{folder}/evacuation.csv", "避難者率").withColumnRenamed("rate", "evac")
     water = tables.read_rates(spark, f"{folder}/water.csv", "断水世帯率").withColumnRenamed("rate", "water")
-    # The two kinds of report come on days of their own; each holds until the next of its kind.
-    both = evac.join(water, ["area", "day"], "full_outer")
     facility = tables.aligned(cells.select("cell"), tables.read_facilities(spark, f"{folder}/shelters.csv"), "facility_count")
-    return forecast.Inputs(od_text.read_od(spark, f"{folder}/od.tsv"), cells, both, tables.read_weather(spark, f"{folder}/weather.csv"), tables.stations(spark, STATIONS), facility, tables.calendar(spark, s))
+    days = od_text.read_od_days(spark, f"{folder}/od.tsv")
+    reports = [(evac, ["evac"]), (water, ["water"])]
+    return forecast.Inputs(od_text.explode_od(days), cells, reports, tables.read_weather(spark, f"{folder}/weather.csv"), tables.stations(spark, STATIONS), facility, tables.calendar(spark, s), days.select("day"))
+
+
+def inspected(i: forecast.Inputs, s: Settings) -> list[tuple[str, object]]:
+    """Settings, calendar, held-out windows, days to predict, and the size of the training data of a validation."""
+    span = lambda days: "{} .. {}, {} days".format(*days.agg(F.min("day"), F.max("day"), F.count("*")).first())
+    train, _, observed, pairs = forecast.training(i, s)
+    outside = matrix.outside_weekday_mean(train, i.calendar, s.box, observed).groupBy("weekday").count().collect()  # seven rows at most
+    per = {r["weekday"]: r["count"] for r in outside}
+    items: list[tuple[str, object]] = [*s.model().items(), ("calendar", span(i.calendar))]
+    items += [(f"window {name}", span(i.calendar.where(F.col("cv_window") == name))) for name, *_ in s.windows]
+    items += [("to predict", span(i.calendar.where("is_test"))), ("training days", observed.count()), ("candidate pairs", pairs.count())]
+    return [*items, ("pairs outside by weekday", [per.get(d, 0) for d in range(7)])]
+
+
+def validate(i: forecast.Inputs, s: Settings, out: Path, tell) -> None:
+    days = i.calendar.where("cv_window is not null")
+    tell("stage", "fit of five components without the held-out days")
+    r = forecast.forecast(i, s, days)
+    tell("stage", "scores and flows of the held-out days")
+    scores = {x["period"]: {k: x[k] for k in ("n_days", "combined_nrmse", "nrmse_diag", "nrmse_offdiag")} for x in forecast.scores(r, i.calendar, s).collect()}
+    info = [json.loads(x["info"]) for x in r["fit"].where("info is not null").select("info").collect()]
+    overall = scores.pop("overall")
+    file = out / "metrics.json"
+    file.write_text(sinks.metrics_text({
+        "experiment": "state-space", "date": dt.datetime.now().astimezone().isoformat(timespec="minutes"), "status": "scored", "compared_to": None,
+        "results": {"overall": overall, "validation": scores, "fit_diagnostics": info}, "config": s.model(),
+    }), encoding="utf-8")
+    tell("result", f"combined_nrmse {shown(overall['combined_nrmse'])}")
+    tell("file", sinks.relative(file, out))
+    for window, *_ in s.windows:
+        write(r["full"], days.where(F.col("cv_window") == window), out / f"validation_{window}.tsv", out, tell)
+
+
+def submit(i: forecast.Inputs, s: Settings, out: Path, validator: Path, tell) -> None:
+    days = i.calendar.where("is_test")
+    tell("stage", "fit of five components on all observed days")
+    r = forecast.forecast(i, s, days, holdout=False)
+    tell("stage", "flows of the days to predict")
+    write(r["full"], days, out / "submission.tsv", out, tell)
+    tell("result", f"validator {sinks.outside_check(validator, out / 'submission.tsv')}")
+
+
+def write(flows: DataFrame, days: DataFrame, path: Path, root: Path, tell) -> None:
+    od_text.write_od(flows.join(days.select("day"), "day", "left_semi"), str(path), days)
+    tell("file", sinks.relative(path, root))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -34,10 +79,10 @@ def main(argv: list[str] | None = None) -> int:
     mode = p.add_mutually_exclusive_group(required=True)
     for name in ("validate", "submit", "inspect"):
         mode.add_argument(f"--{name}", action="store_true")
-    mode.add_argument("--check", metavar="PATH", type=Path)
+    mode.add_argument("--check", metavar="PATH", type=Path, nargs="?", const=Path("odweave-out/submission.tsv"))
     p.add_argument("--tables", default="/root/testdata/sf0.01")
     p.add_argument("--inputs")
-    p.add_argument("--out", type=Path, default=Path("/tmp/odweave-out"))
+    p.add_argument("--out", type=Path, default=Path("odweave-out"))
     p.add_argument("--validator", type=Path, default=Path("validator.py"))
     p.add_argument("--iterations", type=int)
     a = p.parse_args(argv)
@@ -48,33 +93,16 @@ def main(argv: list[str] | None = None) -> int:
     s = Settings() if a.inputs else PROXY
     s = forecast.shortened(s, a.iterations) if a.iterations else s
     i = real_inputs(spark, a.inputs, s) if a.inputs else forecast.proxy_inputs(spark, a.tables, s)
-    train, _ = matrix.split(i.flows, i.calendar, s)
     if a.inspect:
-        for k, v in s.model().items():
-            print(f"{k:<20}: {v}")
-        print(f"{'observed_days':<20}: {matrix.train_days(train, i.calendar).count()}")
-        print(f"{'candidate_pairs':<20}: {matrix.candidate_pairs(train, s.box).count()}")
+        for k, v in inspected(i, s):
+            print(k, v, sep="\t")
         return 0
-    name = "validate" if a.validate else "submit"
-    with sinks.run_log(a.out / "runs.log", "state-space", f"--{name}", sinks.command_line(f"--{name}")) as log:
-        log.stage("fit", "five components, both directions")
-        days = i.calendar.where("cv_window is not null" if a.validate else "is_test")
-        r = forecast.forecast(i, s, days, holdout=a.validate, store=store)
-        log.stage("write", "flows and scores")
+    a.out.mkdir(parents=True, exist_ok=True)
+    with sinks.run_log(a.out / "runs.log", sinks.command_line("--validate" if a.validate else "--submit")) as tell:
         if a.validate:
-            scores = {x["period"]: {k: x[k] for k in ("n_days", "combined_nrmse", "nrmse_diag", "nrmse_offdiag")} for x in forecast.scores(r, i.calendar, s).collect()}
-            info = [json.loads(x["info"]) for x in r["fit"].where("info is not null").select("info").collect()]
-            sinks.write_metrics(a.out / "metrics.json", {
-                "experiment": "state-space", "date": dt.datetime.now().astimezone().isoformat(timespec="minutes"), "status": "scored", "compared_to": None,
-                "results": {"overall": scores.pop("overall"), "validation": scores, "fit_diagnostics": info}, "config": s.model(),
-            })
-            for window in {w for w, *_ in s.windows}:
-                part = r["full"].join(days.where(F.col("cv_window") == window).select("day"), "day", "left_semi")
-                od_text.write_od(part, str(a.out / f"validation_{window}"))
-            log.note(sinks.relative(a.out / "metrics.json", a.out))
+            validate(i, s, a.out, tell)
         else:
-            od_text.write_od(r["full"], str(a.out / "submission"))
-            log.result(validator=sinks.outside_check(a.validator, a.out / "submission"))
+            submit(i, s, a.out, a.validator, tell)
     return 0
 
 

@@ -33,6 +33,7 @@ class Settings:
     test_span: tuple[dt.date, dt.date] = (D(2024, 2, 1), D(2024, 3, 31))
     test_excluded: tuple[dt.date, ...] = (D(2024, 2, 2), D(2024, 3, 5))
     box: Box = field(default_factory=Box)
+    # From here on, sizes and norms of the score, then the model's numbers.
     n_diag: int = 1476
     n_off: int = 1476 * 1476 - 1476
     norm_diag: float = 26.57

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, haversine_km
@@ -79,26 +82,48 @@ def pair_features(pairs: DataFrame, daily: DataFrame, facility: DataFrame, view:
     return j.select("day", "t", "pair_id", *PAIR_COLUMNS)
 
 
+@dataclass(frozen=True)
+class Scale:
+    """How one standardised feature is made: of a column's value, or of whether it is missing."""
+
+    name: str
+    missing: bool
+    mean: float
+    sd: float
+
+    def of(self, value: Column) -> Column:
+        x = (~finite(value)).cast("double") if self.missing else F.when(finite(value), value).otherwise(F.lit(self.mean))
+        return (x - self.mean) / self.sd
+
+
+def moments(value: Column) -> list[Column]:
+    """n, n_ok, mean, sd: what ``scales`` has to know of a column on the training rows."""
+    x = F.when(finite(value), value)
+    return [F.count("*").alias("n"), F.count(x).alias("n_ok"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd")]
+
+
+def scales(column: str, n: int, n_ok: int, mean: float | None, sd: float | None, constant_sd: float) -> list[Scale]:
+    """A column's value and its flag, as far as they vary on the training rows.
+
+    Missing values take the mean of the others, which leaves it and shrinks the deviation.
+    """
+    if not n_ok:
+        return []
+    gone = (n - n_ok) / n
+    both = (Scale(column, False, mean, sd * math.sqrt(n_ok / n)), Scale(f"{column}_missing", True, gone, math.sqrt(gone * (1 - gone))))
+    return [x for x in both if x.sd >= constant_sd]
+
+
 def standardize(raw: DataFrame, columns: list[str], mask: str, constant_sd: float = 1e-10) -> tuple[DataFrame, list[str]]:
     """Features by their mean and deviation over the rows where ``mask`` holds; (frame, surviving columns).
 
     Missing values take the training mean and set a flag; a column without any
     training value, and a value or flag that does not vary on the mask, is dropped.
-    Two aggregations of a few numbers decide which; the frame stays lazy.
+    One aggregation of a few numbers decides which; the frame stays lazy.
     """
-    on = F.col(mask)
-    ok = {c: finite(F.col(c)) for c in columns}
-    means = raw.agg(*[F.avg(F.when(on & ok[c], F.col(c))).alias(c) for c in columns]).first()
-    filled = {}
-    for c in columns:
-        if means[c] is not None:
-            filled[c] = F.when(ok[c], F.col(c)).otherwise(F.lit(means[c]))
-            filled[f"{c}_missing"] = (~ok[c]).cast("double")
-    if not filled:
-        raise ValueError("no feature has a value on the training rows")
-    stats = raw.where(on).agg(*[x for n, f in filled.items() for x in (F.avg(f).alias(f"m_{n}"), F.stddev_pop(f).alias(f"s_{n}"))]).first()
-    names = [n for n in filled if stats[f"s_{n}"] is not None and stats[f"s_{n}"] >= constant_sd]
-    if not names:
-        raise ValueError("no feature varies on the training rows")
+    one = raw.where(F.col(mask)).agg(*[F.struct(*moments(F.col(c))).alias(c) for c in columns]).first()
+    made = [(c, x) for c in columns for x in scales(c, *one[c], constant_sd)]
+    if not made:
+        raise ValueError("no feature has a value that varies on the training rows")
     keep = [c for c in raw.columns if c not in columns]
-    return raw.select(*keep, *[((filled[n] - stats[f"m_{n}"]) / stats[f"s_{n}"]).alias(n) for n in names]), names
+    return raw.select(*keep, *[x.of(F.col(c)).alias(x.name) for c, x in made]), [x.name for _, x in made]

@@ -34,9 +34,12 @@ def held_out_days(cal: DataFrame) -> DataFrame:
 
 
 def split(flows: DataFrame, cal: DataFrame, s: Settings, holdout: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(train, truth): held-out days only count as in-box truth; days outside the calendar or in the test span are in neither."""
-    days = cal.select("day", "cv_window", "in_span")
-    known = flows.join(days, "day")
+    """(train, truth): held-out days only count as in-box truth; days in the test span are in neither; a day outside the calendar is an error."""
+    days = cal.select("day", "cv_window", "in_span", F.lit(True).alias("_known"))
+    j = flows.join(days, "day", "left")
+    # One expression tells the error, so no filter can be moved before it.
+    strict = F.when(F.col("_known"), F.col("in_span")).otherwise(F.raise_error(F.concat(F.lit("a day outside the calendar: "), F.col("day").cast("string"))).cast("boolean"))
+    known = j.withColumn("in_span", strict)
     train = known.where("not in_span and cv_window is null") if holdout else known.where("not in_span")
     truth = in_box_flows(known.where("cv_window is not null"), s.box) if holdout else in_box_flows(known.limit(0), s.box)
     return train.select(*flows.columns), truth.select(*flows.columns)
@@ -47,6 +50,12 @@ def train_days(train: DataFrame, cal: DataFrame) -> DataFrame:
     return cal.join(train.select("day").distinct(), "day", "left_semi")
 
 
+def recorded_days(days: DataFrame, cal: DataFrame, holdout: bool = True) -> DataFrame:
+    """Training days among ``days`` (day) on which something was recorded, be it that nobody moved."""
+    open_ = cal.where("not in_span and cv_window is null") if holdout else cal.where("not in_span")
+    return open_.join(days.select("day").distinct(), "day", "left_semi")
+
+
 def leak_guard(target: DataFrame, observed: DataFrame) -> DataFrame:
     """Target days that are also observed; has to be empty."""
     return target.select("day").join(observed.select("day"), "day", "left_semi")
@@ -55,7 +64,11 @@ def leak_guard(target: DataFrame, observed: DataFrame) -> DataFrame:
 def candidate_pairs(train: DataFrame, box: Box) -> DataFrame:
     """pair_id, origin, dest: in-box pairs of different cells with a positive flow on any training day, numbered in order."""
     pairs = in_box_flows(train, box).where("origin <> dest and value > 0").select("origin", "dest").distinct()
-    return pairs.select((F.row_number().over(Window.orderBy("origin", "dest")) - 1).cast("int").alias("pair_id"), "origin", "dest")
+    # Numbered within an origin, after all pairs of the origins before; only one row an origin of the box is summed in a single task.
+    before = F.sum("n").over(Window.orderBy("origin").rowsBetween(Window.unboundedPreceding, -1))
+    first = pairs.groupBy("origin").agg(F.count("*").alias("n")).select("origin", F.coalesce(before, F.lit(0)).alias("first"))
+    own = pairs.withColumn("own", F.row_number().over(Window.partitionBy("origin").orderBy("dest")) - 1)
+    return own.join(first, "origin").select((F.col("first") + F.col("own")).cast("int").alias("pair_id"), "origin", "dest")
 
 
 def candidate_flows(train: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -82,10 +95,11 @@ def dense(series: DataFrame, keys: list[str], days: DataFrame, ids: DataFrame, v
     return grid.join(series.select("day", *keys, value), ["day", *keys], "left").withColumn(value, F.coalesce(F.col(value), F.lit(0.0)))
 
 
-def outside_weekday_mean(train: DataFrame, cal: DataFrame, box: Box) -> DataFrame:
+def outside_weekday_mean(train: DataFrame, cal: DataFrame, box: Box, observed: DataFrame | None = None) -> DataFrame:
     """weekday, origin, dest, mean over all observed days of that weekday since the break, whether the pair was seen or not."""
     late = train.join(cal.where("regime = 1").select("day", "weekday"), "day")
-    days = late.select("weekday", "day").distinct().groupBy("weekday").agg(F.count("*").alias("n_days"))
+    days = late.select("weekday", "day").distinct() if observed is None else observed.where("regime = 1").select("weekday", "day")
+    days = days.groupBy("weekday").agg(F.count("*").alias("n_days"))
     sums = outside_flows(late, box).groupBy("weekday", "origin", "dest").agg(F.sum("value").alias("total"))
     return sums.join(days, "weekday").select("weekday", "origin", "dest", (F.col("total") / F.col("n_days")).alias("mean"))
 
@@ -95,10 +109,11 @@ def active(flows: DataFrame, key: str) -> DataFrame:
     return flows.groupBy(key).agg(F.max((F.col("value") > 0).cast("int")).alias("active")).where("active = 1").select(key)
 
 
-def regime_level(dense_series: DataFrame, key: str, observed: DataFrame) -> DataFrame:
+def regime_level(dense_series: DataFrame, key: str, cal: DataFrame, observed: DataFrame) -> DataFrame:
     """key, regime, level: mean over observed days of each regime, 0 without any."""
-    seen = observed.select("day", F.lit(True).alias("_seen"), "regime")
-    return dense_series.join(seen, "day", "left").where("_seen").groupBy(key, "regime").agg(F.avg("value").alias("level"))
+    seen = cal.select("day", "regime").join(observed.select("day", F.lit(True).alias("_seen")), "day", "left")
+    level = F.coalesce(F.avg(F.when(F.col("_seen"), F.col("value"))), F.lit(0.0))
+    return dense_series.join(seen, "day").groupBy(key, "regime").agg(level.alias("level"))
 
 
 def share_fallback(flows: DataFrame, pairs: DataFrame, view: str) -> DataFrame:

@@ -16,13 +16,21 @@ def matched(pred: DataFrame, truth: DataFrame, s: Settings) -> DataFrame:
     return p.join(a, ["day", "origin", "dest"], "full_outer").select("day", "origin", "dest", F.coalesce("pred", F.lit(0.0)).alias("pred"), F.coalesce("actual", F.lit(0.0)).alias("actual"))
 
 
-def daily_rmse(both: DataFrame, days: DataFrame, s: Settings) -> DataFrame:
-    """day, cv_window, rmse_diag, rmse_off of every held-out day, also of those without any row."""
+def daily_rmse(both: DataFrame, days: DataFrame, s: Settings, predicted: DataFrame | None = None) -> DataFrame:
+    """day, cv_window, rmse_diag, rmse_off of every held-out day, also of those without any row.
+
+    ``predicted`` names the days for which there is a prediction, be it an empty one; another day to score is an error.
+    """
     sq = F.pow(F.col("pred") - F.col("actual"), 2)
     diag = F.col("origin") == F.col("dest")
     per = both.groupBy("day").agg(F.sum(F.when(diag, sq)).alias("d"), F.sum(F.when(~diag, sq)).alias("o"))
     root = lambda c, n: F.sqrt(F.coalesce(c, F.lit(0.0)) / float(n))
-    return days.select("day", "cv_window").join(per, "day", "left").select("day", "cv_window", root("d", s.n_diag).alias("rmse_diag"), root("o", s.n_off).alias("rmse_off"))
+    days = days.select("day", "cv_window")
+    if predicted is not None:
+        there = days.join(predicted.select("day", F.lit(True).alias("_there")).distinct(), "day", "left")
+        missing = F.raise_error(F.concat(F.lit("no prediction of "), F.col("day").cast("string"))).cast("string")
+        days = there.select("day", F.when(F.col("_there"), F.col("cv_window")).otherwise(missing).alias("cv_window"))
+    return days.join(per, "day", "left").select("day", "cv_window", root("d", s.n_diag).alias("rmse_diag"), root("o", s.n_off).alias("rmse_off"))
 
 
 def period_scores(daily: DataFrame, s: Settings) -> DataFrame:
@@ -53,6 +61,13 @@ def concentration(both: DataFrame, tops: tuple[int, ...] = (10, 50)) -> DataFram
     return worst.agg(*sums).join(total, F.lit(True)).select(F.explode(pairs).alias("x")).select("x.top", "x.share")
 
 
+def cell_concentration(both: DataFrame, top: int = 100) -> DataFrame:
+    """top, share: part of the diagonal squared error in the worst cells."""
+    per = both.where("origin = dest").groupBy("origin").agg(F.sum(F.pow(F.col("pred") - F.col("actual"), 2)).alias("e"))
+    worst = per.orderBy(F.desc("e"), "origin").limit(top).agg(F.sum("e").alias("worst"))
+    return worst.join(per.agg(F.sum("e").alias("all")), F.lit(True)).select(F.lit(top).alias("top"), (F.col("worst") / F.col("all")).alias("share"))
+
+
 def error_by_area(both: DataFrame, areas: DataFrame) -> DataFrame:
     """area of the origin: relative error against predicting nothing, predicted and actual totals."""
     j = both.join(areas.select(F.col("cell").alias("origin"), "area"), "origin")

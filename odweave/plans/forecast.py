@@ -1,19 +1,26 @@
-"""The forecasting plan: five components fitted in parallel, directional flows, blend, full forecast, scores."""
+"""The forecasting plan: five components fitted side by side, directional flows, blend, full forecast, scores."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions.columns import finite
 from ..operators import estimation, external, matrix, scoring
+from ..sources.storage import store as stored
 
-SCHEMA = "component string, sid int, t int, mean double, info string"
+SCHEMA = "component string, sid int, t int, mean double, info string, local array<double>"
+COMPONENTS = ("D5", "F-total", "F-share", "R-total", "R-share")
+#: Bytes of a component (days x series x columns) that one task may hold; a larger one is fitted over blocks in a table.
+FIT_TASK_BYTES, BLOCK_SERIES = 256 << 20, 256
 
 
 @dataclass
@@ -22,86 +29,142 @@ class Inputs:
 
     flows: DataFrame  # day, origin, dest, value
     cells: DataFrame  # cell, area, lat, lon of the box
-    reports: DataFrame  # area, day, evac, water
+    reports: list[tuple[DataFrame, list[str]]]  # (area, day, rates) and the rates' names, one for each source of reports
     weather: DataFrame  # day, station, rain, snow
     stations: DataFrame
     facility: DataFrame  # cell, facility_count
     calendar: DataFrame
+    recorded: DataFrame | None = None  # day, where days without any flow count as observed too
 
 
 def daily_external(i: Inputs) -> DataFrame:
-    rates = external.as_of(i.reports, i.calendar, i.cells, ["evac", "water"])
+    # Each source's reports come on days of their own and hold until the next of the same source.
+    held = [external.as_of(frame, i.calendar, i.cells, names) for frame, names in i.reports]
+    rates = reduce(lambda x, y: x.join(y.drop("t"), ["area", "day"]), held)
     whole = external.weather_complete(i.weather, i.calendar, i.stations)
     km = external.station_distances(i.cells, i.stations)
     return external.daily_features(i.cells, rates, external.nearest_weather(whole, km, "rain"), external.nearest_weather(whole, km, "snow"))
 
 
-def component_frame(name: str, series: DataFrame, features: DataFrame, columns: list[str], keys: list[str], s: Settings) -> DataFrame:
-    """component, sid, t, target, seen, active, x: one row a day and series, features standardised over the seen rows of active series.
+def numbered_cells(cells: DataFrame) -> DataFrame:
+    """Adds sid, the place by y, then x; the cells are those of the box, one row each."""
+    return cells.withColumn("sid", (F.row_number().over(Window.orderBy("y", "x")) - 1).cast("int"))
+
+
+def component_frame(name: str, series: DataFrame, features: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """component, sid, t, target, seen, active, raw: one row a day and series, features not standardised yet.
 
     ``series`` has the keys, day, t, sid, target, seen, active.
     """
     j = series.join(features.select(*keys, "day", *columns), [*keys, "day"])
-    z, names = external.standardize(j, columns, "seen", s.constant_sd)
-    return z.select(F.lit(name).alias("component"), "sid", "t", "target", "seen", "active", F.array(*names).alias("x"))
+    return j.select(F.lit(name).alias("component"), "sid", "t", "target", "seen", "active", F.array(*[F.col(c).cast("double") for c in columns]).alias("raw"))
+
 
+def components(i: Inputs, train: DataFrame, pairs: DataFrame, observed: DataFrame, s: Settings, only: tuple[str, ...] = COMPONENTS, store=stored) -> tuple[DataFrame, dict[str, int]]:
+    """(rows of the components: component, sid, t, target, seen, active, x; number of features of each).
 
-def components(i: Inputs, train: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(rows of all five components, candidate pairs)."""
+    The rows are stored once with raw features; one aggregation over all of them tells
+    how each feature is standardised over the seen rows of active series.
+    """
     days = i.calendar.select("day", "t", "weekday", "year_end")
-    observed = matrix.train_days(train, i.calendar).select("day", F.lit(True).alias("obs"))
-    daily = daily_external(i)
+    observed = observed.select("day", F.lit(True).alias("obs"))
+    daily = store(daily_external(i))
     cellwise = external.cell_features(daily, i.facility)
-    inner = matrix.in_box_flows(train, s.box)
-    order = F.row_number().over(Window.orderBy("y", "x")) - 1
-    cells = i.cells.withColumn("sid", order.cast("int"))
-    pairs = matrix.candidate_pairs(train, s.box)
+    cells = numbered_cells(i.cells)
     flows = matrix.candidate_flows(train, pairs)
+    columns = {n: list(external.PAIR_COLUMNS if n.endswith("share") else s.diagonal_groups if n == "D5" else s.offdiagonal_groups) for n in only}
 
-    def ready(dense_: DataFrame, act: DataFrame, key: str, extra=None) -> DataFrame:
+    def ready(dense_: DataFrame, act: DataFrame, key: str, extra: Column | None = None) -> DataFrame:
         d = dense_.join(observed, "day", "left").join(act.select(key, F.lit(True).alias("active")), key, "left")
         active = F.coalesce("active", F.lit(False))
         seen = F.coalesce("obs", F.lit(False)) & active
         return d.select("day", "t", key, "sid", F.col("value").alias("target"), (seen & extra if extra is not None else seen).alias("seen"), active.alias("active"))
 
-    diag = inner.where("origin = dest").select("day", F.col("origin").alias("cell"), "value")
-    grid = matrix.dense(diag, ["cell"], days, cells).join(cells.select("cell", "sid"), "cell")
-    parts = [component_frame("D5", ready(grid, matrix.active(diag, "cell"), "cell"), cellwise, list(s.diagonal_groups), ["cell"], s)]
+    parts = []
+    if "D5" in only:
+        diag = matrix.in_box_flows(train, s.box).where("origin = dest").select("day", F.col("origin").alias("cell"), "value")
+        grid = matrix.dense(diag, ["cell"], days, cells).join(cells.select("cell", "sid"), "cell")
+        parts.append(component_frame("D5", ready(grid, matrix.active(diag, "cell"), "cell"), cellwise, columns["D5"], ["cell"]))
     for view, label in (("outgoing", "F"), ("incoming", "R")):
         anchor, _ = matrix.ANCHOR[view]
         total = matrix.view_totals(flows, view).select("day", F.col("anchor").alias("cell"), F.col("total").alias("value"))
-        grid = matrix.dense(total, ["cell"], days, cells).join(cells.select("cell", "sid"), "cell")
-        parts.append(component_frame(f"{label}-total", ready(grid, matrix.active(total, "cell"), "cell"), cellwise, list(s.offdiagonal_groups), ["cell"], s))
-        shares = matrix.view_shares(flows, view).select("day", F.col("anchor" if view == "outgoing" else "partner").alias("origin"), F.col("partner" if view == "outgoing" else "anchor").alias("dest"), F.col("share").alias("value")).join(pairs, ["origin", "dest"])
-        grid = matrix.dense(shares, ["pair_id"], days, pairs).join(pairs.select("pair_id", F.col("pair_id").alias("sid"), F.col(anchor).alias("cell")), "pair_id")
-        grid = grid.join(total.select("day", "cell", F.col("value").alias("_total")), ["day", "cell"], "left")
-        d = ready(grid.withColumn("_pos", F.coalesce(F.col("_total") > 0, F.lit(False))), matrix.active(flows, "pair_id"), "pair_id", F.col("_pos"))
-        parts.append(component_frame(f"{label}-share", d, external.pair_features(pairs, daily, i.facility, view), list(external.PAIR_COLUMNS), ["pair_id"], s))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, pairs
-
-
-def fit_components(rows: DataFrame, cal: DataFrame, s: Settings) -> DataFrame:
-    """component, sid, t, mean and, on one row a component, its diagnostics as JSON; a component a task."""
+        if f"{label}-total" in only:
+            grid = matrix.dense(total, ["cell"], days, cells).join(cells.select("cell", "sid"), "cell")
+            parts.append(component_frame(f"{label}-total", ready(grid, matrix.active(total, "cell"), "cell"), cellwise, columns[f"{label}-total"], ["cell"]))
+        if f"{label}-share" in only:
+            shares = matrix.view_shares(flows, view).select("day", F.col("anchor" if view == "outgoing" else "partner").alias("origin"), F.col("partner" if view == "outgoing" else "anchor").alias("dest"), F.col("share").alias("value")).join(pairs, ["origin", "dest"])
+            grid = matrix.dense(shares, ["pair_id"], days, pairs).join(pairs.select("pair_id", F.col("pair_id").alias("sid"), F.col(anchor).alias("cell")), "pair_id")
+            grid = grid.join(total.select("day", "cell", F.col("value").alias("_total")), ["day", "cell"], "left")
+            d = ready(grid.withColumn("_pos", F.coalesce(F.col("_total") > 0, F.lit(False))), matrix.active(flows, "pair_id"), "pair_id", F.col("_pos"))
+            parts.append(component_frame(f"{label}-share", d, external.pair_features(pairs, daily, i.facility, view), columns[f"{label}-share"], ["pair_id"]))
+    raw = store(reduce(DataFrame.unionByName, parts))
+    per = raw.where("seen").select("component", F.posexplode("raw").alias("place", "value")).groupBy("component", "place").agg(*external.moments(F.col("value"))).collect()  # a row a feature
+    known = {(r["component"], r["place"]): r for r in per}
+    x, width = F.lit(None).cast("array<double>"), {}
+    for name in only:
+        rows = [(k, known.get((name, k))) for k in range(len(columns[name]))]
+        made = [(k, f) for k, r in rows if r for f in external.scales(columns[name][k], r["n"], r["n_ok"], r["mean"], r["sd"], s.constant_sd)]
+        if not made:
+            raise ValueError(f"{name}: no feature has a value that varies on the training rows")
+        width[name] = len(made)
+        x = F.when(F.col("component") == name, F.array(*[f.of(F.col("raw")[k]) for k, f in made])).otherwise(x)
+    return raw.withColumn("x", x).drop("raw"), width
+
+
+def fit_components(rows: DataFrame, width: dict[str, int], cal: DataFrame, s: Settings, limit: int = FIT_TASK_BYTES, store=stored) -> DataFrame:
+    """component, sid, t, mean; on one row a component its diagnostics as JSON, on the first day of each active series its local coefficients.
+
+    A component whose size is checked to fit a task is one task, all such side by side; a
+    larger one is fitted over blocks of series that stay in a table.
+    """
     days = cal.select("t", "weekday", "year_end").orderBy("t").collect()  # the calendar: a few hundred rows
     design = estimation.calendar_design(np.array([d["weekday"] for d in days]), np.array([d["year_end"] for d in days]))
+    series = {r["component"]: r["n"] for r in rows.where("t = 0").groupBy("component").agg(F.count("*").alias("n")).collect()}
+    large = [n for n in width if series.get(n, 0) * len(days) * (width[n] + 4) * 8 > limit]
+    small = [n for n in width if n not in large]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["component"].iloc[0]
-        ids = np.sort(pdf["sid"].unique())
-        pdf = pdf.sort_values(["t", "sid"])
-        shape = (len(design), len(ids))
-        grab = lambda c, kind: pdf[c].to_numpy().astype(kind).reshape(shape)
-        x = np.stack(pdf["x"].to_numpy()).reshape(*shape, -1)
-        mean, info = estimation.fit(name, grab("target", float), grab("seen", bool), grab("active", bool)[0], x, design, not name.endswith("share"), name == "D5", s)
-        t, k = np.meshgrid(np.arange(shape[0]), ids, indexing="ij")
-        out = pd.DataFrame({"component": name, "sid": k.ravel(), "t": t.ravel(), "mean": mean.ravel(), "info": None})
+        ids, a = unstacked(pdf, len(design))
+        mean, info, local = estimation.fit(name, a["target"], a["seen"], a["active"], a["x"], design, not name.endswith("share"), name == "D5", s)
+        t, k = np.meshgrid(np.arange(len(design)), ids, indexing="ij")
+        out = pd.DataFrame({"component": name, "sid": k.ravel(), "t": t.ravel(), "mean": mean.ravel(), "info": None, "local": None})
         out.loc[0, "info"] = json.dumps(info)
+        for j in np.flatnonzero(a["active"]):  # the first day's rows come first, in the order of the series
+            out.at[j, "local"] = local[j].tolist()
         return out
 
-    return rows.groupBy("component").applyInPandas(run, SCHEMA)
+    parts = [rows.where(F.col("component").isin(small)).groupBy("component").applyInPandas(run, SCHEMA)] if small else []
+    for name in large:
+        parts.append(fit_blocks(name, rows.where(F.col("component") == name), design, s, store))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def unstacked(pdf: pd.DataFrame, n_days: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Ids of the series and arrays (days, series), from rows of all days of each."""
+    pdf = pdf.sort_values(["t", "sid"])
+    ids = np.sort(pdf["sid"].unique())
+    grab = lambda c, kind: pdf[c].to_numpy().astype(kind).reshape(n_days, len(ids))
+    return ids, {"target": grab("target", float), "seen": grab("seen", bool), "active": grab("active", bool)[0], "x": np.stack(pdf["x"].to_numpy()).reshape(n_days, len(ids), -1)}
+
+
+def fit_blocks(name: str, rows: DataFrame, design: np.ndarray, s: Settings, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The fit of one component over a table of blocks of series; rows as of ``fit_components``."""
+    log_scale, local = not name.endswith("share"), name == "D5"
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, a = unstacked(pdf, len(design))
+        y = np.where(a["seen"], np.log1p(a["target"]) if log_scale else a["target"], 0.0)
+        return pd.DataFrame({"block_id": [key[0]], "payload": [estimation.pack(estimation.Block(y, a["seen"], a["active"], a["x"], design, local, ids=ids))]})
+
+    number = F.floor(F.col("sid") / BLOCK_SERIES).cast("long").alias("block_id")
+    blocks = store(rows.groupBy(number).applyInPandas(block, "block_id long, payload binary"))
+    blocks, trace = estimation.fit_distributed(blocks, s, store)
+    series, info = estimation.finish_distributed(name, blocks, trace, log_scale, s, store)
+    out = series.select(F.lit(name).alias("component"), "sid", F.posexplode("mean").alias("t", "mean"), "local")
+    first = F.col("t") == 0
+    here = first & (F.col("sid") == info.pop("first_sid"))
+    return out.select("component", "sid", "t", "mean", F.when(here, F.lit(json.dumps(info))).alias("info"), F.when(first, F.col("local")).alias("local"))
 
 
 def directional_flow(fit: DataFrame, pairs: DataFrame, flows: DataFrame, cells: DataFrame, target: DataFrame, view: str) -> DataFrame:
@@ -118,8 +181,6 @@ def blend(outgoing: DataFrame, incoming: DataFrame, weight: float) -> DataFrame:
     o, i = outgoing.withColumnRenamed("value", "_o"), incoming.withColumnRenamed("value", "_i")
     both = o.join(i, ["day", "origin", "dest"], "full_outer")
     v = (1 - weight) * F.coalesce("_o", F.lit(0.0)) + weight * F.coalesce("_i", F.lit(0.0))
-    from ..functions.columns import finite
-
     return both.select("day", "origin", "dest", F.when(finite(v), v).otherwise(F.raise_error(F.lit("a predicted flow is not finite")).cast("double")).alias("value"))
 
 
@@ -132,24 +193,36 @@ def full_forecast(diagonal: DataFrame, off: DataFrame, outside: DataFrame, targe
     return out.unionByName(diagonal.where("value > 0")).unionByName(off.where("value > 0"))
 
 
-def forecast(i: Inputs, s: Settings, target: DataFrame, holdout: bool = True, store=lambda df: df.cache()) -> dict[str, DataFrame]:
-    """fit, pairs, outgoing, incoming, diagonal, off, full. ``target`` has day, t, weekday; a target day that is observed is an error."""
+def training(i: Inputs, s: Settings, holdout: bool = True, store=stored) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(train, truth, observed days with their calendar fields, candidate pairs)."""
     train, truth = matrix.split(i.flows, i.calendar, s, holdout)
     train = store(train)
-    leaked = matrix.leak_guard(target, train)
-    if not leaked.isEmpty():
+    observed = matrix.train_days(train, i.calendar) if i.recorded is None else matrix.recorded_days(i.recorded, i.calendar, holdout)
+    return train, truth, observed, store(matrix.candidate_pairs(train, s.box))
+
+
+def fitted(i: Inputs, s: Settings, only: tuple[str, ...] = COMPONENTS, holdout: bool = True, store=stored) -> DataFrame:
+    """The fit of some components alone, as of ``fit_components``."""
+    train, _, observed, pairs = training(i, s, holdout, store)
+    rows, width = components(i, train, pairs, observed, s, only, store)
+    return store(fit_components(rows, width, i.calendar, s, store=store))
+
+
+def forecast(i: Inputs, s: Settings, target: DataFrame, holdout: bool = True, store=stored) -> dict[str, DataFrame]:
+    """fit, pairs, outgoing, incoming, diagonal, off, full, predicted. ``target`` has day, t, weekday; a target day that is observed is an error."""
+    train, truth, observed, pairs = training(i, s, holdout, store)
+    if not matrix.leak_guard(target, observed).isEmpty():
         raise ValueError("days to predict are among the training days")
-    rows, pairs = components(i, train, s)
-    pairs = store(pairs)
-    fit = store(fit_components(rows, i.calendar, s))
+    rows, width = components(i, train, pairs, observed, s, store=store)
+    fit = store(fit_components(rows, width, i.calendar, s, store=store))
     flows = matrix.candidate_flows(train, pairs)
-    cells = i.cells.select("cell", (F.row_number().over(Window.orderBy("y", "x")) - 1).cast("int").alias("sid"))
+    cells = numbered_cells(i.cells).select("cell", "sid")
     days = target.select("day", "t")
     both = [directional_flow(fit, pairs, flows, cells, days, v) for v in ("outgoing", "incoming")]
     diagonal = fit.where("component = 'D5'").join(days, "t").join(cells, "sid").select("day", F.col("cell").alias("origin"), F.col("cell").alias("dest"), F.col("mean").alias("value"))
     off = blend(*both, s.incoming_weight)
-    full = full_forecast(diagonal, off, matrix.outside_weekday_mean(train, i.calendar, s.box), target)
-    return {"train": train, "truth": truth, "pairs": pairs, "fit": fit, "outgoing": both[0], "incoming": both[1], "diagonal": diagonal, "off": off, "full": full}
+    full = full_forecast(diagonal, off, matrix.outside_weekday_mean(train, i.calendar, s.box, observed), target)
+    return {"train": train, "truth": truth, "pairs": pairs, "fit": fit, "outgoing": both[0], "incoming": both[1], "diagonal": diagonal, "off": off, "full": full, "predicted": days}
 
 
 def proxy_inputs(spark: SparkSession, sf_dir: str, s: Settings) -> Inputs:
@@ -157,13 +230,38 @@ def proxy_inputs(spark: SparkSession, sf_dir: str, s: Settings) -> Inputs:
     from ..sources import proxy, tables
 
     cells = proxy.nation_cells(spark, sf_dir).where(in_box(F.col("cell"), s.box))
-    return Inputs(proxy.flows(spark, sf_dir, s), cells, proxy.reports(spark, sf_dir, s), proxy.weather(spark, sf_dir, s), proxy.stations(spark), proxy.facilities(spark, sf_dir), tables.calendar(spark, s))
+    return Inputs(proxy.flows(spark, sf_dir, s), cells, [(proxy.reports(spark, sf_dir, s), ["evac", "water"])], proxy.weather(spark, sf_dir, s), proxy.stations(spark), proxy.facilities(spark, sf_dir), tables.calendar(spark, s))
 
 
 def scores(result: dict[str, DataFrame], cal: DataFrame, s: Settings) -> DataFrame:
     both = scoring.matched(result["full"], result["truth"], s)
-    return scoring.period_scores(scoring.daily_rmse(both, matrix.held_out_days(cal), s), s)
+    return scoring.period_scores(scoring.daily_rmse(both, matrix.held_out_days(cal), s, result["predicted"]), s)
 
 
 def shortened(s: Settings, iterations: int) -> Settings:
     return replace(s, max_iter=iterations)
+
+
+def fixed_levels(train: DataFrame, observed: DataFrame, cal: DataFrame, cells: DataFrame, target: DataFrame, s: Settings) -> DataFrame:
+    """day, origin, dest, value: the mean of each cell's diagonal over the observed days of the target day's regime."""
+    diag = matrix.in_box_flows(train, s.box).where("origin = dest").select("day", F.col("origin").alias("cell"), "value")
+    level = matrix.regime_level(matrix.dense(diag, ["cell"], cal, cells), "cell", cal, observed)
+    return target.select("day", "regime").join(level, "regime").select("day", F.col("cell").alias("origin"), F.col("cell").alias("dest"), F.col("level").alias("value"))
+
+
+def ablation(i: Inputs, s: Settings, target: DataFrame, store=stored) -> DataFrame:
+    """variant, nrmse_diag over all held-out days: the diagonal fit with one source of features, with all, and with levels fixed by regime instead."""
+    train, truth, observed, _ = training(i, s, True, store)
+    cells, days = numbered_cells(i.cells).select("cell", "sid"), target.select("day", "t")
+
+    def scored(name: str, diagonal: DataFrame) -> DataFrame:
+        both = scoring.matched(diagonal, truth.where("origin = dest"), s)
+        total = scoring.period_scores(scoring.daily_rmse(both, target, s, days), s).where("period = 'overall'")
+        return total.select(F.lit(name).alias("variant"), "nrmse_diag")
+
+    parts = [scored("fixed levels", fixed_levels(train, observed, i.calendar, i.cells, target, s))]
+    for groups in (*[(g,) for g in s.diagonal_groups], s.diagonal_groups):
+        fit = fitted(i, replace(s, diagonal_groups=groups), ("D5",), True, store)
+        diagonal = fit.join(days, "t").join(cells, "sid").select("day", F.col("cell").alias("origin"), F.col("cell").alias("dest"), F.col("mean").alias("value"))
+        parts.append(scored(" + ".join(groups), diagonal))
+    return reduce(DataFrame.unionByName, parts)

@@ -85,7 +85,7 @@ def directional(fallback: str, anchor: str) -> str:
 
 
 WITH["out_flow"], WITH["in_flow"] = directional("fallback", "origin"), directional("fallback_in", "dest")
-WITH["blend"] = "SELECT o.day, o.origin, o.dest, 0.5::DOUBLE * o.value + 0.5::DOUBLE * i.value AS value FROM out_flow o JOIN in_flow i ON o.day = i.day AND o.origin = i.origin AND o.dest = i.dest"
+WITH["blend"] = "SELECT day, origin, dest, 0.5::DOUBLE * coalesce(o.value, 0.0) + 0.5::DOUBLE * coalesce(i.value, 0.0) AS value FROM out_flow o FULL JOIN in_flow i USING (day, origin, dest)"
 WITH["presence"] = "SELECT day, origin AS cell, SUM(value) AS presence FROM od WHERE oin AND din GROUP BY 1, 2"
 WITH["damage"] = f"""SELECT cell, {q('b')} AS before, {q('a')} AS after, {q('CASE WHEN a > 0 THEN greatest(-3.0, least(3.0, log2(a / b))) ELSE -3.0 END')} AS ratio FROM (
   SELECT cell, coalesce(SUM(CASE WHEN day < DATE '1996-01-01' THEN presence END), 0.0) / (SELECT count(DISTINCT day) FROM od WHERE day < DATE '1996-01-01') AS b,
@@ -164,7 +164,7 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
     "active_series": "SELECT 'diag' AS kind, cell AS series FROM diag WHERE value > 0 GROUP BY 2 UNION ALL SELECT 'outgoing', origin FROM flow WHERE value > 0 GROUP BY 2 UNION ALL SELECT 'pair', CAST(pair_id AS VARCHAR) FROM flow WHERE value > 0 GROUP BY 2",
     "outside_weekday_mean": f"SELECT weekday, origin, dest, {q('mean')} AS mean FROM outside",
     "log_diag": f"SELECT day, cell, {q('ln(1 + value)')} AS log_value FROM diag",
-    "regime_level": f"SELECT cell, regime, {q('avg(value)')} AS level FROM dense WHERE day IN (SELECT day FROM seen) GROUP BY 1, 2",
+    "regime_level": f"SELECT cell, regime, {q('coalesce(avg(value) FILTER (day IN (SELECT day FROM seen)), 0.0)')} AS level FROM dense GROUP BY 1, 2",
     "share_fallback": f"SELECT pair_id, {q('ratio')} AS ratio FROM fallback",
     "share_renormalized": f"""SELECT day, pair_id, {q('CASE WHEN s > 0 THEN u / s ELSE ratio END')} AS share FROM (SELECT day, pair_id, greatest(share - 0.05::DOUBLE, 0.0) AS u, SUM(greatest(share - 0.05::DOUBLE, 0.0)) OVER (PARTITION BY day, origin) AS s FROM share) JOIN fallback USING (pair_id)""",
     "inspect_summary": "SELECT 'observed_days' AS item, count(*) AS n FROM seen UNION ALL SELECT 'candidate_pairs', count(*) FROM pairs UNION ALL SELECT 'outside_pairs_' || weekday, count(*) FROM outside GROUP BY weekday",
@@ -181,9 +181,18 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
       s AS (SELECT feature, avg(v) AS mu, stddev_pop(v) AS sd FROM f WHERE day IN (SELECT day FROM seen) GROUP BY 1) SELECT t, cell, feature, {q('(v - mu) / sd')} AS z FROM f JOIN s USING (feature) WHERE sd >= 1e-10""",
     "kalman_filter_fixed": f"SELECT cell, CAST(t AS INT) AS t, {q('m')} AS mean, {q('p')} AS var FROM kfs",
     "rts_smoother_fixed": f"""SELECT r.cell, CAST(r.t AS INT) AS t, {q('r.m')} AS mean, {q('r.p')} AS var, {q("coalesce(b.back, 0.0)")} AS lag_cov FROM rts r LEFT JOIN rts b ON b.cell = r.cell AND b.t = r.t - 1""",
+    "gram_stats": f"""WITH act AS (SELECT cell FROM diag WHERE value > 0 GROUP BY 1), base AS (SELECT t, cell, evac, water, rain FROM feat WHERE day IN (SELECT day FROM seen) AND cell IN (SELECT cell FROM act)),
+      raw AS (SELECT t, cell, 'evac' AS f, evac AS x FROM base UNION ALL SELECT t, cell, 'water', water FROM base UNION ALL SELECT t, cell, 'rain', rain FROM base),
+      mu AS (SELECT f, avg(x) AS m FROM raw GROUP BY 1 HAVING count(x) > 0),
+      full_ AS (SELECT t, cell, f, coalesce(x, m) AS v FROM raw JOIN mu USING (f) UNION ALL SELECT t, cell, f || '_missing', CAST(x IS NULL AS DOUBLE) FROM raw JOIN mu USING (f)),
+      sd AS (SELECT f, avg(v) AS m, stddev_pop(v) AS s FROM full_ GROUP BY 1), x AS (SELECT t, cell, f, (v - m) / s AS v, true AS feature FROM full_ JOIN sd USING (f) WHERE s >= 1e-10),
+      k AS (SELECT t, 'weekday_' || k AS f, CAST(weekday = k AS DOUBLE) AS v FROM cal CROSS JOIN range(1, 7) r(k) UNION ALL SELECT t, 'turn', CAST(year_end AS DOUBLE) FROM cal),
+      z AS (SELECT * FROM x UNION ALL SELECT t, cell, f, v, false FROM base JOIN k USING (t)),
+      g AS (SELECT a.cell, a.f AS i, b.f AS j, a.feature AS fi, b.feature AS fj, SUM(a.v * b.v) AS v FROM z a JOIN z b ON a.t = b.t AND a.cell = b.cell GROUP BY 1, 2, 3, 4, 5)
+      SELECT 'zz' AS kind, cell, i, j, {q('v', 4)} AS v FROM g UNION ALL SELECT 'zx', cell, i, j, {q('v', 4)} FROM g WHERE fj UNION ALL SELECT 'xx', NULL, i, j, {q('SUM(v)', 4)} FROM g WHERE fi AND fj GROUP BY i, j""",
     "blend_flow": f"SELECT day, origin, dest, {q('value')} AS value FROM blend",
     "blend_compare": f"""WITH off AS (SELECT day, origin, dest, value FROM truth WHERE origin <> dest), e AS (SELECT coalesce(o.value, 0.0) - coalesce(f.value, 0.0) AS eo, coalesce(i.value, 0.0) - coalesce(f.value, 0.0) AS ei, coalesce(b.value, 0.0) - coalesce(f.value, 0.0) AS eb
-      FROM out_flow o JOIN in_flow i USING (day, origin, dest) JOIN blend b USING (day, origin, dest) FULL JOIN off f USING (day, origin, dest))
+      FROM out_flow o FULL JOIN in_flow i USING (day, origin, dest) FULL JOIN blend b USING (day, origin, dest) FULL JOIN off f USING (day, origin, dest))
       SELECT 'outgoing' AS variant, {q('sqrt(avg(eo * eo))')} AS value FROM e UNION ALL SELECT 'incoming', {q('sqrt(avg(ei * ei))')} FROM e UNION ALL SELECT 'blend', {q('sqrt(avg(eb * eb))')} FROM e UNION ALL SELECT 'error_correlation', {q('corr(eo, ei)')} FROM e""",
     "daily_rmse": f"SELECT day, cv_window, {q('rmse_diag')} AS rmse_diag, {q('rmse_off')} AS rmse_off FROM ({rmse('matched')})",
     "score_periods": periods("matched"),
@@ -197,6 +206,8 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
       FROM matched WHERE origin <> dest AND (pred > 0 OR actual > 0) GROUP BY 1)""",
     "error_concentration": f"""WITH p AS (SELECT origin, dest, SUM(pow(pred - actual, 2)) AS e FROM matched WHERE origin <> dest GROUP BY 1, 2), r AS (SELECT e, row_number() OVER (ORDER BY e DESC, origin, dest) AS k FROM p)
       SELECT top, {q('(SELECT SUM(e) FROM r WHERE k <= top) / (SELECT SUM(e) FROM p)')} AS share FROM (VALUES (10), (50)) v(top)""",
+    "cell_error_concentration": f"""WITH p AS (SELECT origin, SUM(pow(pred - actual, 2)) AS e FROM matched WHERE origin = dest GROUP BY 1), r AS (SELECT e, row_number() OVER (ORDER BY e DESC, origin) AS k FROM p)
+      SELECT CAST(top AS INT) AS top, {q('(SELECT SUM(e) FROM r WHERE k <= top) / (SELECT SUM(e) FROM p)')} AS share FROM (VALUES (5)) v(top)""",
     "error_by_area": f"""SELECT area, {q('CASE WHEN SUM(actual * actual) > 0 THEN sqrt(SUM(pow(pred - actual, 2)) / SUM(actual * actual)) END', 4)} AS relative_error, {q('SUM(pred)', 4)} AS pred_total, {q('SUM(actual)', 4)} AS actual_total FROM matched JOIN cells ON cell = origin GROUP BY 1""",
     "daily_bias": f"""SELECT g.day, {q('CASE WHEN ad > 0 THEN (coalesce(pd, 0.0) - ad) / ad END')} AS bias_diag, {q('CASE WHEN ao > 0 THEN (coalesce(po, 0.0) - ao) / ao END')} AS bias_off FROM target g LEFT JOIN
       (SELECT day, SUM(pred) FILTER (origin = dest) AS pd, SUM(actual) FILTER (origin = dest) AS ad, SUM(pred) FILTER (origin <> dest) AS po, SUM(actual) FILTER (origin <> dest) AS ao FROM matched GROUP BY 1) USING (day)""",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from ..config import PROXY, Settings
 from ..functions.columns import in_box, parse_cell, quantized
 from ..operators import estimation, external, matrix, scoring
 from ..sources import proxy, tables
+from ..sources.storage import store
 from . import analytics, forecast
 from .oracle import SQL
 
@@ -70,7 +70,8 @@ class Views:
 
     @property
     def daily(self) -> DataFrame:
-        return forecast.daily_external(self.inputs)
+        """Stored: several sides of one plan look at it."""
+        return store(forecast.daily_external(self.inputs))
 
     @property
     def baseline(self) -> DataFrame:
@@ -238,7 +239,7 @@ def log_diag(spark, sf_dir):
 @query
 def regime_level(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return matrix.regime_level(v.diag_dense, "cell", v.observed).select("cell", "regime", quantized(F.col("level")).alias("level"))
+    return matrix.regime_level(v.diag_dense, "cell", v.cal, v.observed).select("cell", "regime", quantized(F.col("level")).alias("level"))
 
 
 @query
@@ -321,7 +322,7 @@ def standardize_features(spark, sf_dir):
     groups = ["evac", "water", "rain", "snow", "shelter"]
     seen = v.observed.select("day", F.lit(True).alias("seen"))
     raw = external.cell_features(v.daily, v.facility).join(seen, "day", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    z, names = external.standardize(raw.select("t", "cell", "seen", *groups), groups, "seen", S.constant_sd)
+    z, names = external.standardize(store(raw.select("t", "cell", "seen", *groups)), groups, "seen", S.constant_sd)
     long = z.select("t", "cell", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("z")) for n in names])).alias("x"))
     return long.select("t", "cell", "x.feature", quantized(F.col("x.z")).alias("z"))
 
@@ -368,23 +369,18 @@ def rts_smoother_fixed(spark, sf_dir):
     return _smoothed(spark, sf_dir).select("cell", "t", *[quantized(F.col(c)).alias(c) for c in ("mean", "var", "lag_cov")])
 
 
-@cache
-def _forecast(app: str, sf_dir: str) -> dict[str, DataFrame]:
-    """One fit a session and input: the queries below look at it from several sides."""
-    from ..sources.storage import store
-
-    spark = SparkSession.getActiveSession()
-    i = forecast.proxy_inputs(spark, sf_dir, S)
-    return forecast.forecast(i, S, i.calendar.where("cv_window is not null"), store=store)
+def fitted(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = forecast.COMPONENTS) -> DataFrame:
+    return forecast.fitted(forecast.proxy_inputs(spark, sf_dir, S), S, only)
 
 
-def fitted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return _forecast(spark.sparkContext.applicationId, sf_dir)
+def forecasted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    i = forecast.proxy_inputs(spark, sf_dir, S)
+    return forecast.forecast(i, S, i.calendar.where("cv_window is not null"))
 
 
 def _em(key: str, names: tuple[str, ...]):
     def f(spark, sf_dir):
-        return fitted(spark, sf_dir)["fit"].where(F.col("component").isin(*names)).select("component", "sid", "t", "mean")
+        return fitted(spark, sf_dir, names).select("component", "sid", "t", "mean")
 
     f.__name__ = key
     return query(f)
@@ -400,49 +396,58 @@ INFO = "model string, active long, observations long, q double, r double, iterat
 @query
 def fit_diagnostics(spark, sf_dir):
     info = F.from_json("info", INFO)
-    return fitted(spark, sf_dir)["fit"].where("info is not null").select(info.alias("x")).select("x.*").drop("beta", "local_mean")
+    return fitted(spark, sf_dir).where("info is not null").select(info.alias("x")).select("x.*").drop("beta", "local_mean")
 
 
 @query
 def coef_summary(spark, sf_dir):
     """Mean local coefficient of each regressor and the global ones, by component."""
-    x = fitted(spark, sf_dir)["fit"].where("info is not null").select(F.from_json("info", INFO).alias("x"))
+    x = fitted(spark, sf_dir).where("info is not null").select(F.from_json("info", INFO).alias("x"))
     kinds = F.array(F.struct(F.lit("local").alias("kind"), F.col("x.local_mean").alias("v")), F.struct(F.lit("global").alias("kind"), F.col("x.beta").alias("v")))
     return x.select("x.model", F.explode(kinds).alias("k")).select("model", "k.kind", F.posexplode("k.v").alias("place", "coefficient"))
 
 
 @query
 def ridge_fit(spark, sf_dir):
-    return coef_summary(spark, sf_dir).where("model = 'D5'")
+    """Coefficients of the two levels of the diagonal fit: local ones of every active series, and the global ones (sid null)."""
+    fit = fitted(spark, sf_dir, ("D5",))
+    local = fit.where("local is not null").select("sid", F.posexplode("local").alias("place", "coefficient"))
+    shared = fit.where("info is not null").select(F.lit(None).cast("int").alias("sid"), F.posexplode(F.from_json("info", INFO)["beta"]).alias("place", "coefficient"))
+    return local.unionByName(shared)
 
 
 @query
 def gram_stats(spark, sf_dir):
-    """Masked sums of products of the calendar regressors over the diagonal series, row by row of the matrix."""
+    """Masked sums of products over the seen days of active diagonal series: zz and zx by cell, xx over all; z is the calendar and x, x the features."""
     v = Views(spark, sf_dir)
-    d = calendar_regressors(spark, sf_dir)
-    names = d.columns[1:]
-    n = v.cells.count()
-    seen = d.join(v.observed.select("t"), "t")
-    sums = [F.sum(F.col(a) * F.col(b) * n).cast("long").alias(f"{a}__{b}") for a in names for b in names]
-    wide = seen.agg(*sums)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"{a}__{b}").alias("v")) for a in names for b in names])).alias("x")).select("x.i", "x.j", "x.v")
+    seen = v.observed.select("day", F.lit(True).alias("obs"))
+    raw = external.cell_features(v.daily, v.facility).join(matrix.active(v.diag, "cell"), "cell").join(seen, "day")
+    z, names = external.standardize(store(raw.select("t", "cell", "obs", *S.diagonal_groups)), list(S.diagonal_groups), "obs", S.constant_sd)
+    j = z.join(calendar_regressors(spark, sf_dir), "t")
+    left = [*[f"weekday_{k}" for k in range(1, 7)], "turn", *names]
+    sums = j.groupBy("cell").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a in left for b in left])
+    cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"{a}__{b}").cast("double").alias("v")) for a in left for b in left])
+    long = store(sums.select("cell", F.explode(cells).alias("x")).select("cell", "x.i", "x.j", "x.v"))
+    is_x = F.col("j").isin(names)
+    per = long.select(F.lit("zz").alias("kind"), "cell", "i", "j", "v").unionByName(long.where(is_x).select(F.lit("zx").alias("kind"), "cell", "i", "j", "v"))
+    all_ = long.where(is_x & F.col("i").isin(names)).groupBy("i", "j").agg(F.sum("v").alias("v")).select(F.lit("xx").alias("kind"), F.lit(None).cast("string").alias("cell"), "i", "j", "v")
+    return per.unionByName(all_).select("kind", "cell", "i", "j", quantized(F.col("v"), 4).alias("v"))
 
 
 @query
 def directional_flow(spark, sf_dir):
-    r = fitted(spark, sf_dir)
+    r = forecasted(spark, sf_dir)
     return r["outgoing"].withColumn("view", F.lit("outgoing")).unionByName(r["incoming"].withColumn("view", F.lit("incoming")))
 
 
 @query
 def forecast_full(spark, sf_dir):
-    return fitted(spark, sf_dir)["full"]
+    return forecasted(spark, sf_dir)["full"]
 
 
 @query
 def forecast_scores(spark, sf_dir):
-    return forecast.scores(fitted(spark, sf_dir), tables.calendar(spark, S), S)
+    return forecast.scores(forecasted(spark, sf_dir), tables.calendar(spark, S), S)
 
 
 # --- scores and documented analyses ------------------------------------------
@@ -518,6 +523,18 @@ def error_concentration(spark, sf_dir):
     return scoring.concentration(Views(spark, sf_dir).matched).select("top", quantized(F.col("share")).alias("share"))
 
 
+@query
+def ablation(spark, sf_dir):
+    """Diagonal error of the held-out days without features' sources but one, and with all, beside levels that stay fixed by regime; errors as of ``score_periods``."""
+    i = forecast.proxy_inputs(spark, sf_dir, S)
+    return forecast.ablation(i, S, i.calendar.where("cv_window is not null"))
+
+
+@query
+def cell_error_concentration(spark, sf_dir):
+    return scoring.cell_concentration(Views(spark, sf_dir).matched, 5).select("top", quantized(F.col("share")).alias("share"))
+
+
 @query
 def error_by_area(spark, sf_dir):
     v = Views(spark, sf_dir)

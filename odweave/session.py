@@ -8,21 +8,17 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "odweave", cores: int | str | None = None) -> SparkSession:
-    """The running session, or a new local one.
-
-    On a cluster the session exists already and only comes back; nothing here
-    overrides what the cluster has set.
-    """
+    """The running session as it is, else a new one: local unless SPARK_MASTER names a cluster, whose settings then hold."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     n = cores or os.environ.get("BENCH_CPUS", "*")
-    return (
-        SparkSession.builder.appName(app)
-        .master(os.environ.get("SPARK_MASTER", f"local[{n}]"))
-        .config("spark.sql.shuffle.partitions", os.environ.get("ODWEAVE_PARTITIONS", "8"))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("ODWEAVE_DRIVER_MEMORY", "12g"))
-        .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
-    )
+    builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    master = os.environ.get("SPARK_MASTER")
+    if master:
+        return builder.master(master).getOrCreate()
+    local = {
+        "spark.sql.shuffle.partitions": os.environ.get("ODWEAVE_PARTITIONS", "8"), "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": os.environ.get("ODWEAVE_DRIVER_MEMORY", "12g"), "spark.driver.host": "127.0.0.1",
+    }
+    return builder.master(f"local[{n}]").config(map=local).getOrCreate()

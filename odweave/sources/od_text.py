@@ -30,16 +30,26 @@ def read_od(spark: SparkSession, path: str) -> DataFrame:
     return explode_od(read_od_days(spark, path))
 
 
-def od_lines(flows: DataFrame) -> DataFrame:
-    """value: one line a day, for days that have a row."""
+def od_lines(flows: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """day, value: one line a day, for the days (day) that are named or else for those that have a row; a day without a row is an empty map."""
     by_origin = flows.groupBy("day", "origin").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("dest", "value")))).alias("m"))
-    by_day = by_origin.groupBy("day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("origin", F.to_json("m").alias("m"))))).alias("o"))
-    # The inner maps are JSON already; the outer one is put together as text.
-    body = F.concat(F.lit("{"), F.concat_ws(", ", F.expr("transform(map_entries(o), e -> concat('\"', e.key, '\": ', e.value))")), F.lit("}"))
-    return by_day.select("day", F.concat(day_int(F.col("day")).cast("string"), F.lit("\t"), body).alias("value"))
-
-
-def write_od(flows: DataFrame, path: str) -> None:
-    """A folder with a single text file, days ascending."""
-    lines = od_lines(flows)
-    lines.orderBy("day").coalesce(1).select("value").write.mode("overwrite").text(path)
+    ordered = F.array_sort(F.collect_list(F.struct("origin", "m")), lambda x, y: F.when(x["origin"] < y["origin"], -1).when(x["origin"] > y["origin"], 1).otherwise(0))
+    by_day = by_origin.groupBy("day").agg(F.to_json(F.map_from_entries(ordered)).alias("body"))
+    if days is not None:
+        by_day = days.select("day").distinct().join(by_day, "day", "left")
+    return by_day.select("day", F.concat(day_int(F.col("day")).cast("string"), F.lit("\t"), F.coalesce("body", F.lit("{}"))).alias("value"))
+
+
+def write_od(flows: DataFrame, path: str, days: DataFrame | None = None) -> None:
+    """A single text file, days ascending; a day's line is one row, so what one task writes is as many rows as there are days."""
+    spark = flows.sparkSession
+    parts = f"{path}.parts"
+    od_lines(flows, days).repartition(1).sortWithinPartitions("day").select("value").write.mode("overwrite").text(parts)
+    # The one part takes the file's name, in whatever store the path lies.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hadoop(path), True)
+    part = next(str(f.getPath()) for f in fs.listStatus(hadoop(parts)) if f.getPath().getName().startswith("part-"))
+    if not fs.rename(hadoop(part), hadoop(path)):
+        raise OSError(f"{path} was not written")
+    fs.delete(hadoop(parts), True)

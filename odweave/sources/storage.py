@@ -2,19 +2,40 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """A folder of this process, for a local master; it goes with the process."""
+    path = tempfile.mkdtemp(prefix="odweave-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where driver and executors are one process, on a cluster an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return _own_folder()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; only where the session names none, in a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="odweave-")
-    return f"{where.rstrip('/')}/odweave/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/odweave/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it again: what follows outlives any executor, and nothing before runs twice."""
     path = scratch(df.sparkSession, "frame")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

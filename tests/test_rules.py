@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from odweave.config import PROXY, Box, Settings
 from odweave.functions.columns import in_box
-from odweave.functions.numbers import format_value, round_floats
+from odweave.functions.numbers import round_floats, shown
 from odweave.operators import estimation, external, matrix, scoring
 from odweave.sources import od_text, sinks, tables
 
@@ -92,6 +92,8 @@ def test_scores(spark):
     truth = spark.createDataFrame([(D(1, 25), "35_30", "35_30", 3.0), (D(1, 25), "35_30", "35_31", 4.0), (D(1, 25), "33_30", "35_31", 9.0)], schema)
     pred = spark.createDataFrame([(D(1, 25), "35_30", "35_30", 1.0), (D(1, 25), "35_31", "35_30", 2.0), (D(1, 25), "33_30", "33_31", 7.0)], schema)
     days = tables.calendar(spark, PROXY).where("cv_window is not null")
+    with pytest.raises(Exception, match="no prediction of 1996-04-07"):
+        scoring.daily_rmse(scoring.matched(pred, truth, PROXY), days, PROXY, days.where("day <> date'1996-04-07'").select("day")).collect()
     daily = scoring.daily_rmse(scoring.matched(pred, truth, PROXY), days, PROXY)
     got = {r["day"]: r for r in daily.collect()}
     assert len(got) == 14
@@ -110,20 +112,26 @@ def test_aligned(spark):
 
 def test_numbers():
     assert round_floats({"a": 0.0000004567891, "b": [0.1234565, 3]}) == {"a": 4.56789e-07, "b": [round(0.1234565, 6), 3]}
-    assert (format_value(1.0), format_value(3)) == ("1.0000", "3")
+    assert (shown(1.0), shown(3)) == ("1.0000", "3")
 
 
 def test_outputs(tmp_path):
-    sinks.write_metrics(tmp_path / "m" / "x.json", {"config": {}, "experiment": "é", "results": 0.12345678})
-    text = (tmp_path / "m" / "x.json").read_text()
-    assert list(json.loads(text)) == ["experiment", "results", "config"] and text.endswith("}\n") and "é" in text
+    text = sinks.metrics_text({"config": {}, "experiment": "é", "results": 0.12345678, "more": 1})
+    assert list(json.loads(text)) == ["experiment", "results", "config", "more"] and text.endswith("}\n") and "é" in text and "0.123457" in text
     with pytest.raises(ValueError):
-        sinks.write_metrics(tmp_path / "bad.json", {"results": float("nan")})
-    with pytest.raises(KeyError), sinks.run_log(tmp_path / "log", "e", "--validate", "c") as log:
-        log.stage("one", "first")
+        sinks.metrics_text({"results": float("nan")})
+    with pytest.raises(KeyError), sinks.run_log(tmp_path / "m" / "log", "command --validate") as tell:
+        tell("stage", "one")
+        tell("stage", "two")
         raise KeyError("x")
-    block = (tmp_path / "log").read_text()
-    assert "FAILED" in block and "(FAIL, " in block and "error: KeyError" in block
+    with sinks.run_log(tmp_path / "m" / "log", "command --submit") as tell:
+        tell("stage", "only")
+        tell("result", "score 1.0000")
+    first, second = (tmp_path / "m" / "log").read_text().split("\n\n")[:2]
+    assert "FAILED" in first and "two [FAIL]" in first and "error  KeyError: 'x'" in first and "one [0.0 s]" in first and "start  command --validate" in first
+    assert "SUCCESS" in second and "only [0.0 s]" in second and "result score 1.0000" in second
+    assert sinks.relative(tmp_path / "a" / "b", tmp_path) == "a/b" and sinks.relative(tmp_path, tmp_path / "a") == str(tmp_path)
+    assert sinks.command_line("--check").endswith(" --check") and list(Settings().model()) == ["diagonal_groups", "offdiagonal_groups", "incoming_weight", "em", "ridge"]
     assert sinks.outside_check(tmp_path / "none.py", tmp_path) == "skipped: no validator"
     (tmp_path / "v.py").write_text("raise SystemExit(1)")
     with pytest.raises(ValueError):
@@ -208,24 +216,56 @@ def test_em_equals_plain_version(local):
     target, seen, active, x, cal = component(np.random.default_rng(5))
     want, q, r = two_step(target, seen, active, x, cal, local, s)
     for block in (512, 2):
-        got, info = estimation.fit("c", target, seen, active, x, cal, True, local, s, block)
-        assert np.allclose(got, want, rtol=1e-8, atol=1e-9)
+        got, info, local_ = estimation.fit("c", target, seen, active, x, cal, True, local, s, block)
+        assert np.allclose(got, want, rtol=1e-8, atol=1e-9) and len(local_) == 7
         assert info["q"] == pytest.approx(q, rel=1e-8) and info["r"] == pytest.approx(r, rel=1e-8)
 
 
-def test_distributed_em_equals_local(spark, tmp_path):
-    from odweave.sources.storage import store
+def test_component_in_blocks_equals_one_task(spark):
+    """The plan's fit of rows: a component over the size that one task may hold goes through a table of blocks."""
+    from odweave.plans import forecast
 
     s = Settings(start=dt.date(2024, 1, 1), end=dt.date(2024, 4, 29), break_day=dt.date(2024, 2, 10), max_iter=3, tol=0.0)
     target, seen, active, x, cal = component(np.random.default_rng(6))
-    _, info = estimation.fit("c", target, seen, active, x, cal, True, True, s)
-    y = np.where(seen, np.log1p(target), 0.0)
-    rows = [(i, estimation.pack(estimation.Block(y[:, c], seen[:, c], active[c], x[:, c], cal, True))) for i, c in enumerate((slice(0, 3), slice(3, 7)))]
-    _, t = estimation.fit_distributed(spark.createDataFrame([(i, bytearray(b)) for i, b in rows], "block_id long, payload binary"), s, store)
-    assert (t.q, t.r) == (pytest.approx(info["q"], rel=1e-9), pytest.approx(info["r"], rel=1e-9))
-    assert np.allclose(t.beta, info["beta"])
+    days = spark.createDataFrame([(t, t % 7, t % 50 < 3) for t in range(120)], "t int, weekday int, year_end boolean")
+    rows = spark.createDataFrame(
+        [("D5", i, t, float(target[t, i]), bool(seen[t, i]), bool(active[i]), x[t, i].tolist()) for t in range(120) for i in range(7)],
+        "component string, sid int, t int, target double, seen boolean, active boolean, x array<double>",
+    )
+    want, info, local = estimation.fit("D5", target, seen, active, x, cal, True, True, s)
+    forecast.BLOCK_SERIES, kept = 3, forecast.BLOCK_SERIES
+    both = [{(r["sid"], r["t"]): r for r in forecast.fit_components(rows, {"D5": 3}, days, s, limit).collect()} for limit in (1 << 30, 1000)]
+    forecast.BLOCK_SERIES = kept
+    for got in both:
+        assert np.allclose([[got[i, t]["mean"] for i in range(7)] for t in range(120)], want, rtol=1e-8, atol=1e-9)
+        assert all((got[i, 0]["local"] is not None) == bool(active[i]) for i in range(7)) and np.allclose([got[i, 0]["local"] for i in range(6)], local[:6])
+        told = [json.loads(r["info"]) for r in got.values() if r["info"]]
+        assert len(told) == 1 and set(told[0]) == set(info)
+        for k, v in info.items():
+            assert told[0][k] == (pytest.approx(v, rel=1e-7, abs=1e-9) if k not in ("model", "converged") else v), k
 
 
 def test_run_away_mean_is_an_error():
     with pytest.raises(FloatingPointError):
         estimation.back_transformed("c", np.full((2, 1), 60.0), np.array([True]), True, Settings())
+
+
+def test_days_outside_the_calendar_and_levels_without_days(spark):
+    cal = tables.calendar(spark, PROXY)
+    schema = "day date, origin string, dest string, value double"
+    with pytest.raises(Exception, match="outside the calendar: 1999-01-01"):
+        matrix.split(spark.createDataFrame([(dt.date(1999, 1, 1), "35_30", "35_30", 1.0)], schema), cal, PROXY)[0].collect()
+    series = spark.createDataFrame([(D(1, 8), "c", 4.0), (D(1, 9), "c", 8.0), (dt.date(1995, 12, 1), "c", 5.0)], "day date, cell string, value double")
+    observed = cal.where("day = date'1996-01-08'")
+    assert {(r["regime"], r["level"]) for r in matrix.regime_level(series, "cell", cal, observed).collect()} == {(0, 0.0), (1, 4.0)}
+
+
+def test_od_file_keeps_empty_days_and_odd_names(spark, tmp_path):
+    flows = spark.createDataFrame([(D(1, 2), 'a"b', "c", 1.5), (D(1, 2), "a", "é", 2.0)], "day date, origin string, dest string, value double")
+    path = str(tmp_path / "out" / "od.tsv")
+    for _ in range(2):  # a second run takes the place of the first
+        od_text.write_od(flows, path, spark.createDataFrame([(D(1, 3),), (D(1, 2),), (D(1, 1),)], "day date"))
+    lines = open(path, encoding="utf-8").read().splitlines()
+    assert [x.split("\t")[0] for x in lines] == ["19960101", "19960102", "19960103"] and lines[0].endswith("\t{}")
+    assert json.loads(lines[1].split("\t")[1]) == {"a": {"é": 2.0}, 'a"b': {"c": 1.5}}
+    assert od_text.read_od_days(spark, path).count() == 3 and sorted(map(tuple, od_text.read_od(spark, path).collect())) == sorted(map(tuple, flows.collect()))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,42 +123,43 @@ def fit_components(rows: DataFrame, width: dict[str, int], cal: DataFrame, s: Se
     large = [n for n in width if series.get(n, 0) * len(days) * (width[n] + 4) * 8 > limit]
     small = [n for n in width if n not in large]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["component"].iloc[0]
-        ids, a = unstacked(pdf, len(design))
+    def run(table: pa.Table) -> pa.Table:
+        name = table.column("component")[0].as_py()
+        ids, a = unstacked(table, len(design))
         mean, info, local = estimation.fit(name, a["target"], a["seen"], a["active"], a["x"], design, not name.endswith("share"), name == "D5", s)
-        t, k = np.meshgrid(np.arange(len(design)), ids, indexing="ij")
-        out = pd.DataFrame({"component": name, "sid": k.ravel(), "t": t.ravel(), "mean": mean.ravel(), "info": None, "local": None})
-        out.loc[0, "info"] = json.dumps(info)
-        for j in np.flatnonzero(a["active"]):  # the first day's rows come first, in the order of the series
-            out.at[j, "local"] = local[j].tolist()
-        return out
-
-    parts = [rows.where(F.col("component").isin(small)).groupBy("component").applyInPandas(run, SCHEMA)] if small else []
+        n, size = len(ids), mean.size  # day by day: the first day's rows come first, in the order of the series
+        return pa.table({
+            "component": pa.repeat(name, size), "sid": pa.array(np.tile(ids, len(design)), pa.int32()), "t": pa.array(np.repeat(np.arange(len(design)), n), pa.int32()), "mean": pa.array(mean.ravel()),
+            "info": pa.array([json.dumps(info)] + [None] * (size - 1), pa.string()), "local": pa.array([x.tolist() if on else None for x, on in zip(local, a["active"], strict=True)] + [None] * (size - n), pa.list_(pa.float64())),
+        })
+
+    parts = [rows.where(F.col("component").isin(small)).groupBy("component").applyInArrow(run, SCHEMA)] if small else []
     for name in large:
         parts.append(fit_blocks(name, rows.where(F.col("component") == name), design, s, store))
     return reduce(DataFrame.unionByName, parts)
 
 
-def unstacked(pdf: pd.DataFrame, n_days: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def unstacked(table: pa.Table, n_days: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Ids of the series and arrays (days, series), from rows of all days of each."""
-    pdf = pdf.sort_values(["t", "sid"])
-    ids = np.sort(pdf["sid"].unique())
-    grab = lambda c, kind: pdf[c].to_numpy().astype(kind).reshape(n_days, len(ids))
-    return ids, {"target": grab("target", float), "seen": grab("seen", bool), "active": grab("active", bool)[0], "x": np.stack(pdf["x"].to_numpy()).reshape(n_days, len(ids), -1)}
+    sid, t = table.column("sid").to_numpy(), table.column("t").to_numpy()
+    ids, rank = np.unique(sid, return_inverse=True)
+    o = np.argsort(t.astype(np.int64) * len(ids) + rank)
+    grab = lambda c: table.column(c).to_numpy()[o].reshape(n_days, len(ids))
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(sid), -1)[o]
+    return ids, {"target": grab("target").astype(float), "seen": grab("seen").astype(bool), "active": grab("active").astype(bool)[0], "x": x.reshape(n_days, len(ids), -1)}
 
 
 def fit_blocks(name: str, rows: DataFrame, design: np.ndarray, s: Settings, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The fit of one component over a table of blocks of series; rows as of ``fit_components``."""
     log_scale, local = not name.endswith("share"), name == "D5"
 
-    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, a = unstacked(pdf, len(design))
+    def block(key: tuple, table: pa.Table) -> pa.Table:
+        ids, a = unstacked(table, len(design))
         y = np.where(a["seen"], np.log1p(a["target"]) if log_scale else a["target"], 0.0)
-        return pd.DataFrame({"block_id": [key[0]], "payload": [estimation.pack(estimation.Block(y, a["seen"], a["active"], a["x"], design, local, ids=ids))]})
+        return pa.table({"block_id": pa.array([key[0].as_py()], pa.int64()), "payload": pa.array([estimation.pack(estimation.Block(y, a["seen"], a["active"], a["x"], design, local, ids=ids))], pa.binary())})
 
     number = F.floor(F.col("sid") / BLOCK_SERIES).cast("long").alias("block_id")
-    blocks = store(rows.groupBy(number).applyInPandas(block, "block_id long, payload binary"))
+    blocks = store(rows.groupBy(number).applyInArrow(block, "block_id long, payload binary"))
     blocks, trace = estimation.fit_distributed(blocks, s, store)
     series, info = estimation.finish_distributed(name, blocks, trace, log_scale, s, store)
     out = series.select(F.lit(name).alias("component"), "sid", F.posexplode("mean").alias("t", "mean"), "local")

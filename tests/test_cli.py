@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+from functools import partial
 
 import pytest
 
 from odweave import cli
-from odweave.config import Settings
+from odweave.config import Box, Settings
 from odweave.plans import forecast
 from odweave.sources import tables
 
@@ -58,7 +59,8 @@ def test_rates_hold_source_by_source(spark, folder):
     assert i.cells.where("area = '対象外'").count() == 492
 
 
-def test_modes(spark, folder, tmp_path, capsys):
+def test_modes(spark, folder, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "Settings", partial(Settings, box=Box(35, 37, 30, 36)))  # the same plan on fewer cells
     common = ["--inputs", str(folder), "--out", str(tmp_path), "--iterations", "2"]
     assert cli.main(["--inspect", *common]) == 0
     told = dict(x.split("\t", 1) for x in capsys.readouterr().out.splitlines())

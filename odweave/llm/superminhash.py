@@ -17,9 +17,11 @@ components only. Members of one leader are dealt to
 several tasks by a salt, each with the leader once; a task holds one leader's set.
 
 Null and blank texts have no shingles and link with nothing; ties in the choice of
-a leader go to the smaller id; a repeated row joins its twin's component; rows
-that share a doc_id are one node. An empty table gives no rows. Other columns of
-the input are not looked at.
+a leader go to the smaller key; a repeated row joins its twin's component. Rows of one
+doc_id with different texts are linked each by its own text. Rows without a doc_id are
+linked too; a component is named after its smallest doc_id (null if it has none) and
+they are never its kept one. An empty table gives no rows. Other columns of the input
+are not looked at.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import partitions, stored
+from .common import noded, partitions, salted_join, stored
 from .graph import components
 
 U, MASK = K.U, (1 << 64) - 1
@@ -96,7 +98,8 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, m: int, rows: int) -> Itera
             digest = [hashlib.blake2b(x[s:e].tobytes(), digest_size=16).digest() if e > s else None for s, e in zip(at[:-1], at[1:], strict=True)]
             width = keys.shape[1]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, width * (b - a) + 1, width), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at)), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "keys"])
+            ids = [batch.column(c).slice(a, b - a) for c in ("node", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(at)), pa.array(digest, pa.binary()), lists], ["node", "doc_id", "n_shingles", "digest", "keys"])
 
 
 def by_leader(pairs: DataFrame, texts: DataFrame, *carry: str) -> DataFrame:
@@ -106,8 +109,9 @@ def by_leader(pairs: DataFrame, texts: DataFrame, *carry: str) -> DataFrame:
     repeated once for every SALT_MEMBERS of them and so spread over tasks.
     """
     spark = pairs.sparkSession
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).alias("_salts"))
-    salted = stored(pairs.join(many, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("_salts")).cast("int")).select("a", "salt", "b", *carry))
+    many = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    salted = salted_join(pairs, many, ["a"], "b").withColumn("salt", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / SALT_MEMBERS)).cast("int"))
+    salted = stored(salted.select("a", "salt", "b", *carry))
     lead = salted.select("a", "salt").distinct().select("a", "salt", F.lit(None).cast("long").alias("b"), *[F.lit(None).cast(salted.schema[c].dataType).alias(c) for c in carry], F.col("a").alias("doc_id"))
     needed = salted.select("a", "salt", "b", *carry, F.col("b").alias("doc_id")).unionByName(lead)
     rows = needed.join(texts.select("doc_id", "text"), "doc_id").select("a", "salt", "b", "text", *carry)
@@ -179,21 +183,19 @@ def narrowed(placed: DataFrame, texts: DataFrame, k: int, percent: int, rare: in
     return pairs.select("a", "b"), bounded.where(f"100 * m >= {percent} * (n + greatest(low, m) - m)").select("key", "rep", "n", "c", "m")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``; see the module.
-
-    ``percent`` is the least 100 * intersection / union of a link. With 24 bands of 4
-    registers a pair at 0.85 shares no band with probability 2e-8, at 0.8 with 4e-6.
-    """
-    signed = stored(docs.select("doc_id", "text").mapInArrow(partial(_sign, k=k, m=m, rows=rows), "doc_id long, n_shingles long, digest binary, keys array<long>"))
-    nodes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+def grouped(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """node, doc_id, n_shingles, component: one row a row of ``docs`` (node, doc_id, text), with a key of the row's group, null without words."""
+    src = docs.select("node", "doc_id", "text")
+    signed = stored(src.mapInArrow(partial(_sign, k=k, m=m, rows=rows), "node long, doc_id long, n_shingles long, digest binary, keys array<long>"))
+    nodes = stored(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     bands = nodes.select("rep", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bands = stored(bands.join(shared, "key"))
     central = bands.groupBy("rep").agg(F.sum("size").alias("weight"))
     leader = bands.join(central, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("n").alias("ln"))).alias("x")).select("key", (-F.col("x.minus")).alias("a"), "x.ln")
     near = f"100 * least(n, ln) >= {percent} * greatest(n, ln)"
-    texts = stored(docs.select("doc_id", "text").join(bands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = src.select(F.col("node").alias("doc_id"), "text")
+    texts = stored(texts.join(bands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     first = stored(bands.join(leader, "key").where(f"a <> rep and {near}").select("a", F.col("rep").alias("b")).distinct())
     links = stored(confirmed(first, texts, k, percent))
     label = components(links)
@@ -216,8 +218,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int
         if not more.isEmpty():
             label = components(links.unionByName(more))
     placed = nodes.join(label, nodes["rep"] == label["node"], "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    return (
-        signed.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    size = signed.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+    meant = salted_join(signed.where("digest is not null").select("node", "doc_id", "n_shingles", "digest"), size.join(placed, "digest"), ["digest"], "node")
+    bare = signed.where("digest is null").select("node", "doc_id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    return meant.select("node", "doc_id", "n_shingles", "component").unionByName(bare)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a row of ``docs``; see the module.
+
+    ``percent`` is the least 100 * intersection / union of a link. With 24 bands of 4
+    registers a pair at 0.85 shares no band with probability 2e-8, at 0.8 with 4e-6.
+    """
+    found = stored(grouped(noded(docs.select("doc_id", "text")), percent, k, m, rows))
+    first = found.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    meant = salted_join(found.where("component is not null"), first, ["component"], "node").withColumn("component_id", F.coalesce("least", "doc_id"))
+    both = meant.select("doc_id", "n_shingles", "component_id").unionByName(found.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

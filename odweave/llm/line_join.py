@@ -12,15 +12,19 @@ edit distance. Equal lines are one node throughout, so a line that stands in a t
 of all documents costs one row.
 
 Keys and line hashes travel as packed arrays, one row for a bucket and batch. A key
-that very many lines share is not paired in its bucket: its lines are dealt out as
+that very many lines share is not paired in its bucket. Its lines are first compared
+with one of them, the most central one, as long as such rounds link anything: a
+family around one line costs a comparison each. What is linked need not be compared
+again; the lines left apart are then compared with all of the key, dealt out as
 blocks, each pair of blocks a task of bounded size, where a bag-of-characters bound
 drops most pairs before the edit distance is run.
 
-Components of the links are classes; the line that comes first by (doc_id, line)
-stays, all later ones go. Blank lines are never linked and stay. Null and empty
-texts have one blank line. Repeated rows count as documents that follow each other;
-of rows with one doc_id the earlier lines win by line number. An empty table gives no
-rows; other columns are not looked at.
+Components of the links are classes; the line that comes first stays, all later ones
+go. The order is by doc_id (rows without one last), then by the row's key, then by line
+number. Blank lines are never linked and stay. Null and empty texts have one blank
+line. Equal rows keep and lose the same lines: they count as one. Rows with one doc_id
+and different texts follow each other in the order of their keys. An empty table gives
+no rows; other columns are carried along untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,13 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import partitions, stored
+from .common import noded, partitions, salted_join, stored
 from .graph import components
 
 U = K.U
 THRESHOLD, MIN_LINE = 2, 40
 #: Pairs of one key that its bucket lists itself; beyond, the key's lines are compared in blocks of BLOCK.
 BUCKET_PAIRS, BLOCK = 4096, 512
+#: Rounds in which lines of a common key are compared with one of them.
+LEADER_ROUNDS = 3
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -120,8 +126,17 @@ def _lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return s2, e2, d
 
 
+def _ends(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A second hash of lines, of their length and first and last bytes: two lines that share the first hash by chance differ in it."""
+    x = (e - s).astype(U)
+    for i in range(8):
+        at = np.minimum(i, e - s - 1)
+        x = K.mix(x + buf[s + at].astype(U) * U(257) + buf[e - 1 - at].astype(U))
+    return (x >> U(33)).astype(np.int32)
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, line, h, at, end (bytes): the place and hash of every line with content."""
+    """doc_id, node, line, h, g: the place and hashes of every line with content."""
     for batch in batches:
         for a, b, buf, off in K.chunks(batch.column("text")):
             s, e, d = _lines(buf, off)
@@ -129,8 +144,8 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number = np.arange(len(d)) - first[d]
             full = e > s
             h = K.span(K.prefix(buf), s[full], e[full]).view(np.int64)
-            ids = batch.column("doc_id").slice(a, b - a).take(pa.array(d[full]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(number[full]), pa.array(h)], ["doc_id", "line", "h"])
+            ids = [batch.column(c).slice(a, b - a).take(pa.array(d[full])) for c in ("doc_id", "node")]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(number[full]), pa.array(h), pa.array(_ends(buf, s[full], e[full]))], ["doc_id", "node", "line", "h", "g"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -180,7 +195,7 @@ def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int) -
         )
 
 
-def _match(bucket: pa.Table) -> pa.Table:
+def _match(bucket: pa.Table, most: int) -> pa.Table:
     """a, b, key: pairs of lines that share an index key (key null), or the lines of a very common key (b null)."""
     key = np.frombuffer(b"".join(x.as_py() for x in bucket.column("keys")), U)
     h = np.frombuffer(b"".join(x.as_py() for x in bucket.column("lines")), np.int64)
@@ -198,7 +213,7 @@ def _match(bucket: pa.Table) -> pa.Table:
     a, b, k = [], [], []
     for g in live:
         index, looks = h[cut[g] : cut[g] + n_index[g]], h[cut[g] + n_index[g] : end[g]]
-        if len(index) * len(looks) <= BUCKET_PAIRS:
+        if len(index) * len(looks) <= most:
             x, y = np.repeat(index, len(looks)), np.tile(looks, len(index))
             no = x != y
             a.append(np.minimum(x, y)[no])
@@ -250,71 +265,126 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hs, texts = [], []
         for text, wanted, keys in zip(*(batch.column(c).to_pylist() for c in ("text", "lines", "hs")), strict=True):
-            parts = text.split("\n")
+            parts = (text or "").split("\n")
             hs += keys
             texts += [parts[i].strip(_BLANK) for i in wanted]
         yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], ["h", "text"])
 
 
-def line_classes(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE) -> tuple[DataFrame, DataFrame]:
-    """(lines: doc_id, line, h; links' classes: node, component over line hashes) for all lines with content."""
-    spark = docs.sparkSession
-    src = docs.select("doc_id", "text")
-    lines = stored(src.mapInArrow(_line_rows, "doc_id long, line long, h long"))
+def verified(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) of line hashes whose lines are within t edits; an ``a`` that most pairs have does not fill one task."""
+    n = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    with_a = salted_join(pairs, n.join(texts.toDF("a", "ta"), "a"), ["a"], "b").drop("n")
+    return with_a.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_verify, t=t), "a long, b long")
+
+
+def common_links(common: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """Links among lines that share a key (key, h); every pair of a key within t edits ends up in one component, if not as a link."""
+    links, label = None, None
+
+    def by_component() -> DataFrame:
+        if label is None:
+            return common.withColumn("c", F.col("h"))
+        known = label.select(F.col("node").alias("h"), "component")
+        return common.join(known, "h", "left").select("key", "h", F.coalesce("component", "h").alias("c"))
+
+    for _ in range(LEADER_ROUNDS):
+        placed = by_component()
+        size = placed.groupBy("key", "c").agg(F.count("*").alias("k"))
+        per = size.groupBy("key").agg(F.sum("k").alias("n"), F.count("*").alias("parts"), F.max(F.struct("k", "c")).alias("x")).where("parts > 1")
+        open_ = stored(salted_join(placed, per.select("key", "n", F.when(F.col("x.k") > 1, F.col("x.c")).alias("done")), ["key"], "h"))
+        if open_.isEmpty():
+            return links
+        # The most central line of a key is in many large keys. Later rounds take it from outside the key's largest component, which is linked already.
+        weighed = open_.join(open_.groupBy("h").agg(F.sum("n").alias("w")), "h").where("done is null or c <> done")
+        lead = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("h")).alias("minus"), "c")).alias("x"), F.max("n").alias("n"))
+        lead = lead.select("key", "n", (-F.col("x.minus")).alias("a"), F.col("x.c").alias("lc"))
+        met = salted_join(open_.select("key", "h", "c"), lead, ["key"], "h").where("c <> lc").select("a", F.col("h").alias("b")).distinct()
+        more = stored(verified(stored(met), texts, t))
+        if more.isEmpty():
+            break
+        links = more if links is None else stored(links.unionByName(more))
+        label = components(links)
+    blocks = block_links(stored(by_component()), texts, t)
+    return blocks if links is None else links.unionByName(blocks)
+
+
+def block_links(placed: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+    """Links between lines of one key in different components (key, h, c): the key's largest component against the rest, and the rest among itself, block by block."""
+    check = _verify_blocks
+    size = placed.groupBy("key", "c").agg(F.count("*").alias("k"))
+    per = size.groupBy("key").agg(F.max(F.struct("k", "c")).alias("x"), F.sum("k").alias("n")).where("x.k < n")
+    per = per.select("key", F.col("x.c").alias("main"), "n", F.ceil((F.col("n") - F.col("x.k")) / BLOCK).cast("int").alias("nr"), F.ceil(F.col("x.k") / BLOCK).cast("int").alias("nm"))
+    j = salted_join(placed, per, ["key"], "h").withColumn("rest", F.col("c") != F.col("main"))
+    own = F.pmod(F.xxhash64("h"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
+    j = j.withColumn("own", own)
+    # Blocks of the rest meet each other and those of the largest component, which do not meet one another.
+    rest = j.where("rest").select("key", "h", "c", "own", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("other"))
+    within = rest.select("key", "h", "c", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    across = j.where("rest").select("key", "h", "c", F.col("own").alias("i"), F.explode(F.sequence(F.lit(-1), -F.col("nm"), F.lit(-1))).alias("j"), F.lit(0).alias("side"))
+    main = j.where("not rest").select("key", "h", "c", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("i"), (-1 - F.col("own")).alias("j"), F.lit(1).alias("side"))
+    return within.unionByName(across).unionByName(main).join(texts, "h").groupBy("key", "i", "j").applyInArrow(lambda block: check(block, t), "a long, b long")
+
+
+def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines: doc_id, node, line, h, g; kinds: h, g, the first place p and the number n; classes: node, component over line hashes) of ``src`` (node, doc_id, text)."""
+    spark = src.sparkSession
+    lines = stored(src.mapInArrow(_line_rows, "doc_id long, node long, line long, h long, g int"))
+    # A line in very many documents is pre-aggregated before anything meets it.
+    kinds = stored(lines.groupBy("h", "g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "line")).alias("p"), F.count("*").alias("n")))
     n = partitions(spark)
     # A bucket's packed arrays are held by one task: their number follows the lines, a few MB each.
     buckets = max(4 * n, -(-lines.count() // 40_000))
     packed = src.select("text").mapInArrow(partial(_keys, t=t, least=least, buckets=buckets), "bucket long, keys binary, lines binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(lambda bucket: _match(bucket), "a long, b long, key long"))
-    pairs = found.where("key is null").select("a", "b").distinct()
-    common = found.where("key is not null").select("key", F.col("a").alias("h")).distinct()
-    pairs, common = stored(pairs), stored(common)
+    found = stored(packed.groupBy("bucket").applyInArrow(lambda bucket: _match(bucket, most), "a long, b long, key long"))
+    pairs = stored(found.where("key is null").select("a", "b").distinct())
+    common = stored(found.where("key is not null").select("key", F.col("a").alias("h")).distinct())
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(common.select("h")).distinct()
-    # One place of each wanted line, gathered by document, so a text is read once.
-    place = lines.join(wanted, "h", "left_semi").groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("p"))
-    asked = place.groupBy(F.col("p.doc_id").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("p.line", "h"))).alias("x")).select("doc_id", F.col("x.line").alias("lines"), F.col("x.h").alias("hs"))
-    whole = src.where("doc_id is not null")
-    texts = stored(whole.join(asked, "doc_id").mapInArrow(_texts, "h long, text string").dropDuplicates(["h"]))
-    ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    links = pairs.join(ta, "a").join(tb, "b").mapInArrow(partial(_verify, t=t), "a long, b long")
+    # One place of each wanted line, gathered by row, so a text is read once.
+    place = kinds.join(wanted, "h").select("h", "p.node", "p.line")
+    asked = place.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("x")).select("node", F.col("x.line").alias("lines"), F.col("x.h").alias("hs"))
+    texts = stored(src.select("node", "text").join(asked, "node").mapInArrow(_texts, "h long, text string").groupBy("h").agg(F.min("text").alias("text")))
+    links = verified(pairs, texts, t)
     if not common.isEmpty():
-        size = common.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-        dealt = common.join(size, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.col("nb")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        dealt = dealt.select("key", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-        blocks = dealt.join(texts, "h").groupBy("key", "i", "j").applyInArrow(lambda block: _verify_blocks(block, t), "a long, b long")
-        links = links.unionByName(blocks)
-    return lines, components(links)
-
-
-def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_fuzzy and drop (ascending numbers of the lines that go), one row a document with a line to drop."""
-    lines, classes = line_classes(docs, t, least)
-    classes = classes.toDF("h", "component")
-    # First per hash, then per class: a line in very many documents is pre-aggregated before it meets its class.
-    first = lines.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.count("*").alias("n"))
-    placed = first.join(classes, "h", "left").select("h", "p", "n", F.coalesce("component", "h").alias("component"))
+        more = common_links(common, texts, t)
+        links = links if more is None else links.unionByName(more)
+    return lines, kinds, components(links)
+
+
+def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS) -> DataFrame:
+    """node, doc_id, n_removed, n_fuzzy and drop (ascending numbers of the lines that go), one row a (doc_id, text) with a line to drop.
+
+    ``docs`` has doc_id, text and, if ``noded`` has given it, node.
+    """
+    src = (docs if "node" in docs.columns else noded(docs.select("doc_id", "text"))).select("node", "doc_id", "text")
+    lines, kinds, classes = line_classes(src, t, least, most)
+    # First per line, then per class.
+    placed = stored(kinds.join(classes.toDF("h", "component"), "h", "left").select("h", "g", "p", "n", F.coalesce("component", "h").alias("component")))
     top = placed.groupBy("component").agg(F.min("p").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    repeated = placed.join(top, "component").select("h", "top", (F.col("p") != F.col("top")).alias("fuzzy"))
-    gone = lines.join(repeated, "h").where("struct(doc_id, line) <> top")
-    return gone.groupBy("doc_id").agg(F.count("*").alias("n_removed"), F.count_if("fuzzy").alias("n_fuzzy"), F.sort_array(F.collect_set("line")).alias("drop"))
+    repeated = placed.join(top, "component").select("h", "g", "n", "top", (F.col("p") != F.col("top")).alias("fuzzy"))
+    gone = salted_join(lines, repeated, ["h", "g"], "node").where("struct(doc_id is null, doc_id, node, line) <> top")
+    return gone.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.countDistinct("line").alias("n_removed"), F.count_distinct(F.when(F.col("fuzzy"), F.col("line"))).alias("n_fuzzy"), F.sort_array(F.collect_set("line")).alias("drop"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = []
-        for text, drop in zip(batch.column("text").to_pylist(), batch.column("_drop").to_pylist(), strict=True):
+        row, kept = batch.column("row"), []
+        names = [f.name for f in row.type]
+        fields = row.flatten()
+        for text, drop in zip(fields[names.index("text")].to_pylist(), batch.column("drop").to_pylist(), strict=True):
             if text is not None and drop:
                 gone = set(drop)
                 text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
             kept.append(text)
-        at = batch.schema.get_field_index("text")
-        out = batch.set_column(at, "text", pa.array(kept, pa.string()))
-        yield out.drop_columns(["_drop"])
-
-
-def without_lines(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """``docs`` with the lines named in ``drop`` (doc_id, drop) taken out of their texts."""
-    marks = drop.select(F.col("doc_id").alias("_d"), F.col("drop").alias("_drop"))
-    j = docs.join(marks, F.col("doc_id") == F.col("_d"), "left").select(*docs.columns, "_drop")
-    return j.mapInArrow(_cut, docs.schema)
+        fields[names.index("text")] = pa.array(kept, pa.string())
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(row.type)), *[batch.column(c) for c in batch.schema.names[2:]]], ["row", *batch.schema.names[2:]])
+
+
+def without_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE) -> DataFrame:
+    """row (a row of ``docs`` as a struct, the repeated lines taken out of its text), n_removed, n_fuzzy: one row a row of ``docs``."""
+    whole = noded(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    drop = dedup_lines(whole, t, least).select("node", "n_removed", "n_fuzzy", "drop")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    j = whole.select("node", "row").join(drop, "node", "left").select("row", "drop", none("n_removed"), none("n_fuzzy"))
+    row = j.schema["row"].dataType.simpleString()
+    return j.mapInArrow(_cut, f"row {row}, n_removed long, n_fuzzy long")

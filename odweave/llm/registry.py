@@ -37,12 +37,8 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    drop = line_join.dedup_lines(docs)
-    kept = line_join.without_lines(docs, drop).select("doc_id", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
-    return kept.join(drop.select("doc_id", "n_removed", "n_fuzzy"), "doc_id", "left").select(
-        "doc_id", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_fuzzy", F.lit(0)).alias("n_fuzzy"), "kept_chars", "kept_sha256"
-    )
+    left = line_join.without_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_removed", "n_fuzzy", F.length("row.text").cast("long").alias("kept_chars"), F.sha2("row.text", 256).alias("kept_sha256"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

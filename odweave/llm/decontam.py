@@ -7,10 +7,13 @@ All pieces of all items are found in one pass over a document (Aho-Corasick); ea
 hit fixes where the item would begin, give or take e, and Myers' bit-parallel
 distance decides on that stretch of the document.
 
-Items of fewer than MIN_ITEM characters, null and blank ones match nothing. Items
-with the same text all match. Null and blank texts hold nothing. Repeated rows are
-searched one by one. Empty tables give documents without hits, or no rows. Other
-columns are not looked at.
+Items of fewer than MIN_ITEM characters are searched as they are, without edits, and
+only as whole words; ones of fewer than MIN_SHORT characters, null and blank ones match
+nothing. Items with the same text all match. Null and blank texts hold nothing. Rows are
+searched one by one, so repeated rows, rows that share a doc_id and rows without one
+get what their own text holds. Texts are searched whole; a very long one takes some
+ten times its size in the task that has it. Empty tables give documents without hits,
+or no rows. Other columns are not looked at.
 
 The items go to every task in chunks of at most ITEM_CHARS characters: the size of
 the benchmark is summed first, and one that is larger is searched chunk after chunk,
@@ -20,13 +23,13 @@ each a pass of its own, so no automaton outgrows a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ERROR_DIVISOR, MIN_ITEM = 12, 40
+ERROR_DIVISOR, MIN_ITEM, MIN_SHORT = 12, 40, 12
 ITEM_CHARS = 4_000_000
 
 
@@ -61,16 +64,16 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text)
-            if len(t) < least:
+            if len(t) < min(least, MIN_SHORT):
                 continue
-            e = len(t) // divisor
+            e = len(t) // divisor if len(t) >= least else 0
             at = [len(t) * i // (e + 1) for i in range(e + 2)]
             where: dict[str, int] = {}
             for i, c in enumerate(t):
                 where[c] = where.get(c, 0) | 1 << i
             for a, b in zip(at[:-1], at[1:], strict=True):
                 pieces.setdefault(t[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, where, len(t), e))
+            self.items.append((item_id, where, len(t), e, len(t) < least))
         for piece, where_at in pieces.items():
             self.automaton.add_word(piece, (len(piece), where_at))
         if pieces:
@@ -86,9 +89,13 @@ class Matcher:
         tried: set[tuple[int, int]] = set()
         for end, (n, where_at) in self.automaton.iter(t):
             for i, offset in where_at:
-                item_id, where, m, e = self.items[i]
+                item_id, where, m, e, short = self.items[i]
                 if found.get(i) == 0:
                     continue
+                if short:
+                    if (end + 1 == n or not t[end - n].isalnum()) and (end + 1 == len(t) or not t[end + 1].isalnum()):
+                        found[i] = 0
+                    continue
                 begin = end + 1 - n - offset
                 slot = (i, begin // (e + 1))  # hits a few characters apart look at one stretch
                 if slot in tried:
@@ -102,11 +109,14 @@ class Matcher:
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], divisor: int, least: int) -> Iterator[pa.RecordBatch]:
+    """The rows with the hits of these items added to those that they have."""
     matcher = Matcher(items, divisor, least)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
     for batch in batches:
-        out = [[{"item_id": i, "distance": d} for i, d in matcher.hits(t)] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "hits"])
+        before = batch.column("hits").to_pylist()
+        out = [h + [{"item_id": i, "distance": d} for i, d in matcher.hits(t)] for h, t in zip(before, batch.column("text").to_pylist(), strict=True)]
+        out = [sorted(h, key=lambda x: (x["item_id"], x["distance"])) for h in out]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(out, kind)], ["doc_id", "text", "hits"])
 
 
 def _chunks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
@@ -124,13 +134,11 @@ def _chunks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]
 
 def contamination(docs: DataFrame, benchmark: DataFrame, divisor: int = ERROR_DIVISOR, least: int = MIN_ITEM, chars: int = ITEM_CHARS) -> DataFrame:
     """doc_id and hits (array of item_id, distance) of every row of ``docs``."""
-    src, schema = docs.select("doc_id", "text"), "doc_id long, hits array<struct<item_id: long, distance: int>>"
-    parts = [src.mapInArrow(partial(_search, items=items, divisor=divisor, least=least), schema) for items in _chunks(benchmark, chars)]
-    if len(parts) == 1:
-        return parts[0]
-    marked = reduce(DataFrame.unionByName, [p.where("size(hits) > 0") for p in parts])
-    hits = marked.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
-    return src.select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("hits", F.array().cast(hits.schema["hits"].dataType)).alias("hits"))
+    kind = "array<struct<item_id: long, distance: int>>"
+    rows = docs.select("doc_id", "text", F.array().cast(kind).alias("hits"))
+    for items in _chunks(benchmark, chars):  # the rows pass the chunks one after the other; nothing is joined by id
+        rows = rows.mapInArrow(partial(_search, items=items, divisor=divisor, least=least), f"doc_id long, text string, hits {kind}")
+    return rows.select("doc_id", "hits")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:

@@ -171,16 +171,59 @@ def test_line_join_finds_every_link(spark):
                 want[i].append(n)
             first.setdefault(label[x], (i, n))
     for pairs in (line_join.BUCKET_PAIRS, 3):  # also with nearly every key dealt in blocks
-        line_join.BUCKET_PAIRS, kept = pairs, line_join.BUCKET_PAIRS
-        got = {r["doc_id"]: r["drop"] for r in line_join.dedup_lines(docs).collect()}
-        line_join.BUCKET_PAIRS = kept
+        got = {r["doc_id"]: r["drop"] for r in line_join.dedup_lines(docs, most=pairs).collect()}
         assert got == dict(want)
-    out = {r["doc_id"]: r["text"] for r in line_join.without_lines(docs, line_join.dedup_lines(docs)).collect()}
+    out = {r["doc_id"]: r["text"] for r in line_join.without_lines(docs).select("row.*").collect()}
     assert out[10**6] is None and out[10**6 + 1] == ""
     assert out[rows[3][0]] == "\n".join(x for n, x in enumerate(rows[3][1]) if n not in want[rows[3][0]])
     assert line_join.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_join_of_odd_rows(spark):
+    """Rows of one doc_id with other texts, equal rows, null ids and texts, and columns with the names that the operator uses."""
+    a, b = "a line of more than forty characters, number one", "another line of more than forty characters, two"
+    near = b.replace("two", "tow")
+    rows = [(0, a, 1), (1, a + "\nonly here", 2), (1, b + "\nshort", 3), (1, b + "\nshort", 3), (None, "first without an id, more than forty characters\n" + a, 4), (2, near, 5), (3, None, 6), (3, None, 6), (None, "", 7)]
+    docs = spark.createDataFrame([(i, t, k, k, k, k) for i, t, k in rows], "doc_id long, text string, node int, drop int, _d int, row int").repartition(3)
+    got = line_join.without_lines(docs).select("row.*", "n_removed", "n_fuzzy").collect()
+    assert sorted(((r["node"], r["text"], r["n_removed"], r["n_fuzzy"]) for r in got), key=str) == sorted(
+        [(1, a, 0, 0), (2, "only here", 1, 0), (3, b + "\nshort", 0, 0), (3, b + "\nshort", 0, 0), (4, "first without an id, more than forty characters", 1, 0), (5, "", 1, 1), (6, None, 0, 0), (6, None, 0, 0), (7, "", 0, 0)], key=str)
+    assert got[0].asDict().keys() == {*docs.columns, "n_removed", "n_fuzzy"}
+
+
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_lines_of_a_large_family(spark, n):
+    """Many variants of one line: each is compared with a few lines, not with all others."""
+    rnd = random.Random(n)
+    base = "this line of boiler plate stands in very many documents of the corpus, with an edit each"
+    docs = spark.createDataFrame([(i, edited(rnd, base, 1 + (i % 50 == 0)) if i else base) for i in range(n)], "doc_id long, text string").repartition(8)
+    compared = spark.sparkContext.accumulator(0)
+
+    def counted(batches, t, keep=line_join._verify):
+        def seen():
+            for batch in batches:
+                compared.add(batch.num_rows)
+                yield batch
+        return keep(seen(), t)
+
+    blocks = spark.sparkContext.accumulator(0)
+
+    def counted_blocks(block, t, keep=line_join._verify_blocks):
+        side = block.column("side").to_pylist()
+        right = sum(side)
+        blocks.add((len(side) - right) * (right or len(side) // 2))
+        return keep(block, t)
+
+    before = line_join._verify, line_join._verify_blocks
+    line_join._verify, line_join._verify_blocks = counted, counted_blocks
+    try:
+        drop = {r["doc_id"] for r in line_join.dedup_lines(docs).collect()}
+    finally:
+        line_join._verify, line_join._verify_blocks = before
+    assert drop == set(range(1, n))
+    assert n <= compared.value + blocks.value < 40 * n
+
+
 def test_decontamination(spark, sf_dir):
     docs = documents(spark, sf_dir, 60)
     rnd = random.Random(3)
@@ -231,6 +274,44 @@ def test_suffix_dedup(spark, sf_dir):
     assert suffix_dedup.repeated_bytes(docs.limit(0)).count() == 0
 
 
+SMALL = {
+    "one": [(1, "x" * 80)], "equal": [(1, "abc" * 30), (2, "abc" * 30)], "unlike": [(1, "a" * 60), (2, "b" * 70)], "short": [(1, "tiny"), (2, "tiny"), (3, None)],
+    "one id, two texts": [(0, "first text " * 9), (1, "first text " * 9), (1, "second " * 12 + "first text " * 6), (2, "second " * 12)], "no ids": [(None, "abc" * 40), (None, "abc" * 40), (5, "abc" * 40)],
+}
+
+
+@pytest.mark.parametrize("name", SMALL)
+def test_suffix_dedup_small(spark, name):
+    rows = SMALL[name]
+    got = suffix_dedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = Counter()
+    for i, t in rows:
+        others = [x for j, x in rows if i is not None and j is not None and j < i]
+        n, gone, spans, kept = removed([(j, x) for j, x in enumerate(others)] + [(len(others), t)])[len(others)]
+        want[(i, n, gone, spans, kept)] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == want
+
+
+def test_suffix_dedup_in_many_parts(spark, sf_dir):
+    docs = documents(spark, sf_dir, 60)
+    want = removed(texts(docs))
+    for parts, hot in (("400", suffix_dedup.HOT), ("8", 3)):  # also with nearly every shared anchor counted as hot
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeated_bytes(docs, hot=hot).collect()}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert got == want
+
+
+def test_equal_hashes_are_not_equal_bytes():
+    """Stretches whose hashes are made equal are told apart by their bytes."""
+    text = np.frombuffer(b"aaaa" * 20 + b"bbbb" * 20 + b"aaaa" * 20, np.uint8)
+    begin, size = np.array([0, 80, 160]), np.array([80, 80, 80])
+    keep, gone = suffix_dedup.firsts(text, begin, size, np.zeros(3, np.uint64), np.array([1, 2, 3]))
+    assert keep.tolist() == [0, 1] and gone.tolist() == [2]
+
+
 def test_suffix_dedup_periodic(spark):
     rnd = random.Random(9)
     pieces = ["".join(rnd.choice("ab") for _ in range(rnd.randint(20, 90))) for _ in range(12)] + ["ab" * 60, "a" * 90, "abcabcabc" * 12]

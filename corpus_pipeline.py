@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odweave.llm import decontam, line_join, mixing, quality_llr, superminhash
-from odweave.llm.common import stored, table
+from odweave.llm.common import noded, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,20 +25,23 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = line_join.without_lines(docs, line_join.dedup_lines(docs))
+    left = line_join.without_lines(docs).select("row.*")
     return left.where(r"text rlike '[^\\x20\\x09-\\x0D]'").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = superminhash.near_duplicates(docs, percent=80)
-    gone = stored(groups.where("not kept and component_id is not null").select(F.col("doc_id").alias("_d")).distinct())
-    left = docs.join(gone, F.col("doc_id") == F.col("_d"), "left_anti")
-    # Rows that share doc_id and text are one node of the groups above, and one row of them stays.
-    key = left.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"))
-    many = stored(key.groupBy("_d", "_h").agg(F.count("*").alias("n")).where("n > 1").select("_d", "_h"))
-    repeated = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))
-    one = left.join(many, repeated, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*left.columns)).alias("_row")).select("_row.*")
-    return left.join(many, repeated, "left_anti").unionByName(one)
+    whole = noded(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    groups = stored(superminhash.grouped(whole, percent=80))
+    # Of a group the row with the smallest doc_id stays, rows without one come last; of equal rows, which share a node, one.
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
+    stays = groups.where("component is not null").groupBy("component").agg(F.min(rank).alias("x")).select("x.node")
+    gone = stored(groups.where("component is not null").select("node").join(stays, "node", "left_anti").distinct())
+    many = stored(groups.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").join(gone, "node", "left_anti").select("node"))
+    left = whole.select("node", "row").join(gone.unionByName(many), "node", "left_anti").select("row.*")
+    if many.isEmpty():
+        return left
+    one = whole.join(many, "node", "left_semi").groupBy("node").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return left.unionByName(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

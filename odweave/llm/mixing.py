@@ -10,7 +10,7 @@ twice, no step sorts a whole source, and a source that holds most of the corpus
 lies in as many tasks as there are shards.
 
 A source whose target exceeds its size is first taken whole as often as it fits;
-the draw settles the rest. Null sources are a source of their own, last in
+the draw settles the rest. Texts are counted whole, however long, block by block. Null sources are a source of their own, last in
 order. Null or blank texts have size 0 and take 0. A corpus without words takes
 nothing. Repeated rows are separate documents. All draws are hashes of the seed
 and the place, so reruns agree whatever the partitioning.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, word_count
@@ -54,39 +54,50 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     )
 
 
-def unit(*parts: Column) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.shiftrightunsigned(F.xxhash64(*parts), 12).cast("double") + 0.5) / float(1 << 52)
+#: Values of a distribution that are summed one by one; a wider one is drawn by rejection, of so many tries in a row each fails with 0.3 or so.
+WALK, TRIES = 512, 128
+# 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), the table mountain hat of the ratio of uniforms.
+HAT = (1.7155277699214135, 0.8989161620588988)
 
 
-def _log_factorial(x: str) -> str:
-    """SQL: exact up to 12, from there Stirling's series, whose error is below 1e-9."""
-    y = f"({x} + 1.0D)"
-    return f"if({x} <= 12, ln(factorial(cast({x} as int))), ({y} - 0.5D) * ln({y}) - {y} + 0.9189385332046727D + 1 / (12 * {y}) - 1 / (360 * {y} * {y} * {y}))"
+def _growth(x: str, k: str) -> str:
+    """SQL: ln((x + k)! / x!) - k ln(x + 1) + k. Nothing large cancels: factorials of large numbers enter by log1p(k / (x + 1)) alone."""
+    exact = lambda v: f"if({v} <= 20, ln(factorial(cast(least({v}, 20) as int))), ({v} + 0.5D) * ln({v} + 1.0D) - {v} - 1 + 0.9189385332046727D + {tail(v)})"
+    tail = lambda v: f"(1 / (12 * ({v} + 1.0D)) - 1 / (360 * pow({v} + 1.0D, 3)))"
+    y = f"({x} + {k})"
+    return f"if(least({x}, {y}) < 13, {exact(y)} - {exact(x)} - {k} * ln({x} + 1.0D) + {k}, ({y} + 0.5D) * log1p({k} / ({x} + 1.0D)) + {tail(y)} - {tail(x)})"
 
 
-def _log_choose(n: str, k: str) -> str:
-    return f"({_log_factorial(n)} - ({_log_factorial(k)}) - ({_log_factorial(f'({n} - {k})')}))"
+def log_ratio(k: str) -> str:
+    """SQL: log of the probability of _m + k over that of the mode _m, from the columns lw, rw, quota and _m."""
+    m, l, d, r = "_m", "(lw - _m)", "(quota - _m)", "(rw - quota + _m)"  # noqa: E741
+    step = f"ln(({m} + 1.0D) / ({l} + 1.0D) * (({r} + 1.0D) / ({d} + 1.0D)))"
+    return f"-({k} * {step} + {_growth(m, k)} + {_growth(l, f'(-{k})')} + {_growth(d, f'(-{k})')} + {_growth(r, k)})"
 
 
-def hypergeometric(u: str, left: str, right: str, draws: str) -> str:
-    """SQL: how many of ``draws`` items taken from left + right ones come from the left, by inverting the distribution at ``u``.
+def hypergeometric(df: DataFrame) -> DataFrame:
+    """Adds take: how many of ``quota`` items taken from lw + rw ones come from the lw, a draw fixed by the number ``key``.
 
-    All are names of columns. The walk over the distribution spans nine standard
-    deviations around the mean in at most some 2,000 steps; beyond that it walks
-    in strides, finer than a two-hundredth of a deviation.
+    Probabilities are relative to the mode. A distribution that is at most WALK wide (nine
+    deviations each way) is inverted at a uniform number, a wider one drawn by the ratio of
+    uniforms; both give the distribution itself, whatever its size.
     """
-    n = f"({left} + {right})"
-    lo, hi = f"greatest(0L, {draws} - {right})", f"least({left}, {draws})"
-    mean = f"(cast({draws} as double) * {left} / {n})"
-    sd = f"sqrt({mean} * {right} / {n} * ({n} - {draws}) / greatest({n} - 1, 1))"
-    a, b = f"greatest({lo}, cast(floor({mean} - 9 * {sd} - 2) as bigint))", f"least({hi}, cast(ceil({mean} + 9 * {sd} + 2) as bigint))"
-    step = f"greatest(1L, cast(ceil(({b} - {a}) / 2000.0D) as bigint))"
-    p = f"exp({_log_choose(left, 'j')} + {_log_choose(right, f'({draws} - j)')} - {_log_choose(n, draws)})"
-    return f"""case when {lo} >= {hi} then {lo} else
-      aggregate(transform(sequence({a}, {b}, {step}), j -> struct(j as j, {p} * {step} as p)), struct(0.0D as c, {lo} as v),
-        (acc, e) -> if(acc.c >= {u}, acc, struct(acc.c + e.p as c, e.j as v)),
-        acc -> greatest({lo}, least({hi}, acc.v))) end"""
+    u = lambda i, j: f"((shiftrightunsigned(xxhash64(key, {i}, {j}), 12) + 0.5D) / 4503599627370496.0D)"
+    mean = "(cast(quota as double) * lw / (lw + rw))"
+    var = f"({mean} * rw / (lw + rw) * (lw + rw - quota) / greatest(lw + rw - 1, 1))"
+    ready = (
+        df.withColumn("_lo", F.expr("greatest(0L, quota - rw)")).withColumn("_hi", F.expr("least(lw, quota)"))
+        .withColumn("_mean", F.expr(f"if(lw + rw > 0, {mean}, 0.0D)")).withColumn("_var", F.expr(f"if(lw + rw > 0, {var}, 0.0D)"))
+        .withColumn("_m", F.expr("greatest(_lo, least(_hi, cast(floor((quota + 1.0D) * (lw + 1.0D) / (lw + rw + 2.0D)) as bigint)))"))
+        .withColumn("_a", F.expr("greatest(_lo, cast(floor(_mean - 9 * sqrt(_var) - 2) as bigint))")).withColumn("_b", F.expr("least(_hi, cast(ceil(_mean + 9 * sqrt(_var) + 2) as bigint))"))
+    )
+    walk = f"""aggregate(array(transform(sequence(_a, greatest(_a, least(_b, _a + {WALK}))), j -> struct(j as j, exp({log_ratio('(j - _m)')}) as p))), _lo, (z, w) ->
+        aggregate(w, struct(0.0D as c, _lo as v, aggregate(w, 0.0D, (s, e) -> s + e.p) * {u(-1, 0)} as upto), (acc, e) -> if(acc.c >= acc.upto, acc, struct(acc.c + e.p as c, e.j as v, acc.upto as upto)), acc -> acc.v))"""
+    tries = f"transform(sequence(0, {TRIES - 1}), i -> struct({u('i', 1)} as x, {u('i', 2)} as y))"
+    places = f"transform({tries}, t -> struct(t.x as x, cast(floor(_mean + 0.5D + ({HAT[0]}D * sqrt(_var + 0.5D) + {HAT[1]}D) * (t.y - 0.5D) / t.x) as bigint) as j))"
+    reject = f"coalesce(get(filter({places}, t -> t.j between _lo and _hi and 2 * ln(t.x) <= {log_ratio('(greatest(_lo, least(_hi, t.j)) - _m)')}), 0).j, _m)"
+    take = f"case when _lo >= _hi then _lo when _b - _a <= {WALK} then {walk} else {reject} end"
+    return ready.withColumn("take", F.expr(take)).drop("_lo", "_hi", "_mean", "_var", "_m", "_a", "_b")
 
 
 def quotas(shards: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -95,16 +106,18 @@ def quotas(shards: DataFrame, depth: int, seed: int) -> DataFrame:
     ``shards`` has source, draw (words to take of the source) and words of each of
     the 2 ** depth shards, empty ones left out.
     """
-    level = shards.select("source", F.lit(0).alias("node"), F.col("draw").alias("quota")).distinct()
+    level = shards.select("source", F.lit(0).cast("long").alias("node"), F.col("draw").alias("quota")).distinct()
     for d in range(1, depth + 1):
-        child = F.floor(F.col("shard") / (1 << (depth - d))).cast("int")
-        held = shards.groupBy("source", child.alias("child")).agg(F.sum("words").alias("held")).select("source", F.floor(F.col("child") / 2).cast("int").alias("node"), (F.col("child") % 2).alias("side"), "held")
+        child = F.shiftright("shard", depth - d)
+        held = shards.groupBy("source", child.alias("child")).agg(F.sum("words").alias("held")).select("source", F.shiftright("child", 1).alias("node"), (F.col("child") % 2).alias("side"), "held")
         held = held.groupBy("source", "node").agg(F.coalesce(F.sum(F.when(F.col("side") == 0, F.col("held"))), F.lit(0)).cast("long").alias("lw"), F.coalesce(F.sum(F.when(F.col("side") == 1, F.col("held"))), F.lit(0)).cast("long").alias("rw"))
         level = (
             level.alias("v").join(held.alias("h"), F.col("v.source").eqNullSafe(F.col("h.source")) & (F.col("v.node") == F.col("h.node")))
             .select("v.source", "v.node", "quota", "lw", "rw")
-            .withColumn("u", unit(F.lit(seed), F.lit(d), F.coalesce("source", F.lit("\0")), F.col("node")))
-            .withColumn("take", F.expr(hypergeometric("u", "lw", "rw", "quota")))
+            .withColumn("key", F.xxhash64(F.lit(seed), F.lit(d), F.coalesce("source", F.lit("\0")), F.col("node")))
+        )
+        level = (
+            hypergeometric(level)
             .select("source", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("take").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("quota") - F.col("take")).alias("quota")))).alias("x"))
             .select("source", "x.node", "x.quota").where("quota > 0")
         )
@@ -129,7 +142,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
         .withColumn("draw", F.round(F.col("target") - F.col("copies") * F.col("source_size")).cast("long"))
     )
     total = plan.agg(F.sum(F.col("source_size"))).first()[0] or 0
-    depth = min(20, max(3, math.ceil(math.log2(max(1, total / block_words / SHARD_BLOCKS)))))
+    depth = max(3, math.ceil(math.log2(max(1, total / block_words / SHARD_BLOCKS))))
     blocks = (
         sized.where("size > 0")
         .select("doc_id", "source", "size", "_h", "_twin", F.explode(F.expr(f"sequence(0L, (size - 1) div {block_words})")).alias("block"))
@@ -138,7 +151,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
             F.least(F.lit(block_words), F.col("size") - F.col("block") * block_words).cast("int").alias("n"),
             F.xxhash64(F.lit(seed), "doc_id", "_h", "_twin", "block").alias("_key"),
         )
-        .withColumn("shard", F.shiftrightunsigned("_key", 64 - depth).cast("int"))
+        .withColumn("shard", F.shiftrightunsigned("_key", 64 - depth))
     )
     shards = stored(blocks.groupBy("source", "shard").agg(F.sum("n").alias("words")))
     same = lambda a, b: a.eqNullSafe(b)

@@ -16,18 +16,27 @@ backslash after its first character, and the turn is parsed once more; a turn
 that still differs is an error. No control string has its first character a
 second time, so a body and a closer, or two turns, never form one between them.
 
+What a conversation says is read back from its formatted text alone: ``Reader`` takes
+it as a stream of characters, in pieces that tell nothing of where turns begin, and
+finds the turns by the grammar. Every turn that it recovers is held against the
+source's, in order; one that differs, or text left over, is an error.
+
 Null texts and null roles are empty strings. Rows of a conversation are ordered
 by turn (null first), then role, then text, so ties and repeated rows have a
-defined order. A null conv_id is a conversation of its own. An empty table gives
-no rows. Input columns beside conv_id, turn, role and text are not looked at.
+defined order. A null conv_id is a conversation of its own. A very long text is held by
+one task as the turn that it is. An empty table gives no rows. Input columns beside
+conv_id, turn, role and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,45 +104,110 @@ def loss_spans(turns: DataFrame) -> DataFrame:
     return turns.withColumn("loss_start", F.when(mine, 3)).withColumn("loss_length", F.when(mine, F.length("segment") - 7))
 
 
+OPENERS = {"<s>": ("assistant", "</s>"), "[INST]": ("user", "[/INST]"), "[ROLE]": (None, "[/ROLE]")}
+ESCAPED = re.compile(r"([<\[])\\(?=\\*" + CONTROL + ")")
+
+
+class Reader:
+    """Recovers (role, text) of the turns in a stream of characters that comes in pieces of any size."""
+
+    def __init__(self) -> None:
+        self.rest = ""
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """The turns that end in this piece."""
+        s, at, turns = self.rest + piece, 0, []
+        while (turn := self._turn(s, at)) is not None:
+            turns.append(turn[:2])
+            at = turn[2]
+        self.rest = s[at:]
+        return turns
+
+    @staticmethod
+    def _turn(s: str, at: int) -> tuple[str, str, int] | None:
+        """Role, text and end of the turn that begins here, None if it does not end yet."""
+        for opener, (role, closer) in OPENERS.items():
+            if not s.startswith(opener, at):
+                continue
+            begin = at + len(opener)
+            if role is None:
+                colon = s.find(":", begin)
+                if colon < 0:
+                    return None
+                role, begin = s[begin:colon], colon + 1
+                for char, code in reversed(NAME_CODES):
+                    role = role.replace(code, char)
+            end = s.find(closer, begin)
+            return None if end < 0 else (role, ESCAPED.sub(r"\1", s[begin:end]), end + len(closer))
+        if any(opener.startswith(s[at : at + len(opener)]) for opener in OPENERS):
+            return None
+        raise ValueError(f"no turn begins at {s[at : at + 40]!r}")
+
+
+def turn_code(role: str, text: str) -> int:
+    """What Spark's xxhash64(role, text) gives."""
+    code = xxhash.xxh64_intdigest(text.encode(), xxhash.xxh64_intdigest(role.encode(), 42))
+    return code - (1 << 64) if code >> 63 else code
+
+
 def digests(turns: DataFrame) -> DataFrame:
-    """By conversation, read back from the segments: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """By conversation, read back from the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The rows of a conversation are streamed in order through running hashes; no
-    conversation is held in memory, however long.
+    The text of a conversation is streamed in order through the reader and running hashes;
+    no conversation is held in memory, however long.
     """
-    role, text, _ = parse_turn(F.col("segment"))
-    read = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.length("segment").alias("n"))
-    ordered = read.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    read = turns.select("conv_id", "turn", "segment", F.xxhash64("role", "text").alias("code"))
+    role, text, _ = parse_turn(F.col("segment"))  # only ties of conv_id and turn come to these
+    ordered = read.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", role, text)
+    return ordered.select("conv_id", "segment", "code").mapInArrow(_stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+class Conversation:
+    """Running digests of one conversation."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.reader, self.codes = conv_id, Reader(), deque()
+        self.n = self.loss = self.size = 0
+        self.turns, self.said = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, codes: list[int]) -> None:
+        self.size += len(text)
+        self.codes.extend(codes)
+        for role, body in self.reader.feed(text):
+            if not self.codes or turn_code(role, body) != self.codes.popleft():
+                raise ValueError(f"turn {self.n} of conversation {self.conv_id} does not read back as its source")
+            self.n += 1
+            self.turns.update(f"{role}\n{body}\n".encode())
+            if role == "assistant":
+                self.loss += len(body)
+                self.said.update(body.encode())
+
+    def row(self) -> tuple:
+        if self.codes or self.reader.rest:
+            raise ValueError(f"conversation {self.conv_id} does not end with a turn")
+        return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.said.hexdigest(), self.size
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    out: list[tuple] = []
-    now: object = ()
-    n = loss = size = 0
-    turns = said = hashlib.sha256()
-
-    def done() -> Iterator[pa.RecordBatch]:
-        cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
-        out.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+    now: Conversation | None = None
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
     for batch in batches:
-        for conv, role, text, length in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text", "n")), strict=True):
-            if now == () or conv != now:
-                if now != ():
-                    out.append((now, n, turns.hexdigest(), loss, said.hexdigest(), size))
-                now, n, loss, size = conv, 0, 0, 0
-                turns, said = hashlib.sha256(), hashlib.sha256()
-            n, size = n + 1, size + length
-            turns.update(f"{role}\n{text}\n".encode())
-            if role == "assistant":
-                loss += len(text)
-                said.update(text.encode())
-        if len(out) >= 1000:
-            yield from done()
-    if now != ():
-        out.append((now, n, turns.hexdigest(), loss, said.hexdigest(), size))
-    yield from done()
+        ids, segments, codes = (batch.column(c).to_pylist() for c in ("conv_id", "segment", "code"))
+        out, at = [], 0
+        while at < len(ids):
+            end = at
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            if now is None or now.conv_id != ids[at]:
+                if now is not None:
+                    out.append(now.row())
+                now = Conversation(ids[at])
+            now.add("".join(segments[at:end]), codes[at:end])
+            at = end
+        yield table(out)
+    if now is not None:
+        yield table([now.row()])

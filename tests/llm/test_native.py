@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -41,6 +42,17 @@ def test_chat_round_trip(spark):
     # The concatenation itself parses into the same turns.
     whole = "".join(r["segment"] for r in turns.where("conv_id = 1").orderBy("turn", "role", "text").collect())
     assert len(re.findall(r"(?s)<s>.*?</s>|\[INST\].*?\[/INST\]|\[ROLE\].*?\[/ROLE\]", whole)) == len(hard) * 5
+    told = [(r, x) for *_, r, x in by[1]]
+    shorter = whole.replace("x" * 50_000, "")
+    for size in (1, 7, 1000, len(whole)):  # read as characters that come in pieces of any size
+        reader, text = chat.Reader(), whole if size >= 1000 else shorter
+        read = [t for i in range(0, len(text), size) for t in reader.feed(text[i : i + size])]
+        assert sorted(read) == sorted((r, x if size >= 1000 else x.replace("x" * 50_000, "")) for r, x in told) and not reader.rest
+    with pytest.raises(ValueError):
+        chat.Reader().feed("<s>ok</s>stray text")
+    broken = turns.where("conv_id = 2").withColumn("segment", F.replace("segment", F.lit("hi"), F.lit("ho")))
+    with pytest.raises(Exception, match="does not read back"):
+        chat.digests(broken).collect()
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
 
 
@@ -147,7 +159,33 @@ def test_mixing(spark, sf_dir):
     assert mixing.mix(docs.limit(0))[0].count() == 0
 
 
-def test_hypergeometric_mean(spark):
-    rows = spark.range(4000).selectExpr("id", "300L as l", "700L as r", "200L as d").withColumn("u", mixing.unit(F.col("id")))
-    got = rows.selectExpr(mixing.hypergeometric("u", "l", "r", "d") + " as x").agg({"x": "avg"}).first()[0]
-    assert abs(got - 60) < 0.5
+def draws(spark, l, r, d, n):  # noqa: E741
+    rows = spark.range(n).selectExpr("xxhash64(id) as key", f"{l}L as lw", f"{r}L as rw", f"{d}L as quota")
+    return sorted(x["take"] for x in mixing.hypergeometric(rows).select("take").collect())
+
+
+@pytest.mark.parametrize("l, r, d", [(300, 700, 200), (3, 1, 2), (0, 9, 4), (5, 0, 5), (40_000, 60_000, 30_000)])
+def test_hypergeometric_is_exact(spark, l, r, d):  # noqa: E741
+    got, lo, hi = Counter(draws(spark, l, r, d, 4000)), max(0, d - r), min(l, d)
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    p = {j: math.exp(choose(l, j) + choose(r, d - j) - choose(l + r, d)) for j in range(lo, hi + 1)}
+    assert set(got) <= set(p)
+    cells, seen, want = [], 0, 0.0  # neighbours pooled to 40 expected draws a cell
+    for j in p:
+        seen, want = seen + got[j], want + 4000 * p[j]
+        if want >= 40:
+            cells.append((seen, want))
+            seen, want = 0, 0.0
+    chi = sum((s - w) ** 2 / w for s, w in cells)
+    assert chi < len(cells) + 4 * math.sqrt(2 * len(cells)) + 4
+
+
+@pytest.mark.parametrize("size", [10**3, 10**9, 10**13])
+def test_hypergeometric_at_every_size(spark, size):
+    l, r, d, n = 3 * size, 5 * size, 2 * size, 4000  # noqa: E741
+    mean, sd = d * l / (l + r), math.sqrt(d * l / (l + r) * r / (l + r) * (l + r - d) / (l + r - 1))
+    z = [(x - mean) / sd for x in draws(spark, l, r, d, n)]
+    assert abs(sum(z)) / n < 4 / math.sqrt(n) and abs(sum(x * x for x in z) / n - 1) < 4 * math.sqrt(2 / n)
+    assert 2.8 < z[-1] < 5 and -5 < z[0] < -2.8 and abs(z[n // 2]) < 0.08
+    if size > 10**3:
+        assert len(set(z)) > 0.95 * n  # every value can be drawn, not those of a stride alone; at 1e9 some 119 of 4000 meet another by chance

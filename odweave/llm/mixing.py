@@ -70,9 +70,9 @@ def _growth(x: str, k: str) -> str:
 
 def log_ratio(k: str) -> str:
     """SQL: log of the probability of _m + k over that of the mode _m, from the columns lw, rw, quota and _m."""
-    m, l, d, r = "_m", "(lw - _m)", "(quota - _m)", "(rw - quota + _m)"  # noqa: E741
-    step = f"ln(({m} + 1.0D) / ({l} + 1.0D) * (({r} + 1.0D) / ({d} + 1.0D)))"
-    return f"-({k} * {step} + {_growth(m, k)} + {_growth(l, f'(-{k})')} + {_growth(d, f'(-{k})')} + {_growth(r, k)})"
+    step = "ln((_m + 1.0D) / (lw - _m + 1.0D) * ((rw - quota + _m + 1.0D) / (quota - _m + 1.0D)))"
+    terms = f"array(struct(_m as x, {k} as k), struct(lw - _m as x, -{k} as k), struct(quota - _m as x, -{k} as k), struct(rw - quota + _m as x, {k} as k))"
+    return f"aggregate({terms}, -{k} * {step}, (s, g) -> s - {_growth('g.x', 'g.k')})"
 
 
 def hypergeometric(df: DataFrame) -> DataFrame:
@@ -91,13 +91,16 @@ def hypergeometric(df: DataFrame) -> DataFrame:
         .withColumn("_m", F.expr("greatest(_lo, least(_hi, cast(floor((quota + 1.0D) * (lw + 1.0D) / (lw + rw + 2.0D)) as bigint)))"))
         .withColumn("_a", F.expr("greatest(_lo, cast(floor(_mean - 9 * sqrt(_var) - 2) as bigint))")).withColumn("_b", F.expr("least(_hi, cast(ceil(_mean + 9 * sqrt(_var) + 2) as bigint))"))
     )
-    walk = f"""aggregate(array(transform(sequence(_a, greatest(_a, least(_b, _a + {WALK}))), j -> struct(j as j, exp({log_ratio('(j - _m)')}) as p))), _lo, (z, w) ->
-        aggregate(w, struct(0.0D as c, _lo as v, aggregate(w, 0.0D, (s, e) -> s + e.p) * {u(-1, 0)} as upto), (acc, e) -> if(acc.c >= acc.upto, acc, struct(acc.c + e.p as c, e.j as v, acc.upto as upto)), acc -> acc.v))"""
+    # Values in question, each with its log ratio: all of a narrow distribution, or those that the tries of a wide one hit upon.
+    all_ = f"transform(sequence(_a, greatest(_a, least(_b, _a + {WALK}))), j -> struct(0.0D as x, j as j))"
     tries = f"transform(sequence(0, {TRIES - 1}), i -> struct({u('i', 1)} as x, {u('i', 2)} as y))"
-    places = f"transform({tries}, t -> struct(t.x as x, cast(floor(_mean + 0.5D + ({HAT[0]}D * sqrt(_var + 0.5D) + {HAT[1]}D) * (t.y - 0.5D) / t.x) as bigint) as j))"
-    reject = f"coalesce(get(filter({places}, t -> t.j between _lo and _hi and 2 * ln(t.x) <= {log_ratio('(greatest(_lo, least(_hi, t.j)) - _m)')}), 0).j, _m)"
+    hit = f"transform({tries}, t -> struct(2 * ln(t.x) as x, cast(floor(_mean + 0.5D + ({HAT[0]}D * sqrt(_var + 0.5D) + {HAT[1]}D) * (t.y - 0.5D) / t.x) as bigint) as j))"
+    values = f"transform(filter(if(_b - _a <= {WALK}, {all_}, {hit}), t -> t.j between _lo and _hi), t -> struct(t.j as j, t.x as x, {log_ratio('(t.j - _m)')} as p))"
+    walk = f"aggregate(_values, struct(0.0D as c, _lo as v, aggregate(_values, 0.0D, (s, e) -> s + exp(e.p)) * {u(-1, 0)} as upto), (acc, e) -> if(acc.c >= acc.upto, acc, struct(acc.c + exp(e.p) as c, e.j as v, acc.upto as upto)), acc -> acc.v)"
+    reject = "coalesce(get(filter(_values, t -> t.x <= t.p), 0).j, _m)"
     take = f"case when _lo >= _hi then _lo when _b - _a <= {WALK} then {walk} else {reject} end"
-    return ready.withColumn("take", F.expr(take)).drop("_lo", "_hi", "_mean", "_var", "_m", "_a", "_b")
+    ready = ready.withColumn("_values", F.explode(F.array(F.expr(values))))  # the explode of one array keeps it a column of its own
+    return ready.withColumn("take", F.expr(take)).drop("_lo", "_hi", "_mean", "_var", "_m", "_a", "_b", "_values")
 
 
 def quotas(shards: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -121,6 +124,8 @@ def quotas(shards: DataFrame, depth: int, seed: int) -> DataFrame:
             .select("source", F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("take").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("quota") - F.col("take")).alias("quota")))).alias("x"))
             .select("source", "x.node", "x.quota").where("quota > 0")
         )
+        if d % 2 == 0:
+            level = stored(level)  # plans do not grow with the depth
     return level.select("source", F.col("node").alias("shard"), "quota")
 
 

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 ERROR_DIVISOR, MIN_ITEM, MIN_SHORT = 12, 40, 12
 ITEM_CHARS = 4_000_000
 
@@ -112,7 +114,7 @@ def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], div
     """The rows with the hits of these items added to those that they have."""
     matcher = Matcher(items, divisor, least)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-    for batch in batches:
+    for batch in (piece for b in batches for piece in K.pieces(b, b.column("text"))):
         before = batch.column("hits").to_pylist()
         out = [h + [{"item_id": i, "distance": d} for i, d in matcher.hits(t)] for h, t in zip(before, batch.column("text").to_pylist(), strict=True)]
         out = [sorted(h, key=lambda x: (x["item_id"], x["distance"])) for h in out]
@@ -151,5 +153,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame
 
 def _keep_clean(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], divisor: int, least: int) -> Iterator[pa.RecordBatch]:
     matcher = Matcher(items, divisor, least)
-    for batch in batches:
+    for batch in (piece for b in batches for piece in K.pieces(b, b.column("text"))):
         yield batch.filter(pa.array([not matcher.hits(t) for t in batch.column("text").to_pylist()], pa.bool_()))

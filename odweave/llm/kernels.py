@@ -65,6 +65,16 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         a = b
 
 
+def pieces(batch: pa.RecordBatch, column: pa.Array, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have ``limit`` bytes at most, or one row; nothing is copied."""
+    off = text_buffer(column)[1]
+    a, n = 0, len(off) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def prefix(buf: np.ndarray) -> np.ndarray:
     """Running polynomial hash; ``span`` reads the hash of any span from it."""
     p, _ = powers(len(buf))

@@ -45,6 +45,8 @@ U = K.U
 THRESHOLD, MIN_LINE = 2, 40
 #: Pairs of one key that its bucket lists itself; beyond, the key's lines are compared in blocks of BLOCK.
 BUCKET_PAIRS, BLOCK = 4096, 512
+#: Keys that are packed at once.
+PACK_KEYS = 1 << 20
 #: Rounds in which lines of a common key are compared with one of them.
 LEADER_ROUNDS = 3
 _BLANK = " \t\n\x0b\f\r"
@@ -149,9 +151,23 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket, keys, lines: index and probe keys of the distinct lines of each batch, packed; the lowest bit of a key tells a probe."""
+    """bucket, keys, lines: index and probe keys of lines, packed, some PACK_KEYS at once and each once a piece of text; the lowest bit of a key tells a probe."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        key, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        found.clear()
+        where = ((key >> U(1)) % U(buckets)).astype(np.int64)
+        o = np.argsort(where, kind="stable")
+        where, key, h = where[o], key[o], h[o]
+        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        ends = np.append(cut[1:], len(where))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(where[cut]), pa.array([key[x:y].tobytes() for x, y in zip(cut, ends, strict=True)]), pa.array([h[x:y].tobytes() for x, y in zip(cut, ends, strict=True)])],
+            ["bucket", "keys", "lines"],
+        )
+
     for batch in batches:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for _, _, buf, off in K.chunks(batch.column("text")):
             s, e, _ = _lines(buf, off)
             lead = (buf & 0xC0) != 0x80  # bytes that begin a code point
@@ -181,18 +197,10 @@ def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int) -
                         found.append((key | U(1), h[go]))
                         if back == 0 and shift == 0:
                             found.append((key & ~U(1), h[go]))
-        if not found:
-            continue
-        key, h = (np.concatenate(x) for x in zip(*found, strict=True))
-        where = ((key >> U(1)) % U(buckets)).astype(np.int64)
-        o = np.argsort(where, kind="stable")
-        where, key, h = where[o], key[o], h[o]
-        cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        ends = np.append(cut[1:], len(where))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(where[cut]), pa.array([key[x:y].tobytes() for x, y in zip(cut, ends, strict=True)]), pa.array([h[x:y].tobytes() for x, y in zip(cut, ends, strict=True)])],
-            ["bucket", "keys", "lines"],
-        )
+            if sum(len(x) for x, _ in found) >= PACK_KEYS:
+                yield flush()
+    if found:
+        yield flush()
 
 
 def _match(bucket: pa.Table, most: int) -> pa.Table:
@@ -262,7 +270,7 @@ def _verify_blocks(block: pa.Table, t: int) -> pa.Table:
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, text of the lines whose number is wanted (column lines, ascending)."""
-    for batch in batches:
+    for batch in (piece for b in batches for piece in K.pieces(b, b.column("text"))):
         hs, texts = [], []
         for text, wanted, keys in zip(*(batch.column(c).to_pylist() for c in ("text", "lines", "hs")), strict=True):
             parts = (text or "").split("\n")
@@ -367,7 +375,7 @@ def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (piece for b in batches for piece in K.pieces(b, b.column("row").field("text"))):
         row, kept = batch.column("row"), []
         names = [f.name for f in row.type]
         fields = row.flatten()

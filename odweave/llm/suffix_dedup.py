@@ -49,6 +49,8 @@ KEPT_BITS = U((1 << 48) - 1)
 #: Bytes of text for one group of documents and one deal; documents from which on an anchor's windows are dealt out one by one.
 DEAL_BYTES, HOT = 6 << 20, 1 << 14
 IS_HOT = U(1 << 63)
+#: Anchors that are packed at once.
+PACK_ANCHORS = 2 << 20
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -149,21 +151,28 @@ def firsts(text: np.ndarray, begin: np.ndarray, size: np.ndarray, name: np.ndarr
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], buckets: int, length: int, k: int) -> Iterator[pa.RecordBatch]:
     """bucket, fps, docs: the distinct anchors of each document."""
+    fps: list[np.ndarray] = []
+    docs: list[np.ndarray] = []
+
+    def flush() -> pa.RecordBatch:
+        fp, doc = (np.concatenate(fps) >> U(16)) & KEPT_BITS, np.concatenate(docs)
+        fps.clear()
+        docs.clear()
+        o, cut, end = _split((fp % U(buckets)).astype(np.int64))
+        fp, doc = fp[o], doc[o]
+        rows = [(int(fp[x] % U(buckets)), packed(fp[x:y]), packed(doc[x:y].astype(np.int64))) for x, y in zip(cut, end, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "fps", "docs"])
+
     for batch in batches:
-        fps, docs = [], []
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for a, _, buf, off in K.chunks(batch.column("text")):
             fp, row, _, _ = anchors(buf, off, length, k)
             fps.append(fp)
             docs.append(ids[a + row])
-        if not fps:
-            continue
-        fp, doc = np.concatenate(fps), np.concatenate(docs)
-        fp = (fp >> U(16)) & KEPT_BITS
-        o, cut, end = _split((fp % U(buckets)).astype(np.int64))
-        fp, doc = fp[o], doc[o]
-        rows = [(int(fp[x] % U(buckets)), packed(fp[x:y]), packed(doc[x:y].astype(np.int64))) for x, y in zip(cut, end, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "fps", "docs"])
+            if sum(map(len, fps)) >= PACK_ANCHORS:
+                yield flush()
+    if fps:
+        yield flush()
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import chaining, chat, decontam, line_join, mixing, quality_llr, quality_rff, secrets, suffix_dedup, superminhash
 from .common import table
+from .oracle import SQL
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,12 +60,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passage_summary(docs, chaining.shared_passages(docs))
 
 
+# What SQL can say of the three operators whose last columns it cannot.
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_source_mixing(spark, sf_dir).select("doc_id", "size", "source_size", (F.floor(F.col("target") * 1e3 + 0.5) / 1e3).alias("target"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_secret_scan(spark, sf_dir).drop("n_markov", "spans")
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_quality_rules(spark, sf_dir).drop("llr", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_minhash_dedup, op3_line_dedup, op4_source_mixing, op5_secret_scan,
         op6_quality_classifier, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_substring_dedup,
+        mix_targets, secret_base_spans, quality_rule_counts,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

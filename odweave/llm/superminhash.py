@@ -190,13 +190,13 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGIS
     nodes = stored(signed.where("n_shingles > 0").groupBy("digest").agg(F.min("node").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
     bands = nodes.select("rep", "n", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bands = stored(bands.join(shared, "key"))
+    bands = stored(salted_join(bands, shared, ["key"], "rep", "size"))
     central = bands.groupBy("rep").agg(F.sum("size").alias("weight"))
-    leader = bands.join(central, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("n").alias("ln"))).alias("x")).select("key", (-F.col("x.minus")).alias("a"), "x.ln")
+    leader = bands.join(central, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"), F.col("n").alias("ln"))).alias("x"), F.max("size").alias("size")).select("key", "size", (-F.col("x.minus")).alias("a"), "x.ln")
     near = f"100 * least(n, ln) >= {percent} * greatest(n, ln)"
     texts = src.select(F.col("node").alias("doc_id"), "text")
     texts = stored(texts.join(bands.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    first = stored(bands.join(leader, "key").where(f"a <> rep and {near}").select("a", F.col("rep").alias("b")).distinct())
+    first = stored(salted_join(bands.drop("size"), leader, ["key"], "rep", "size").where(f"a <> rep and {near}").select("a", F.col("rep").alias("b")).distinct())
     links = stored(confirmed(first, texts, k, percent))
     label = components(links)
     # What the leaders left apart: members of one band in different components, whose pair is still unseen.

@@ -38,7 +38,7 @@ def kept_lines(docs):
 
 
 def test_stages(spark, sf_dir):
-    docs = documents(spark, sf_dir, 90).where("doc_id <> 10006").where("doc_id not in (10012, 10013)")
+    docs = documents(spark, sf_dir, 90)
     assert [n for n, _ in P.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "source_mixing"]
     stage = dict(P.STAGES)
 
@@ -74,7 +74,7 @@ def test_stages(spark, sf_dir):
 
 
 def test_stages_with_repeated_rows_and_long_texts(spark, sf_dir):
-    """The awkward rows that test_stages leaves out, and rows without a doc_id."""
+    """Repeated rows, very long texts, and rows without a doc_id."""
     docs = documents(spark, sf_dir, 20)
     schema = docs.schema
     extra = [(None, "a row without an id and with nine words", "en", "s1", 39, None, None)] * 3 + [(77_777, "twice the same few words in here", "en", None, 32, None, i) for i in range(2)]

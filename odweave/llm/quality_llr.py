@@ -23,8 +23,6 @@ from .common import doubles_literal, words_column
 
 #: Buckets of the hashed n-grams; the only thing that reaches the driver is one row a bucket.
 BUCKETS = 8192
-#: Most labelled documents that stand for the trusted target (a bounded sample, taken by hash of the id).
-TRUSTED_LIMIT = 20_000
 #: Mean log ratio a document has to reach, in nats an n-gram.
 THRESHOLD = -0.06
 #: Words a document needs, and the largest share of repeated words in percent.
@@ -49,15 +47,17 @@ def hashed(buckets: int = BUCKETS) -> str:
     return f"if(size(hashes) < 2, {one}, concat({one}, {two}))"
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, limit: int = TRUSTED_LIMIT) -> list[float]:
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Log ratio by bucket, from counts over every document.
 
-    ``trusted`` has the doc_id of documents known to be good; at most ``limit``
-    of them, lowest hash first, are the target, so the broadcast has a fixed bound.
+    ``trusted`` has the doc_id of documents known to be good; all of them are the
+    target. Whether their ids are few enough to be broadcast is left to Spark's size check;
+    in a shuffled join rows without a doc_id, which meet nothing, are dealt out by their text.
     """
-    ids = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_has"), F.lit(1).alias("_good")).distinct()
+    keyed = docs.select("text", F.coalesce("doc_id", F.xxhash64("text")).alias("_key"), F.col("doc_id").isNotNull().alias("_any"))
     marked = (
-        with_words(docs.select("doc_id", "text").join(F.broadcast(ids.withColumn("_good", F.lit(1))), "doc_id", "left"), "_good")
+        with_words(keyed.join(ids, (F.col("_key") == F.col("_id")) & (F.col("_any") == F.col("_has")), "left"), "_good")
         .select("_good", F.explode(F.expr(hashed(buckets))).alias("bucket"))
     )
     rows = marked.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_good").alias("good")).collect()  # one row a bucket
@@ -89,10 +89,10 @@ def repeated_words() -> Column:
               a -> a.n)))) end""")
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_limit: int = TRUSTED_LIMIT, carry: list[str] | None = None) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, carry: list[str] | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, llr and kept, one row a row of ``docs``; ``carry`` names columns to keep beside them."""
     carry = [c for c in carry or [] if c not in ("doc_id", "text")]
-    table = doubles_literal(log_ratios(docs, trusted, buckets, trusted_limit))
+    table = doubles_literal(log_ratios(docs, trusted, buckets))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = "filter(split(coalesce(text, ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     return (

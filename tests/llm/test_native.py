@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,26 @@ def test_quality_counts(spark, sf_dir):
     assert all(r["llr"] == 0 for r in quality_llr.quality(docs, good.limit(0)).collect())
 
 
+def test_ratios_count_every_trusted_document(spark, sf_dir):
+    """The target is all trusted rows, whichever way Spark joins them; rows without a doc_id are raw corpus only."""
+    docs = documents(spark, sf_dir, 60)
+    docs = docs.unionByName(docs.where("doc_id >= 10015").withColumn("doc_id", F.lit(None).cast("long")))
+    good = docs.select("doc_id").where("doc_id % 2 = 0 or doc_id is null")
+    ways = []
+    for limit in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        ways.append(quality_llr.log_ratios(docs, good, 64))
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    raw, want = np.zeros(64), np.zeros(64)
+    for r in quality_llr.with_words(docs, "doc_id").select("doc_id", F.expr(quality_llr.hashed(64)).alias("b")).collect():
+        n = np.bincount(r["b"], minlength=64) if r["b"] else np.zeros(64)
+        raw += n
+        want += n * (r["doc_id"] is not None and r["doc_id"] % 2 == 0)
+    prior = (raw + 0.5) / (raw.sum() + 32)
+    want = np.log((want + 20 * prior) / (want.sum() + 20)) - np.log(prior)
+    assert np.allclose(ways[0], want) and np.allclose(ways[1], want)
+
+
 def test_quality_tells_junk(spark, sf_dir):
     at = sf_dir.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{at}/{t}.parquet") for t in ("documents", "labels"))

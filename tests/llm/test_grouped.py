@@ -399,6 +399,39 @@ def test_passage_whose_parts_stand_in_earlier_documents(spark):
     assert set(found_pairs(spark, docs)) == want
 
 
+def test_windows_of_frequent_parts(spark):
+    """Texts put together from a few frequent parts: every word in 50 equal words that an earlier document has is in a passage."""
+    rnd = random.Random(8)
+    for turn in range(2):
+        parts = [own(f"p{turn}_{i}_", n) for i, n in enumerate((17, 24, 33, 40, 26, 48, 30, 20))]
+        texts_ = []
+        for i in range(90):
+            t = []
+            for part in rnd.sample(parts, rnd.randint(2, 4)):
+                t += part + (own(f"o{turn}_{i}_{len(t)}_", rnd.randint(5, 30)) if rnd.random() < 0.5 else [])
+            texts_.append(t)
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts_)], "doc_id long, text string").repartition(4)
+        got = {i: set() for i in range(90)}
+        for r in chaining.shared_passages(df).collect():
+            got[r["b"]] |= set(range(r["start"], r["end"]))
+        seen, n = set(), 0
+        for i, t in enumerate(texts_):
+            here = [tuple(t[j : j + 50]) for j in range(len(t) - 49)]
+            want = {x for j, w in enumerate(here) if w in seen for x in range(j, j + 50)}
+            assert want <= got[i]
+            n += bool(want)
+            seen |= set(here)
+        assert n > 30
+
+
+def test_windows_reach_out_of_a_run():
+    at = lambda *run: [(np.arange(*run) + 900, np.arange(*run))]
+    assert chaining.beyond(at(60, 80), 200, 16, 50).tolist() == list(range(26, 65))
+    assert chaining.beyond(at(60, 75), 200, 16, 50).tolist() == [] and chaining.beyond(at(0, 40), 40, 16, 50).tolist() == []
+    assert chaining.beyond(at(0, 200), 200, 16, 50).tolist() == []
+    assert chaining.beyond(at(60, 120), 130, 16, 50).tolist() == [*range(26, 60), *range(71, 81)]
+
+
 def test_passage_with_words_replaced(spark):
     docs, want = [], set()
     for every in (5, 6, 7, 8, 10):

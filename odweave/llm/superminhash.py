@@ -177,8 +177,8 @@ def narrowed(placed: DataFrame, texts: DataFrame, k: int, percent: int, rare: in
     side = lambda x: sized.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}"))
     pairs = two.groupBy("a", "b").agg(F.sum("s").alias("s")).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.withColumn("both", F.least(F.col("s") + F.least("ma", "mb"), "na", "nb")).where(f"ca <> cb and 100 * both >= {percent} * (na + nb - both)")
-    least = placed.groupBy("key").agg(F.min("n").alias("low"))
-    bounded = placed.join(sized.select("rep", "m"), "rep").join(least, "key")
+    least = placed.groupBy("key").agg(F.min("n").alias("low"), F.count("*").alias("size"))
+    bounded = salted_join(placed.join(sized.select("rep", "m"), "rep"), least, ["key"], "rep", "size")
     # The best partner of a document has no more shingles than it has to, and not fewer than the smallest of the band.
     return pairs.select("a", "b"), bounded.where(f"100 * m >= {percent} * (n + greatest(low, m) - m)").select("key", "rep", "n", "c", "m")
 
@@ -201,7 +201,8 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = SHINGLE, m: int = REGIS
     label = components(links)
     # What the leaders left apart: members of one band in different components, whose pair is still unseen.
     placed = bands.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    open_ = lambda rows: stored(rows.join(rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "key"))
+    several = lambda rows: rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    open_ = lambda rows: stored(salted_join(rows, several(rows), ["key"], "rep", "size").drop("size"))
     scarce: list[DataFrame] = []
     for _ in range(ROUNDS):  # who has left makes nobody's shingle common any more, so the bound tightens
         pairs, placed = narrowed(open_(placed.select("key", "rep", "n", "c")), texts, k, percent)

@@ -47,14 +47,20 @@ def hashed(buckets: int = BUCKETS) -> str:
     return f"if(size(hashes) < 2, {one}, concat({one}, {two}))"
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> list[float]:
+#: Ids of trusted documents up to which they are broadcast (some 100 MB at most as a hash table); more of them meet the texts in a join of Spark's choice.
+BROADCAST_IDS = 1_000_000
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, broadcast_ids: int = BROADCAST_IDS) -> list[float]:
     """Log ratio by bucket, from counts over every document.
 
     ``trusted`` has the doc_id of documents known to be good; all of them are the
-    target. Whether their ids are few enough to be broadcast is left to Spark's size check;
-    in a shuffled join rows without a doc_id, which meet nothing, are dealt out by their text.
+    target. Their ids are counted first: up to ``broadcast_ids`` they go to every task and no
+    text moves; beyond that Spark chooses the join, and in a shuffled one rows without a doc_id, which meet nothing, are dealt out by their text.
     """
     ids = trusted.where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_has"), F.lit(1).alias("_good")).distinct()
+    if ids.count() <= broadcast_ids:
+        ids = F.broadcast(ids)
     keyed = docs.select("text", F.coalesce("doc_id", F.xxhash64("text")).alias("_key"), F.col("doc_id").isNotNull().alias("_any"))
     marked = (
         with_words(keyed.join(ids, (F.col("_key") == F.col("_id")) & (F.col("_any") == F.col("_has")), "left"), "_good")

@@ -87,9 +87,9 @@ def test_ratios_count_every_trusted_document(spark, sf_dir):
     docs = docs.unionByName(docs.where("doc_id >= 10015").withColumn("doc_id", F.lit(None).cast("long")))
     good = docs.select("doc_id").where("doc_id % 2 = 0 or doc_id is null")
     ways = []
-    for limit in ("10MB", "-1"):
+    for limit, ids in (("10MB", quality_llr.BROADCAST_IDS), ("10MB", 0), ("-1", 0)):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
-        ways.append(quality_llr.log_ratios(docs, good, 64))
+        ways.append(quality_llr.log_ratios(docs, good, 64, ids))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     raw, want = np.zeros(64), np.zeros(64)
     for r in quality_llr.with_words(docs, "doc_id").select("doc_id", F.expr(quality_llr.hashed(64)).alias("b")).collect():
@@ -98,7 +98,7 @@ def test_ratios_count_every_trusted_document(spark, sf_dir):
         want += n * (r["doc_id"] is not None and r["doc_id"] % 2 == 0)
     prior = (raw + 0.5) / (raw.sum() + 32)
     want = np.log((want + 20 * prior) / (want.sum() + 20)) - np.log(prior)
-    assert np.allclose(ways[0], want) and np.allclose(ways[1], want)
+    assert all(np.allclose(w, want) for w in ways)
 
 
 def test_quality_tells_junk(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import permutations
 from string import ascii_lowercase, ascii_uppercase
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -67,4 +68,35 @@ q AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_str
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(n_repeat, 0) AS n_repeat_words FROM d LEFT JOIN c USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM q"""
 
-SQL = {"op1_chat_format": CHAT, "op2_minhash_dedup": NEAR, "op8_suffix_dedup": SUFFIX, "mix_targets": TARGETS, "secret_base_spans": SECRETS, "quality_rule_counts": QUALITY}
+# The checksum of a feature, byte by byte with the table of its polynomial; each distinct feature once.
+RESAMPLING = f"""WITH RECURSIVE poly AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t),
+w AS (SELECT *, list_filter(string_split_regex(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT doc_id, text, TRUE AS own FROM documents UNION ALL SELECT NULL, text, FALSE FROM benchmark)),
+f AS (SELECT doc_id, own, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+c AS (SELECT f, xor(list_reduce(list_transform(range(0, length(h) // 2), lambda i: (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1),
+  lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS b FROM u, poly),
+x AS (SELECT doc_id, own, b FROM f JOIN c USING (f)),
+n AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM x GROUP BY b),
+z AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM n),
+g AS (SELECT b, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM n, z),
+d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM x JOIN g USING (b) WHERE own GROUP BY doc_id),
+r AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT AS h FROM w LEFT JOIN d USING (doc_id) WHERE own),
+q AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k FROM q)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= (SELECT 25 * count(*) // 100 FROM q WHERE n_words >= 20) THEN k END AS rank FROM k"""
+
+_AUDIT_STEPS = ", ".join(f"('{''.join(p)}', {k + 1}, '{f}', '{''.join(p[:k])}')" for p in permutations("ABCDE") for k, f in enumerate(p))
+AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+f AS (SELECT *, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 'E' ELSE '' END) AS fails FROM d),
+l AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+s(filter_order, step, f, before) AS (VALUES {_AUDIT_STEPS}),
+c AS (SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS hit, before <> '' AND regexp_matches(fails, '[' || before || '.]') AS gone FROM m, s),
+t AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM c GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM t"""
+
+SQL = {"op1_chat_format": CHAT, "op2_minhash_dedup": NEAR, "op8_suffix_dedup": SUFFIX, "mix_targets": TARGETS, "secret_base_spans": SECRETS, "quality_rule_counts": QUALITY, "op12_target_resampling": RESAMPLING, "op13_filter_audit": AUDIT}

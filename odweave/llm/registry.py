@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chat, decontam, line_join, mixing, quality_llr, quality_rff, secrets, suffix_dedup, superminhash
+from . import chaining, chat, crc_resampling, decontam, filter_audit, line_join, mixing, quality_llr, quality_rff, secrets, suffix_dedup, superminhash
 from .common import table
 from .oracle import SQL
 
@@ -60,6 +60,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passage_summary(docs, chaining.shared_passages(docs))
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 # What SQL can say of the three operators whose last columns it cannot.
 
 
@@ -79,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_minhash_dedup, op3_line_dedup, op4_source_mixing, op5_secret_scan,
         op6_quality_classifier, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_substring_dedup,
+        op12_target_resampling, op13_filter_audit,
         mix_targets, secret_base_spans, quality_rule_counts,
     )}
 

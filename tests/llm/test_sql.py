@@ -11,7 +11,7 @@ from odweave.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "labels"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     df = registry.queries()[name](spark, sf_dir)
     want = con.execute(registry.oracle_sql()[name])

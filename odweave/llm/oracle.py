@@ -86,6 +86,26 @@ q AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DO
 k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k FROM q)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= (SELECT 25 * count(*) // 100 FROM q WHERE n_words >= 20) THEN k END AS rank FROM k"""
 
+# Words hold no blanks, so one blank can stand for the end and two for the start.
+LANGUAGE = f"""WITH poly AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS t),
+l AS (SELECT doc_id, xor(list_reduce(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295) % 5 = 1 AS held_out,
+  list_concat(['  '], {LOWER_WORDS}, [' ']) AS l FROM documents, poly),
+t AS (SELECT doc_id, held_out, l[i] AS v, l[i + 1] AS w FROM (SELECT *, unnest(range(1, len(l))) AS i FROM l)),
+b AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY ALL),
+u AS (SELECT w, count(*) AS n, sum(c) AS c FROM b GROUP BY w),
+k2 AS (SELECT count(*) FILTER (c = 1) AS a, count(*) FILTER (c = 2) AS b, count(*) FILTER (c = 3) AS c, count(*) FILTER (c = 4) AS d FROM b),
+k1 AS (SELECT count(*) FILTER (n = 1) AS a, count(*) FILTER (n = 2) AS b, count(*) FILTER (n = 3) AS c, count(*) FILTER (n = 4) AS d, count(*) FILTER (n >= 3) AS m, count(*) AS types, sum(n)::DOUBLE AS total, sum(c)::BIGINT AS tokens FROM u),
+d2 AS (SELECT CASE WHEN least(a, b, c, d) > 0 THEN [1 - 2 * a / (a + 2 * b) * b / a, 2 - 3 * a / (a + 2 * b) * c / b, 3 - 4 * a / (a + 2 * b) * d / c] END AS e FROM k2),
+d1 AS (SELECT CASE WHEN least(a, b, c, d) > 0 THEN [1 - 2 * a / (a + 2 * b) * b / a, 2 - 3 * a / (a + 2 * b) * c / b, 3 - 4 * a / (a + 2 * b) * d / c] END AS e FROM k1),
+f AS (SELECT CASE WHEN list_min(d1.e) >= 0 THEN d1.e ELSE [0.5, 1, 1.5]::DOUBLE[] END AS d1, CASE WHEN list_min(d2.e) >= 0 THEN d2.e ELSE [0.5, 1, 1.5]::DOUBLE[] END AS d2 FROM d1, d2),
+low AS (SELECT *, (d1[1] * a + d1[2] * b + d1[3] * m) / total / (types + 1) AS rest FROM k1, f),
+p1 AS (SELECT w, u.c, (n - d1[least(n, 3)]) / total + rest AS p FROM u, low),
+ctx AS (SELECT v, sum(c)::DOUBLE AS total, d2[1] * count(*) FILTER (c = 1) + d2[2] * count(*) FILTER (c = 2) + d2[3] * count(*) FILTER (c >= 3) AS free FROM b, f GROUP BY v, d2),
+s AS (SELECT t.doc_id, t.held_out, coalesce(p1.c, 0) AS c, log10((coalesce(p1.c, 0) + 0.5) / (tokens + 0.5 * (types + 1))) AS base,
+  log10(CASE WHEN ctx.total IS NULL THEN coalesce(p, rest) ELSE (coalesce(b.c - d2[least(b.c, 3)], 0) + free * coalesce(p, rest)) / ctx.total END) AS s
+  FROM t LEFT JOIN p1 USING (w) LEFT JOIN ctx USING (v) LEFT JOIN b ON b.v = t.v AND b.w = t.w, low)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, (SELECT tokens FROM k1) AS train_tokens, floor(sum(base) * 1e3 + 0.5) / 1e3 AS base_score, floor(sum(s) * 1e3 + 0.5) / 1e3 AS score FROM s GROUP BY ALL"""
+
 _AUDIT_STEPS = ", ".join(f"('{''.join(p)}', {k + 1}, '{f}', '{''.join(p[:k])}')" for p in permutations("ABCDE") for k, f in enumerate(p))
 AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 f AS (SELECT *, (CASE WHEN len(w) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END)
@@ -99,4 +119,4 @@ t AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND N
   coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost FROM c GROUP BY ALL)
 SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM t"""
 
-SQL = {"op1_chat_format": CHAT, "op2_minhash_dedup": NEAR, "op8_suffix_dedup": SUFFIX, "mix_targets": TARGETS, "secret_base_spans": SECRETS, "quality_rule_counts": QUALITY, "op12_target_resampling": RESAMPLING, "op13_filter_audit": AUDIT}
+SQL = {"op1_chat_format": CHAT, "op2_minhash_dedup": NEAR, "op8_suffix_dedup": SUFFIX, "mix_targets": TARGETS, "secret_base_spans": SECRETS, "quality_rule_counts": QUALITY, "lm_scores": LANGUAGE, "op12_target_resampling": RESAMPLING, "op13_filter_audit": AUDIT}

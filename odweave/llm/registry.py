@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chat, crc_resampling, decontam, filter_audit, line_join, mixing, quality_llr, quality_rff, secrets, suffix_dedup, superminhash
+from . import chaining, chat, crc_resampling, decontam, filter_audit, line_join, mixing, ngram_lm, quality_llr, quality_rff, secrets, suffix_dedup, superminhash
 from .common import table
 from .oracle import SQL
 
@@ -60,6 +60,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chaining.passage_summary(docs, chaining.shared_passages(docs))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, _ = ngram_lm.language_model(table(spark, sf_dir, "documents"), ngram_lm.every_fifth())
+    return scores
+
+
 def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,12 +88,18 @@ def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_quality_rules(spark, sf_dir).drop("llr", "kept")
 
 
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op11's columns, the two sums of logarithms to three digits: these do not depend on the order of a sum."""
+    rounded = lambda c: (F.floor(F.col(c) * 1e3 + 0.5) / 1e3).alias(c)
+    return op11_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", rounded("base_score"), rounded("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_minhash_dedup, op3_line_dedup, op4_source_mixing, op5_secret_scan,
         op6_quality_classifier, op7_decontamination, op8_suffix_dedup, op9_quality_rules, op10_substring_dedup,
-        op12_target_resampling, op13_filter_audit,
-        mix_targets, secret_base_spans, quality_rule_counts,
+        op11_lm_scoring, op12_target_resampling, op13_filter_audit,
+        mix_targets, secret_base_spans, quality_rule_counts, lm_scores,
     )}
 
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +14,11 @@ from ..functions.columns import finite
 from ..operators import estimation, external, matrix, scoring
 from ..sources.storage import store as stored
 
-SCHEMA = "component string, sid int, t int, mean double, info string, local array<double>"
 COMPONENTS = ("D5", "F-total", "F-share", "R-total", "R-share")
-#: Bytes of a component (days x series x columns) that one task may hold; a larger one is fitted over blocks in a table.
-FIT_TASK_BYTES, BLOCK_SERIES = 256 << 20, 256
+#: Series of a block; blocks are what tasks are dealt.
+BLOCK_SERIES = 64
+#: Of the columns of pairs, those that a source of features brings.
+PAIR_GROUPS = {g: (f"{g}_anchor", f"{g}_partner") for g in ("evac", "water", "rain", "snow")} | {"shelter": ("log_facility", "has_facility", "evac_facility")}
 
 
 @dataclass
@@ -56,23 +54,31 @@ def component_frame(name: str, series: DataFrame, features: DataFrame, columns:
 
     ``series`` has the keys, day, t, sid, target, seen, active.
     """
-    j = series.join(features.select(*keys, "day", *columns), [*keys, "day"])
-    return j.select(F.lit(name).alias("component"), "sid", "t", "target", "seen", "active", F.array(*[F.col(c).cast("double") for c in columns]).alias("raw"))
+    j = series.join(features.select(*keys, "day", *columns), [*keys, "day"]) if columns else series
+    raw = F.array(*[F.col(c).cast("double") for c in columns]).cast("array<double>")
+    return j.select(F.lit(name).alias("component"), "sid", "t", "target", "seen", "active", raw.alias("raw"))
 
 
-def components(i: Inputs, train: DataFrame, pairs: DataFrame, observed: DataFrame, s: Settings, only: tuple[str, ...] = COMPONENTS, store=stored) -> tuple[DataFrame, dict[str, int]]:
-    """(rows of the components: component, sid, t, target, seen, active, x; number of features of each).
+def plain_variants(s: Settings, only: tuple[str, ...] = COMPONENTS) -> dict[str, tuple[str, list[str]]]:
+    """The fits of the plan: each component with its features, under its own name."""
+    return {n: (n, list(external.PAIR_COLUMNS if n.endswith("share") else s.diagonal_groups if n == "D5" else s.offdiagonal_groups)) for n in only}
 
-    The rows are stored once with raw features; one aggregation over all of them tells
-    how each feature is standardised over the seen rows of active series.
+
+def components(i: Inputs, train: DataFrame, pairs: DataFrame, observed: DataFrame, s: Settings, variants: dict[str, tuple[str, list[str]]], store=stored) -> tuple[DataFrame, dict[str, estimation.Fit]]:
+    """(rows of the fits: component, sid, t, target, seen, active, x; what each fit's series share).
+
+    ``variants`` names fits: a component and the features that it is given, possibly none. The rows of a component
+    are stored once with the raw features of all its fits; one aggregation over them tells
+    how each feature is standardised over the seen rows of active series, and each fit takes its own.
     """
+    columns = {n: list(dict.fromkeys(c for m, own in variants.values() if m == n for c in own)) for n in COMPONENTS if any(m == n for m, _ in variants.values())}
+    only = tuple(columns)
     days = i.calendar.select("day", "t", "weekday", "year_end")
     observed = observed.select("day", F.lit(True).alias("obs"))
-    daily = store(daily_external(i))
-    cellwise = external.cell_features(daily, i.facility)
+    daily = store(daily_external(i)) if any(columns.values()) else None
+    cellwise = external.cell_features(daily, i.facility) if daily is not None else None
     cells = numbered_cells(i.cells)
     flows = matrix.candidate_flows(train, pairs)
-    columns = {n: list(external.PAIR_COLUMNS if n.endswith("share") else s.diagonal_groups if n == "D5" else s.offdiagonal_groups) for n in only}
 
     def ready(dense_: DataFrame, act: DataFrame, key: str, extra: Column | None = None) -> DataFrame:
         d = dense_.join(observed, "day", "left").join(act.select(key, F.lit(True).alias("active")), key, "left")
@@ -96,76 +102,58 @@ def components(i: Inputs, train: DataFrame, pairs: DataFrame, observed: DataFram
             grid = matrix.dense(shares, ["pair_id"], days, pairs).join(pairs.select("pair_id", F.col("pair_id").alias("sid"), F.col(anchor).alias("cell")), "pair_id")
             grid = grid.join(total.select("day", "cell", F.col("value").alias("_total")), ["day", "cell"], "left")
             d = ready(grid.withColumn("_pos", F.coalesce(F.col("_total") > 0, F.lit(False))), matrix.active(flows, "pair_id"), "pair_id", F.col("_pos"))
-            parts.append(component_frame(f"{label}-share", d, external.pair_features(pairs, daily, i.facility, view), columns[f"{label}-share"], ["pair_id"]))
+            parts.append(component_frame(f"{label}-share", d, external.pair_features(pairs, daily, i.facility, view) if columns[f"{label}-share"] else None, columns[f"{label}-share"], ["pair_id"]))
     raw = store(reduce(DataFrame.unionByName, parts))
-    per = raw.where("seen").select("component", F.posexplode("raw").alias("place", "value")).groupBy("component", "place").agg(*external.moments(F.col("value"))).collect()  # a row a feature
-    known = {(r["component"], r["place"]): r for r in per}
-    x, width = F.lit(None).cast("array<double>"), {}
-    for name in only:
-        rows = [(k, known.get((name, k))) for k in range(len(columns[name]))]
-        made = [(k, f) for k, r in rows if r for f in external.scales(columns[name][k], r["n"], r["n_ok"], r["mean"], r["sd"], s.constant_sd)]
-        if not made:
-            raise ValueError(f"{name}: no feature has a value that varies on the training rows")
-        width[name] = len(made)
-        x = F.when(F.col("component") == name, F.array(*[f.of(F.col("raw")[k]) for k, f in made])).otherwise(x)
-    return raw.withColumn("x", x).drop("raw"), width
-
-
-def fit_components(rows: DataFrame, width: dict[str, int], cal: DataFrame, s: Settings, limit: int = FIT_TASK_BYTES, store=stored) -> DataFrame:
-    """component, sid, t, mean; on one row a component its diagnostics as JSON, on the first day of each active series its local coefficients.
-
-    A component whose size is checked to fit a task is one task, all such side by side; a
-    larger one is fitted over blocks of series that stay in a table.
+    known = {}
+    if any(columns.values()):
+        # Element by element, so no row is taken apart: one row a component with a struct a place.
+        most = max(map(len, columns.values()))
+        place = lambda k: F.struct(*external.moments(F.when(F.size("raw") > k, F.get("raw", F.lit(k)))))
+        for r in raw.where("seen").groupBy("component").agg(*[place(k).alias(f"f{k}") for k in range(most)]).collect():  # a row a component
+            known |= {(r["component"], c): r[f"f{k}"] for k, c in enumerate(columns[r["component"]])}
+    of, fits = {n: [] for n in only}, {}
+    for fit, (name, own) in variants.items():
+        made = [(columns[name].index(c), f) for c in own if (name, c) in known for f in external.scales(c, *known[name, c], s.constant_sd)]
+        if own and not made:
+            raise ValueError(f"{fit}: no feature has a value that varies on the training rows")
+        fits[fit] = estimation.Fit(not name.endswith("share"), name == "D5", len(made))
+        of[name].append(F.struct(F.lit(fit).alias("fit"), F.array(*[f.of(F.col("raw")[k]) for k, f in made]).cast("array<double>").alias("x")))
+    if all(len(v) == 1 for v in of.values()):
+        each = F.lit(None)
+        for name, v in of.items():
+            each = F.when(F.col("component") == name, v[0]).otherwise(each)
+        out = raw.withColumn("each", each)
+    else:
+        every = F.lit(None)
+        for name, v in of.items():
+            every = F.when(F.col("component") == name, F.array(*v)).otherwise(every)
+        out = raw.withColumn("each", F.explode(every))
+    return out.select(F.col("each.fit").alias("component"), "sid", "t", "target", "seen", "active", F.col("each.x").alias("x")), fits
+
+
+def fit_components(rows: DataFrame, fits: dict[str, estimation.Fit], cal: DataFrame, s: Settings) -> DataFrame:
+    """component, sid, t, mean; on one row a fit its diagnostics as JSON, on the first day of each active series its local coefficients.
+
+    Series are numbered from 0 in each component. Blocks of them are dealt in turn over as many tasks as run at a time; all
+    fits go through their passes together in one barrier stage.
     """
     days = cal.select("t", "weekday", "year_end").orderBy("t").collect()  # the calendar: a few hundred rows
     design = estimation.calendar_design(np.array([d["weekday"] for d in days]), np.array([d["year_end"] for d in days]))
-    series = {r["component"]: r["n"] for r in rows.where("t = 0").groupBy("component").agg(F.count("*").alias("n")).collect()}
-    large = [n for n in width if series.get(n, 0) * len(days) * (width[n] + 4) * 8 > limit]
-    small = [n for n in width if n not in large]
-
-    def run(table: pa.Table) -> pa.Table:
-        name = table.column("component")[0].as_py()
-        ids, a = unstacked(table, len(design))
-        mean, info, local = estimation.fit(name, a["target"], a["seen"], a["active"], a["x"], design, not name.endswith("share"), name == "D5", s)
-        n, size = len(ids), mean.size  # day by day: the first day's rows come first, in the order of the series
-        return pa.table({
-            "component": pa.repeat(name, size), "sid": pa.array(np.tile(ids, len(design)), pa.int32()), "t": pa.array(np.repeat(np.arange(len(design)), n), pa.int32()), "mean": pa.array(mean.ravel()),
-            "info": pa.array([json.dumps(info)] + [None] * (size - 1), pa.string()), "local": pa.array([x.tolist() if on else None for x, on in zip(local, a["active"], strict=True)] + [None] * (size - n), pa.list_(pa.float64())),
-        })
-
-    parts = [rows.where(F.col("component").isin(small)).groupBy("component").applyInArrow(run, SCHEMA)] if small else []
-    for name in large:
-        parts.append(fit_blocks(name, rows.where(F.col("component") == name), design, s, store))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def unstacked(table: pa.Table, n_days: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Ids of the series and arrays (days, series), from rows of all days of each."""
-    sid, t = table.column("sid").to_numpy(), table.column("t").to_numpy()
-    ids, rank = np.unique(sid, return_inverse=True)
-    o = np.argsort(t.astype(np.int64) * len(ids) + rank)
-    grab = lambda c: table.column(c).to_numpy()[o].reshape(n_days, len(ids))
-    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(sid), -1)[o]
-    return ids, {"target": grab("target").astype(float), "seen": grab("seen").astype(bool), "active": grab("active").astype(bool)[0], "x": x.reshape(n_days, len(ids), -1)}
-
-
-def fit_blocks(name: str, rows: DataFrame, design: np.ndarray, s: Settings, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The fit of one component over a table of blocks of series; rows as of ``fit_components``."""
-    log_scale, local = not name.endswith("share"), name == "D5"
-
-    def block(key: tuple, table: pa.Table) -> pa.Table:
-        ids, a = unstacked(table, len(design))
-        y = np.where(a["seen"], np.log1p(a["target"]) if log_scale else a["target"], 0.0)
-        return pa.table({"block_id": pa.array([key[0].as_py()], pa.int64()), "payload": pa.array([estimation.pack(estimation.Block(y, a["seen"], a["active"], a["x"], design, local, ids=ids))], pa.binary())})
-
-    number = F.floor(F.col("sid") / BLOCK_SERIES).cast("long").alias("block_id")
-    blocks = store(rows.groupBy(number).applyInArrow(block, "block_id long, payload binary"))
-    blocks, trace = estimation.fit_distributed(blocks, s, store)
-    series, info = estimation.finish_distributed(name, blocks, trace, log_scale, s, store)
-    out = series.select(F.lit(name).alias("component"), "sid", F.posexplode("mean").alias("t", "mean"), "local")
-    first = F.col("t") == 0
-    here = first & (F.col("sid") == info.pop("first_sid"))
-    return out.select("component", "sid", "t", "mean", F.when(here, F.lit(json.dumps(info))).alias("info"), F.when(first, F.col("local")).alias("local"))
+    context = rows.sparkSession.sparkContext
+    slots = max(1, context.defaultParallelism // int(context.getConf().get("spark.task.cpus", "1")))
+    sizes = {r["component"]: r["n"] for r in rows.where("t = 0").groupBy("component").agg(F.count("*").alias("n")).collect()}  # a row a fit
+    first, before = {}, 0
+    for name in fits:
+        first[name], before = before, before - (-sizes.get(name, 0) // BLOCK_SERIES)
+    if not before:
+        return rows.sparkSession.createDataFrame([], "component string, sid int, t int, mean double, info string, local array<double>")
+    tasks = min(slots, before)
+    number = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("component")] + F.floor(F.col("sid") / BLOCK_SERIES).cast("int")
+    dealt = rows.withColumn("block", number).withColumn("task", (F.col("block") % tasks).cast("int")).repartitionById(tasks, "task").drop("task")
+    fitted_ = dealt.sortWithinPartitions("component", "block", "sid", "t").mapInArrow(
+        partial(estimation.fit_tasks, fits={n: f for n, f in fits.items() if sizes.get(n)}, calendar=design, s=s), "component string, sid int, mean array<double>, info string, local array<double>", barrier=True)
+    first_day = lambda c: F.when(F.col("t") == 0, F.col(c)).alias(c)
+    return fitted_.select("component", "sid", F.posexplode("mean").alias("t", "mean"), "info", "local").select("component", "sid", "t", "mean", first_day("info"), first_day("local"))
 
 
 def directional_flow(fit: DataFrame, pairs: DataFrame, flows: DataFrame, cells: DataFrame, target: DataFrame, view: str) -> DataFrame:
@@ -205,8 +193,8 @@ def training(i: Inputs, s: Settings, holdout: bool = True, store=stored) -> tupl
 def fitted(i: Inputs, s: Settings, only: tuple[str, ...] = COMPONENTS, holdout: bool = True, store=stored) -> DataFrame:
     """The fit of some components alone, as of ``fit_components``."""
     train, _, observed, pairs = training(i, s, holdout, store)
-    rows, width = components(i, train, pairs, observed, s, only, store)
-    return store(fit_components(rows, width, i.calendar, s, store=store))
+    rows, fits = components(i, train, pairs, observed, s, plain_variants(s, only), store)
+    return store(fit_components(rows, fits, i.calendar, s))
 
 
 def forecast(i: Inputs, s: Settings, target: DataFrame, holdout: bool = True, store=stored) -> dict[str, DataFrame]:
@@ -214,8 +202,12 @@ def forecast(i: Inputs, s: Settings, target: DataFrame, holdout: bool = True, st
     train, truth, observed, pairs = training(i, s, holdout, store)
     if not matrix.leak_guard(target, observed).isEmpty():
         raise ValueError("days to predict are among the training days")
-    rows, width = components(i, train, pairs, observed, s, store=store)
-    fit = store(fit_components(rows, width, i.calendar, s, store=store))
+    rows, fits = components(i, train, pairs, observed, s, plain_variants(s), store)
+    return from_fit(i, s, store(fit_components(rows, fits, i.calendar, s)), train, truth, observed, pairs, target)
+
+
+def from_fit(i: Inputs, s: Settings, fit: DataFrame, train: DataFrame, truth: DataFrame, observed: DataFrame, pairs: DataFrame, target: DataFrame) -> dict[str, DataFrame]:
+    """What ``forecast`` gives, of a fit of the five components."""
     flows = matrix.candidate_flows(train, pairs)
     cells = numbered_cells(i.cells).select("cell", "sid")
     days = target.select("day", "t")
@@ -243,26 +235,51 @@ def shortened(s: Settings, iterations: int) -> Settings:
     return replace(s, max_iter=iterations)
 
 
-def fixed_levels(train: DataFrame, observed: DataFrame, cal: DataFrame, cells: DataFrame, target: DataFrame, s: Settings) -> DataFrame:
-    """day, origin, dest, value: the mean of each cell's diagonal over the observed days of the target day's regime."""
-    diag = matrix.in_box_flows(train, s.box).where("origin = dest").select("day", F.col("origin").alias("cell"), "value")
-    level = matrix.regime_level(matrix.dense(diag, ["cell"], cal, cells), "cell", cal, observed)
-    return target.select("day", "regime").join(level, "regime").select("day", F.col("cell").alias("origin"), F.col("cell").alias("dest"), F.col("level").alias("value"))
+def ablation_variants(s: Settings) -> dict[str, tuple[tuple[str, ...] | None, tuple[str, ...] | None]]:
+    """By name the features of the diagonal and of the flows between cells; None where a variant says nothing of one."""
+    single = ("evac", "water", "rain", "snow")
+    return {"no features": ((), ())} | {g: ((g,), (g,)) for g in single} | {
+        " + ".join(s.diagonal_groups): (s.diagonal_groups, None), " + ".join((*s.diagonal_groups, "snow")): ((*s.diagonal_groups, "snow"), None), " + ".join(s.offdiagonal_groups): (None, s.offdiagonal_groups)}
 
 
-def ablation(i: Inputs, s: Settings, target: DataFrame, store=stored) -> DataFrame:
-    """variant, nrmse_diag over all held-out days: the diagonal fit with one source of features, with all, and with levels fixed by regime instead."""
-    train, truth, observed, _ = training(i, s, True, store)
-    cells, days = numbered_cells(i.cells).select("cell", "sid"), target.select("day", "t")
+def fixed_levels(train: DataFrame, pairs: DataFrame, observed: DataFrame, cal: DataFrame, cells: DataFrame, target: DataFrame, s: Settings) -> DataFrame:
+    """day, origin, dest, value: each cell's and each pair's mean over the observed days of the target day's regime."""
+    flows = matrix.in_box_flows(train, s.box)
+    diag = flows.where("origin = dest").select("day", F.col("origin").alias("cell"), "value")
+    own = matrix.regime_level(matrix.dense(diag, ["cell"], cal, cells), "cell", cal, observed).select("regime", F.col("cell").alias("origin"), F.col("cell").alias("dest"), "level")
+    off = matrix.regime_level(matrix.dense(matrix.candidate_flows(train, pairs), ["pair_id"], cal, pairs), "pair_id", cal, observed).join(pairs, "pair_id").select("regime", "origin", "dest", "level")
+    return target.select("day", "regime").join(own.unionByName(off), "regime").select("day", "origin", "dest", F.col("level").alias("value"))
 
-    def scored(name: str, diagonal: DataFrame) -> DataFrame:
-        both = scoring.matched(diagonal, truth.where("origin = dest"), s)
-        total = scoring.period_scores(scoring.daily_rmse(both, target, s, days), s).where("period = 'overall'")
-        return total.select(F.lit(name).alias("variant"), "nrmse_diag")
 
-    parts = [scored("fixed levels", fixed_levels(train, observed, i.calendar, i.cells, target, s))]
-    for groups in (*[(g,) for g in s.diagonal_groups], s.diagonal_groups):
-        fit = fitted(i, replace(s, diagonal_groups=groups), ("D5",), True, store)
-        diagonal = fit.join(days, "t").join(cells, "sid").select("day", F.col("cell").alias("origin"), F.col("cell").alias("dest"), F.col("mean").alias("value"))
-        parts.append(scored(" + ".join(groups), diagonal))
+def ablation(i: Inputs, s: Settings, target: DataFrame, store=stored) -> DataFrame:
+    """variant, nrmse_diag, nrmse_offdiag over all held-out days: fits without features, with one source, with the chosen ones, and levels fixed by regime instead.
+
+    Flows between cells are the outgoing ones. All fits of all variants go side by side; what a variant says nothing of is null.
+    """
+    train, truth, observed, pairs = training(i, s, True, store)
+    cells, days = numbered_cells(i.cells).select("cell", "sid"), target.select("day", "t")
+    variants = ablation_variants(s)
+    asked: dict[str, tuple[str, list[str]]] = {}
+    for name, (own, off) in variants.items():
+        if own is not None:
+            asked[f"{name}:D5"] = ("D5", list(own))
+        if off is not None:
+            asked[f"{name}:F-total"] = ("F-total", list(off))
+            asked[f"{name}:F-share"] = ("F-share", [c for g in off for c in PAIR_GROUPS[g]])
+    rows, fits = components(i, train, pairs, observed, s, asked, store)
+    fit = store(fit_components(rows, fits, i.calendar, s).join(days, "t").select("component", "sid", "t", "mean"))
+    flows = store(matrix.candidate_flows(train, pairs))
+    truth = store(truth)
+
+    def scored(name: str, predicted: DataFrame, diag: bool, off: bool) -> DataFrame:
+        total = scoring.period_scores(scoring.daily_rmse(scoring.matched(predicted, truth, s), target, s, days), s).where("period = 'overall'")
+        said = lambda on, c: (F.col(c) if on else F.lit(None).cast("double")).alias(c)
+        return total.select(F.lit(name).alias("variant"), said(diag, "nrmse_diag"), said(off, "nrmse_offdiag"))
+
+    parts = [scored("fixed levels", fixed_levels(train, pairs, observed, i.calendar, i.cells, target, s), True, True)]
+    for name, (own, off) in variants.items():
+        here = fit.where(F.col("component").startswith(f"{name}:")).withColumn("component", F.substring_index("component", ":", -1))
+        diagonal = here.where("component = 'D5'").join(days, "t").join(cells, "sid").select("day", F.col("cell").alias("origin"), F.col("cell").alias("dest"), F.col("mean").alias("value"))
+        predicted = diagonal if off is None else diagonal.unionByName(directional_flow(here, pairs, flows, cells, days, "outgoing"))
+        parts.append(scored(name, predicted, own is not None, off is not None))
     return reduce(DataFrame.unionByName, parts)

@@ -343,7 +343,7 @@ def _smoothed(spark, sf_dir, q: float = 0.05, r: float = 2.0) -> DataFrame:
     def run(pdf):
         pdf = pdf.sort_values("t")
         y, on = pdf["value"].to_numpy(float)[:, None], pdf["seen"].to_numpy(bool)[:, None]
-        mean, var, lag, _ = estimation.smooth(np.where(on, y, 0.0), on, q, r, at, prior)
+        mean, var, lag, *_ = estimation.smooth(np.where(on, y, 0.0), on, q, r, at, prior)
         fm, fv = [], []
         for a, b in ((0, at), (at, len(y))):
             # Filtered states are smoothed ones of a series that ends on that day.
@@ -525,7 +525,7 @@ def error_concentration(spark, sf_dir):
 
 @query
 def ablation(spark, sf_dir):
-    """Diagonal error of the held-out days without features' sources but one, and with all, beside levels that stay fixed by regime; errors as of ``score_periods``."""
+    """Errors of the held-out days, cells and pairs, without features, with one source, with the chosen ones, beside levels that stay fixed by regime; errors as of ``score_periods``."""
     i = forecast.proxy_inputs(spark, sf_dir, S)
     return forecast.ablation(i, S, i.calendar.where("cv_window is not null"))
 

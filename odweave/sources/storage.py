@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from functools import cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +41,13 @@ def store(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession, "frame")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mapped(a: np.ndarray) -> np.ndarray:
+    """The array read from a file of this process alone; the file has no name and goes with its last reader."""
+    if not a.size:
+        return a
+    with tempfile.TemporaryFile() as f:
+        np.ascontiguousarray(a).tofile(f)
+        f.flush()
+        return np.memmap(f, a.dtype, "r", shape=a.shape)

@@ -141,16 +141,19 @@ def test_outputs(tmp_path):
 def test_smoother_rules():
     y, seen = np.zeros((20, 2)), np.zeros((20, 2), bool)
     seen[12:, 0], y[12:, 0], seen[:, 1], y[:, 1] = True, 5.0, True, np.arange(20)
-    mean, var, lag, nll = estimation.smooth(y, seen, 0.1, 1.0, 10, 1e4)
+    mean, var, lag, moved, nll = estimation.smooth(y, seen, 0.1, 1.0, 10, 1e4)
+    step = np.diff(mean, axis=0) ** 2 + var[1:] + var[:-1] - 2 * lag[1:]
+    assert np.allclose(moved, step[np.arange(19) != 9].sum(0))
     assert (mean[:10, 0] == 0).all() and var[9, 0] == pytest.approx(1e4 + 0.9)
     assert lag[10, 1] == 0 and lag[0, 1] == 0 and math.isfinite(nll)
     assert abs(mean[10, 1] - 10) < 3
 
 
-def test_guarded_inverse():
-    assert np.allclose(estimation.guarded_inverse(np.diag([2.0, -1e-13])), np.diag([0.5, 0]))
+def test_kept_solve():
+    assert np.allclose(estimation.kept_solve(np.diag([2.0, -1e-13]), np.array([3.0, 1.0])), [1.5, 0])
+    assert estimation.kept_solve(np.zeros((0, 0)), np.zeros(0)).size == 0
     with pytest.raises(np.linalg.LinAlgError):
-        estimation.guarded_inverse(np.diag([1.0, -0.1]))
+        estimation.kept_solve(np.diag([1.0, -0.1]), np.ones(2))
 
 
 def component(rng, days=120, series=7, k=3):
@@ -173,19 +176,19 @@ def two_step(target, seen, active, x, cal, local, s):
     def ridge(w, noise):
         n, k = y.shape[1], x.shape[2]
         big = np.zeros((n * z.shape[2] + k, n * z.shape[2] + k))
-        rhs = np.zeros(len(big))
+        rhs, g = np.zeros(len(big)), slice(n * z.shape[2], None)
         for i in range(n):  # one joint system over all coefficients
             m = seen[:, i]
             a, b = i * z.shape[2], (i + 1) * z.shape[2]
             big[a:b, a:b] = z[m, i].T @ z[m, i] + noise * np.diag(pen)
-            big[a:b, -k:] = z[m, i].T @ x[m, i]
-            big[-k:, a:b] = big[a:b, -k:].T
-            big[-k:, -k:] += x[m, i].T @ x[m, i]
+            big[a:b, g] = z[m, i].T @ x[m, i]
+            big[g, a:b] = big[a:b, g].T
+            big[g, g] += x[m, i].T @ x[m, i]
             rhs[a:b] += z[m, i].T @ w[m, i]
-            rhs[-k:] += x[m, i].T @ w[m, i]
-        big[-k:, -k:] += noise * s.global_ridge * np.eye(k)
+            rhs[g] += x[m, i].T @ w[m, i]
+        big[g, g] += noise * s.global_ridge * np.eye(k)
         c = np.linalg.solve(big, rhs)
-        loc, beta = c[:-k].reshape(n, -1), c[-k:]
+        loc, beta = c[: len(c) - k].reshape(n, -1), c[len(c) - k :]
         return np.einsum("tnk,nk->tn", z, loc) + x @ beta, (loc**2 * pen).sum() + s.global_ridge * (beta**2).sum()
 
     at = s.break_index
@@ -196,7 +199,7 @@ def two_step(target, seen, active, x, cal, local, s):
     r = max(np.mean((y - level - off)[seen] ** 2), s.variance_floor)
     q, last = max(s.initial_q_ratio * r, s.variance_floor), None
     for _ in range(s.max_iter):
-        state, var, lag, nll = estimation.smooth(y - off, seen, q, r, at, s.initial_variance)
+        state, var, lag, _, nll = estimation.smooth(y - off, seen, q, r, at, s.initial_variance)
         obj = nll + 0.5 * pv
         off, pv = ridge(np.where(seen, y - state, 0), r)
         r2 = max(np.mean(((y - state - off) ** 2 + var)[seen]), s.variance_floor)
@@ -210,39 +213,38 @@ def two_step(target, seen, active, x, cal, local, s):
     return np.where(active, np.maximum(np.expm1(state + off), 0), 0), q, r
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_em_equals_plain_version(local):
-    s = Settings(start=dt.date(2024, 1, 1), end=dt.date(2024, 4, 29), break_day=dt.date(2024, 2, 10), max_iter=25)
-    target, seen, active, x, cal = component(np.random.default_rng(5))
-    want, q, r = two_step(target, seen, active, x, cal, local, s)
-    for block in (512, 2):
-        got, info, local_ = estimation.fit("c", target, seen, active, x, cal, True, local, s, block)
-        assert np.allclose(got, want, rtol=1e-8, atol=1e-9) and len(local_) == 7
-        assert info["q"] == pytest.approx(q, rel=1e-8) and info["r"] == pytest.approx(r, rel=1e-8)
-
-
-def test_component_in_blocks_equals_one_task(spark):
-    """The plan's fit of rows: a component over the size that one task may hold goes through a table of blocks."""
+@pytest.mark.parametrize("series", [1, 3, 64])
+def test_fits_in_blocks_equal_plain_version(spark, monkeypatch, series):
+    """Fits side by side, with local and without, and without features, however their series are cut; the last series is inactive."""
     from odweave.plans import forecast
 
-    s = Settings(start=dt.date(2024, 1, 1), end=dt.date(2024, 4, 29), break_day=dt.date(2024, 2, 10), max_iter=3, tol=0.0)
-    target, seen, active, x, cal = component(np.random.default_rng(6))
+    monkeypatch.setattr(forecast, "BLOCK_SERIES", series)
+    s = Settings(start=dt.date(2024, 1, 1), end=dt.date(2024, 4, 29), break_day=dt.date(2024, 2, 10), max_iter=25)
     days = spark.createDataFrame([(t, t % 7, t % 50 < 3) for t in range(120)], "t int, weekday int, year_end boolean")
-    rows = spark.createDataFrame(
-        [("D5", i, t, float(target[t, i]), bool(seen[t, i]), bool(active[i]), x[t, i].tolist()) for t in range(120) for i in range(7)],
-        "component string, sid int, t int, target double, seen boolean, active boolean, x array<double>",
-    )
-    want, info, local = estimation.fit("D5", target, seen, active, x, cal, True, True, s)
-    forecast.BLOCK_SERIES, kept = 3, forecast.BLOCK_SERIES
-    both = [{(r["sid"], r["t"]): r for r in forecast.fit_components(rows, {"D5": 3}, days, s, limit).collect()} for limit in (1 << 30, 1000)]
-    forecast.BLOCK_SERIES = kept
-    for got in both:
-        assert np.allclose([[got[i, t]["mean"] for i in range(7)] for t in range(120)], want, rtol=1e-8, atol=1e-9)
-        assert all((got[i, 0]["local"] is not None) == bool(active[i]) for i in range(7)) and np.allclose([got[i, 0]["local"] for i in range(6)], local[:6])
-        told = [json.loads(r["info"]) for r in got.values() if r["info"]]
-        assert len(told) == 1 and set(told[0]) == set(info)
-        for k, v in info.items():
-            assert told[0][k] == (pytest.approx(v, rel=1e-7, abs=1e-9) if k not in ("model", "converged") else v), k
+    kinds, rows, want = {"both": (True, 3), "shared": (False, 3), "none": (False, 0)}, [], {}
+    for name, (local, k) in kinds.items():
+        target, seen, active, x, cal = component(np.random.default_rng(5 + k))
+        x = x[:, :, :k]
+        want[name] = (*two_step(target, seen, active, x, cal, local, s), seen, active)
+        rows += [(name, i, t, float(target[t, i]), bool(seen[t, i]), bool(active[i]), x[t, i].tolist()) for t in range(120) for i in range(7)]
+    frame = spark.createDataFrame(rows, "component string, sid int, t int, target double, seen boolean, active boolean, x array<double>").repartition(5)
+    got = forecast.fit_components(frame, {n: estimation.Fit(True, local, k) for n, (local, k) in kinds.items()}, days, s).collect()
+    assert len(got) == 3 * 7 * 120
+    for name, (mean, q, r, seen, active) in want.items():
+        of = {(x["sid"], x["t"]): x for x in got if x["component"] == name}
+        assert np.allclose([[of[i, t]["mean"] for i in range(7)] for t in range(120)], mean, rtol=1e-7, atol=1e-8)
+        (info,) = [json.loads(x["info"]) for x in of.values() if x["info"]]
+        assert info["q"] == pytest.approx(q, rel=1e-7) and info["r"] == pytest.approx(r, rel=1e-7)
+        assert (info["active"], info["observations"], len(info["beta"])) == (active.sum(), seen.sum(), kinds[name][1])
+        assert all((of[i, 0]["local"] is not None) == bool(active[i]) for i in range(7)) and np.allclose(info["local_mean"], np.mean([of[i, 0]["local"] for i in range(6)], 0))
+
+
+def test_no_rows_no_fit(spark):
+    from odweave.plans import forecast
+
+    none = spark.createDataFrame([], "component string, sid int, t int, target double, seen boolean, active boolean, x array<double>")
+    days = spark.createDataFrame([(0, 0, False)], "t int, weekday int, year_end boolean")
+    assert forecast.fit_components(none, {"D5": estimation.Fit(True, True, 1)}, days, Settings()).count() == 0
 
 
 def test_run_away_mean_is_an_error():

@@ -475,3 +475,32 @@ def test_classifier(spark, sf_dir):
 @pytest.mark.parametrize("v, w, want", [([3, 1, 2], [1, 1, 1], [2, 2, 2]), ([0, 1, 0.5], [1, 1, 3], [0, 0.625, 0.625])])
 def test_isotonic(v, w, want):
     assert np.allclose(quality_rff.isotonic(np.array(v, float), np.array(w, float)), want)
+
+
+@pytest.mark.parametrize(("n", "step"), [(40, 6), (200, 6), (200, 8)])
+def test_chaining_finds_families_of_near_copies(spark, n, step):
+    """Each text copies the passage of some earlier one with one word in ``step`` replaced: all have a partner at 0.83 or more, few with the first text."""
+    rnd = random.Random(n + step)
+    word = lambda: f"w{rnd.randrange(60_000):05d}"
+    copies = [[word() for _ in range(60)]]
+    for _ in range(1, n):
+        x = list(rnd.choice(copies))
+        for j in range(rnd.randrange(step), 60, step):
+            x[j] = word()
+        copies.append(x)
+    rows = [(i, " ".join([*(word() for _ in range(30)), *x, *(word() for _ in range(30))])) for i, x in enumerate(copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = chaining.passage_summary(df, chaining.shared_passages(df)).where("n_passages > 0").count()
+    assert found >= 0.97 * (n - 1)
+
+
+def test_chaining_tells_rows_of_one_doc_id_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, f"{a} between {b}"), (None, b), (3, None)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = chaining.passage_summary(df, chaining.shared_passages(df)).collect()
+        assert sorted((r["doc_id"] or 0, r["n_passages"], r["n_passage_words"]) for r in got if r["doc_id"] in (2, 3)) == [(2, 0, 0), (3, 0, 0)]
+        assert sorted(r["n_passage_words"] for r in got if r["doc_id"] == 1) == [60, 60]
+        assert [r["n_passage_words"] for r in got if r["doc_id"] is None] == [60]
+        assert {s for r in got for s in r["sources"]} <= {1, 2, None} and all(2 in r["sources"] for r in got if r["doc_id"] not in (2, 3))

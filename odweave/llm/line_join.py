@@ -23,7 +23,8 @@ Components of the links are classes; the line that comes first stays, all later
 go. The order is by doc_id (rows without one last), then by the row's key, then by line
 number. Blank lines are never linked and stay. Null and empty texts have one blank
 line. Equal rows keep and lose the same lines: they count as one. Rows with one doc_id
-and different texts follow each other in the order of their keys. An empty table gives
+and different texts follow each other in the order of their keys. A very long text takes its
+arrays' memory in one task. An empty table gives
 no rows; other columns are carried along untouched, whatever their names.
 """
 
@@ -137,7 +138,12 @@ def _ends(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return (x >> U(33)).astype(np.int32)
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(run: np.ndarray, s: np.ndarray, e: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of lines, cut to ``bits`` bits."""
+    return K.span(run, s, e) >> U(64 - bits)
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """doc_id, node, line, h, g: the place and hashes of every line with content."""
     for batch in batches:
         for a, b, buf, off in K.chunks(batch.column("text")):
@@ -145,12 +151,12 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.searchsorted(d, np.arange(b - a))
             number = np.arange(len(d)) - first[d]
             full = e > s
-            h = K.span(K.prefix(buf), s[full], e[full]).view(np.int64)
+            h = _hashes(K.prefix(buf), s[full], e[full], bits).view(np.int64)
             ids = [batch.column(c).slice(a, b - a).take(pa.array(d[full])) for c in ("doc_id", "node")]
             yield pa.RecordBatch.from_arrays([*ids, pa.array(number[full]), pa.array(h), pa.array(_ends(buf, s[full], e[full]))], ["doc_id", "node", "line", "h", "g"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int, bits: int) -> Iterator[pa.RecordBatch]:
     """bucket, keys, lines: index and probe keys of lines, packed, some PACK_KEYS at once and each once a piece of text; the lowest bit of a key tells a probe."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -177,8 +183,8 @@ def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int) -
             if not len(ok):
                 continue
             run = K.prefix(buf)
-            h = K.span(run, s[ok], e[ok])
-            _, one = np.unique(h, return_index=True)
+            h = _hashes(run, s[ok], e[ok], bits)
+            _, one = np.unique(K.mix(h + _ends(buf, s[ok], e[ok]).astype(U)), return_index=True)  # each kind of line once
             ok, h = ok[one], h[one]
             c0, n = cs[ok], ce[ok] - cs[ok]
             for back in range(t + 1):  # lengths that are looked up; 0 is also what is indexed
@@ -243,10 +249,10 @@ def bag(line: str) -> np.ndarray:
     return np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) & 31, minlength=32)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], t: int, least: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True)
-        good = [(a, b) for a, b, x, y in rows if edit_distance(x, y, t) <= t]
+        good = [(a, b) for a, b, x, y in rows if min(len(x), len(y)) >= least and edit_distance(x, y, t) <= t]
         yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
@@ -279,14 +285,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(texts, pa.string())], ["h", "text"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, t: int, least: int) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines are within t edits; an ``a`` that most pairs have does not fill one task."""
     n = pairs.groupBy("a").agg(F.count("*").alias("n"))
     with_a = salted_join(pairs, n.join(texts.toDF("a", "ta"), "a"), ["a"], "b").drop("n")
-    return with_a.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_verify, t=t), "a long, b long")
+    return with_a.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_verify, t=t, least=least), "a long, b long")
 
 
-def common_links(common: DataFrame, texts: DataFrame, t: int) -> DataFrame:
+def common_links(common: DataFrame, texts: DataFrame, t: int, least: int) -> DataFrame:
     """Links among lines that share a key (key, h); every pair of a key within t edits ends up in one component, if not as a link."""
     links, label = None, None
 
@@ -308,7 +314,7 @@ def common_links(common: DataFrame, texts: DataFrame, t: int) -> DataFrame:
         lead = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("h")).alias("minus"), "c")).alias("x"), F.max("n").alias("n"))
         lead = lead.select("key", "n", (-F.col("x.minus")).alias("a"), F.col("x.c").alias("lc"))
         met = salted_join(open_.select("key", "h", "c"), lead, ["key"], "h").where("c <> lc").select("a", F.col("h").alias("b")).distinct()
-        more = stored(verified(stored(met), texts, t))
+        more = stored(verified(stored(met), texts, t, least))
         if more.isEmpty():
             break
         links = more if links is None else stored(links.unionByName(more))
@@ -334,40 +340,67 @@ def block_links(placed: DataFrame, texts: DataFrame, t: int) -> DataFrame:
     return within.unionByName(across).unionByName(main).join(texts, "h").groupBy("key", "i", "j").applyInArrow(lambda block: check(block, t), "a long, b long")
 
 
-def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines: doc_id, node, line, h, g; kinds: h, g, the first place p and the number n; classes: node, component over line hashes) of ``src`` (node, doc_id, text)."""
+def line_kinds(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kinds of lines: k, h, g, the first place p and the number n; those h that several kinds share, as h, k).
+
+    A kind is told by both hashes of a line. Its key k is h, or a hash of both where different lines
+    have one h, so that none takes another's place. A line in very many documents is pre-aggregated before anything meets it.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "line")).alias("p")
+    by_hash = stored(lines.groupBy("h").agg(first, F.count("*").alias("n"), F.min("g").alias("g"), F.max("g").alias("other")))
+    single = by_hash.where("g = other").select(F.col("h").alias("k"), "h", "g", "p", "n")
+    several = stored(by_hash.where("g < other").select("h"))
+    if several.isEmpty():
+        return single, several.select("h", F.col("h").alias("k"))
+    split = lines.join(several, "h").groupBy("h", "g").agg(first, F.count("*").alias("n")).select(F.xxhash64("h", "g").alias("k"), "h", "g", "p", "n")
+    kinds = stored(single.unionByName(split))
+    return kinds, stored(kinds.join(several, "h", "left_semi").select("h", "k"))
+
+
+def told_apart(found: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b) and members of common keys (key, h) of ``_match`` by kinds instead of hashes; kinds of one hash are candidates of each other."""
+    pairs, common = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("h"))
+    if not several.isEmpty():
+        of = lambda c: several.toDF(f"_{c}", f"_{c}k")
+        kind = lambda df, c: df.join(of(c), F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_{c}k", c)).drop(f"_{c}", f"_{c}k")
+        same = several.toDF("h", "a").join(several.toDF("h", "b"), "h").where("a < b").select("a", "b")
+        pairs, common = kind(kind(pairs, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same), kind(common, "h")
+    return stored(pairs.distinct()), stored(common.distinct())
+
+
+def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines: doc_id, node, line, h, g; kinds as of ``line_kinds``; classes: node, component over kinds) of ``src`` (node, doc_id, text)."""
     spark = src.sparkSession
-    lines = stored(src.mapInArrow(_line_rows, "doc_id long, node long, line long, h long, g int"))
-    # A line in very many documents is pre-aggregated before anything meets it.
-    kinds = stored(lines.groupBy("h", "g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node", "line")).alias("p"), F.count("*").alias("n")))
+    lines = stored(src.mapInArrow(partial(_line_rows, bits=bits), "doc_id long, node long, line long, h long, g int"))
+    kinds, several = line_kinds(lines)
     n = partitions(spark)
     # A bucket's packed arrays are held by one task: their number follows the lines, a few MB each.
     buckets = max(4 * n, -(-lines.count() // 40_000))
-    packed = src.select("text").mapInArrow(partial(_keys, t=t, least=least, buckets=buckets), "bucket long, keys binary, lines binary")
+    packed = src.select("text").mapInArrow(partial(_keys, t=t, least=least, buckets=buckets, bits=bits), "bucket long, keys binary, lines binary")
     found = stored(packed.groupBy("bucket").applyInArrow(lambda bucket: _match(bucket, most), "a long, b long, key long"))
-    pairs = stored(found.where("key is null").select("a", "b").distinct())
-    common = stored(found.where("key is not null").select("key", F.col("a").alias("h")).distinct())
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).union(common.select("h")).distinct()
+    pairs, common = told_apart(found, several)
+    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(common.select("h")).distinct()
     # One place of each wanted line, gathered by row, so a text is read once.
-    place = kinds.join(wanted, "h").select("h", "p.node", "p.line")
-    asked = place.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("line", "h"))).alias("x")).select("node", F.col("x.line").alias("lines"), F.col("x.h").alias("hs"))
+    place = kinds.join(wanted, "k").select("k", "p.node", "p.line")
+    asked = place.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("line", "k"))).alias("x")).select("node", F.col("x.line").alias("lines"), F.col("x.k").alias("hs"))
     texts = stored(src.select("node", "text").join(asked, "node").mapInArrow(_texts, "h long, text string").groupBy("h").agg(F.min("text").alias("text")))
-    links = verified(pairs, texts, t)
+    links = verified(pairs, texts, t, least)
     if not common.isEmpty():
-        more = common_links(common, texts, t)
+        more = common_links(common, texts, t, least)
         links = links if more is None else links.unionByName(more)
     return lines, kinds, components(links)
 
 
-def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS) -> DataFrame:
+def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS, bits: int = 64) -> DataFrame:
     """node, doc_id, n_removed, n_fuzzy and drop (ascending numbers of the lines that go), one row a (doc_id, text) with a line to drop.
 
+    ``bits`` of the first hash of a line count; a second one tells lines apart that share it.
     ``docs`` has doc_id, text and, if ``noded`` has given it, node.
     """
     src = (docs if "node" in docs.columns else noded(docs.select("doc_id", "text"))).select("node", "doc_id", "text")
-    lines, kinds, classes = line_classes(src, t, least, most)
+    lines, kinds, classes = line_classes(src, t, least, most, bits)
     # First per line, then per class.
-    placed = stored(kinds.join(classes.toDF("h", "component"), "h", "left").select("h", "g", "p", "n", F.coalesce("component", "h").alias("component")))
+    placed = stored(kinds.join(classes.toDF("k", "component"), "k", "left").select("h", "g", "p", "n", F.coalesce("component", "k").alias("component")))
     top = placed.groupBy("component").agg(F.min("p").alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1")
     repeated = placed.join(top, "component").select("h", "g", "n", "top", (F.col("p") != F.col("top")).alias("fuzzy"))
     gone = salted_join(lines, repeated, ["h", "g"], "node").where("struct(doc_id is null, doc_id, node, line) <> top")

@@ -199,12 +199,12 @@ def test_lines_of_a_large_family(spark, n):
     docs = spark.createDataFrame([(i, edited(rnd, base, 1 + (i % 50 == 0)) if i else base) for i in range(n)], "doc_id long, text string").repartition(8)
     compared = spark.sparkContext.accumulator(0)
 
-    def counted(batches, t, keep=line_join._verify):
+    def counted(batches, t, least, keep=line_join._verify):
         def seen():
             for batch in batches:
                 compared.add(batch.num_rows)
                 yield batch
-        return keep(seen(), t)
+        return keep(seen(), t, least)
 
     blocks = spark.sparkContext.accumulator(0)
 
@@ -504,3 +504,18 @@ def test_chaining_tells_rows_of_one_doc_id_apart(spark):
         assert sorted(r["n_passage_words"] for r in got if r["doc_id"] == 1) == [60, 60]
         assert [r["n_passage_words"] for r in got if r["doc_id"] is None] == [60]
         assert {s for r in got for s in r["sources"]} <= {1, 2, None} and all(2 in r["sources"] for r in got if r["doc_id"] not in (2, 3))
+
+
+def test_line_join_of_lines_that_share_a_hash(spark):
+    """With the first hash cut to two bits lines of all kinds share it: the second one keeps them apart, and links are the same."""
+    rnd = random.Random(3)
+    short = [f"line {i} of its own" for i in range(24)]
+    base = ["".join(rnd.choice("abcdefgh ") for _ in range(60)).strip(" ") for _ in range(8)]
+    near = [x[:3] + "#" + x[4:] for x in base]  # the second hash sees the ends of a line
+    rows = [(1, "\n".join(short)), (2, "\n".join(base)), (3, "\n".join(near)), (4, short[3] + "\n" + base[5]), (None, short[7])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    of = lambda df: sorted((r["doc_id"] or 0, r["n_removed"], r["n_fuzzy"], r["drop"]) for r in df.collect())
+    want = [(0, 1, 0, [0]), (3, 8, 8, list(range(8))), (4, 2, 0, [0, 1])]
+    assert of(line_join.dedup_lines(docs)) == want
+    for bits in (2, 1):
+        assert of(line_join.dedup_lines(docs, bits=bits)) == want

@@ -99,7 +99,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def loss_spans(turns: DataFrame) -> DataFrame:
-    """Adds loss_start and loss_length, the code points of a segment that count for the loss (an assistant's body as written)."""
+    """Adds loss_start and loss_length, the loss mask: the code points of a segment that count (an assistant's body as written)."""
     mine = F.col("role") == "assistant"
     return turns.withColumn("loss_start", F.when(mine, 3)).withColumn("loss_length", F.when(mine, F.length("segment") - 7))
 
@@ -153,13 +153,13 @@ def turn_code(role: str, text: str) -> int:
 def digests(turns: DataFrame) -> DataFrame:
     """By conversation, read back from the formatted text: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    The text of a conversation is streamed in order through the reader and running hashes;
+    ``turns`` has the loss mask as of ``loss_spans``; what counts for the loss is the text under it, unescaped. The text of a conversation is streamed in order through the reader and running hashes;
     no conversation is held in memory, however long.
     """
-    read = turns.select("conv_id", "turn", "segment", F.xxhash64("role", "text").alias("code"))
+    read = turns.select("conv_id", "turn", "segment", F.xxhash64("role", "text").alias("code"), "loss_start", "loss_length")
     role, text, _ = parse_turn(F.col("segment"))  # only ties of conv_id and turn come to these
     ordered = read.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", role, text)
-    return ordered.select("conv_id", "segment", "code").mapInArrow(_stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "segment", "code", "loss_start", "loss_length").mapInArrow(_stream, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 class Conversation:
@@ -178,9 +178,12 @@ class Conversation:
                 raise ValueError(f"turn {self.n} of conversation {self.conv_id} does not read back as its source")
             self.n += 1
             self.turns.update(f"{role}\n{body}\n".encode())
-            if role == "assistant":
-                self.loss += len(body)
-                self.said.update(body.encode())
+
+    def count(self, masked: str) -> None:
+        """Text under the mask of one segment."""
+        body = ESCAPED.sub(r"\1", masked)
+        self.loss += len(body)
+        self.said.update(body.encode())
 
     def row(self) -> tuple:
         if self.codes or self.reader.rest:
@@ -196,7 +199,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
 
     for batch in batches:
-        ids, segments, codes = (batch.column(c).to_pylist() for c in ("conv_id", "segment", "code"))
+        ids, segments, codes, starts, lengths = (batch.column(c).to_pylist() for c in ("conv_id", "segment", "code", "loss_start", "loss_length"))
         out, at = [], 0
         while at < len(ids):
             end = at
@@ -207,6 +210,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(now.row())
                 now = Conversation(ids[at])
             now.add("".join(segments[at:end]), codes[at:end])
+            for i in range(at, end):
+                if starts[i] is not None:
+                    now.count(segments[i][starts[i] : starts[i] + lengths[i]])
             at = end
         yield table(out)
     if now is not None:

@@ -15,7 +15,7 @@ from .oracle import SQL
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.format_turns(c.unionByName(own)))
+    return chat.digests(chat.loss_spans(chat.format_turns(c.unionByName(own))))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

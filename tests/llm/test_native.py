@@ -26,7 +26,7 @@ def test_chat_round_trip(spark):
     rows = [(1, i, r, t) for i, t in enumerate(hard) for r in ("user", "assistant", "system", "a:b%3A[/ROLE]<s>", None)]
     rows += [(2, 0, "user", "hi"), (2, 0, "user", "hi"), (None, None, None, None), (3, None, "assistant", "<s>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    turns = chat.format_turns(df)
+    turns = chat.loss_spans(chat.format_turns(df))
     role, text, good = chat.parse_turn(turns["segment"])
     assert turns.where(~good | (role != turns["role"]) | (text != turns["text"])).count() == 0
     got = {r["conv_id"]: r for r in chat.digests(turns).collect()}
@@ -40,6 +40,11 @@ def test_chat_round_trip(spark):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for *_, r, x in seq).encode()).hexdigest()
         said = "".join(x for *_, r, x in seq if r == "assistant")
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    # The mask decides what counts: moved by one place, or given to another turn, it says something else.
+    only = turns.where("conv_id = 3")
+    assert chat.digests(only).first()["loss_sha256"] == hashlib.sha256(b"<s>").hexdigest()
+    for change in (("loss_start", F.col("loss_start") + 1), ("loss_length", F.col("loss_length") - 1), ("loss_start", F.lit(None).cast("int"))):
+        assert chat.digests(only.withColumn(*change)).first()["loss_sha256"] != hashlib.sha256(b"<s>").hexdigest()
     # The concatenation itself parses into the same turns.
     whole = "".join(r["segment"] for r in turns.where("conv_id = 1").orderBy("turn", "role", "text").collect())
     assert len(re.findall(r"(?s)<s>.*?</s>|\[INST\].*?\[/INST\]|\[ROLE\].*?\[/ROLE\]", whole)) == len(hard) * 5
@@ -54,7 +59,7 @@ def test_chat_round_trip(spark):
     broken = turns.where("conv_id = 2").withColumn("segment", F.replace("segment", F.lit("hi"), F.lit("ho")))
     with pytest.raises(Exception, match="does not read back"):
         chat.digests(broken).collect()
-    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+    assert chat.digests(chat.loss_spans(chat.format_turns(df.limit(0)))).count() == 0
 
 
 def repeated(words):

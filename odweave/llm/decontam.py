@@ -7,9 +7,8 @@ All pieces of all items are found in one pass over a document (Aho-Corasick); ea
 hit fixes where the item would begin, give or take e, and Myers' bit-parallel
 distance decides on that stretch of the document.
 
-Items of fewer than MIN_ITEM characters are searched as they are, without edits, and
-only as whole words; ones of fewer than MIN_SHORT characters, null and blank ones match
-nothing. Items with the same text all match. Null and blank texts hold nothing. Rows are
+An item too short for any edit (e = 0) is searched as it is, as whole words. Items of fewer
+than ``least`` characters can be left out; by default none are. Null and blank ones match nothing. Items with the same text all match. Null and blank texts hold nothing. Rows are
 searched one by one, so repeated rows, rows that share a doc_id and rows without one
 get what their own text holds. Texts are searched whole; a very long one takes some
 ten times its size in the task that has it. Empty tables give documents without hits,
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-ERROR_DIVISOR, MIN_ITEM, MIN_SHORT = 12, 40, 12
+ERROR_DIVISOR, MIN_ITEM = 12, 1
 ITEM_CHARS = 4_000_000
 
 
@@ -66,16 +65,16 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             t = normal(text)
-            if len(t) < min(least, MIN_SHORT):
+            if len(t) < max(least, 1):
                 continue
-            e = len(t) // divisor if len(t) >= least else 0
+            e = len(t) // divisor
             at = [len(t) * i // (e + 1) for i in range(e + 2)]
             where: dict[str, int] = {}
             for i, c in enumerate(t):
                 where[c] = where.get(c, 0) | 1 << i
             for a, b in zip(at[:-1], at[1:], strict=True):
                 pieces.setdefault(t[a:b], []).append((len(self.items), a))
-            self.items.append((item_id, where, len(t), e, len(t) < least))
+            self.items.append((item_id, where, len(t), e, not e))
         for piece, where_at in pieces.items():
             self.automaton.add_word(piece, (len(piece), where_at))
         if pieces:

@@ -246,6 +246,18 @@ def test_decontamination(spark, sf_dir):
     assert decontam.contamination(more, items.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_decontamination_of_short_items(spark):
+    """No item is too short: without room for an edit it is found as whole words, from ERROR_DIVISOR characters on within its edits."""
+    items = spark.createDataFrame([(1, "What is 6x7"), (2, "Which river flows through old Vienna?"), (3, "pi"), (4, " "), (5, None)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "Q: what  is 6x7?"), (2, "somewhat is 6x78"), (3, "x which river flows thruogh old vienna? y".replace("thruogh", "throgh")), (4, "which river flows past old Vienna?"), (5, "pie and spin"), (6, "so pi, then"), (7, None)],
+        "doc_id long, text string")
+    got = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits"]] for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: [(1, 0)], 2: [], 3: [(2, 1)], 4: [], 5: [], 6: [(3, 0)], 7: []}
+    assert {r["doc_id"] for r in decontam.decontaminated(docs, items).collect()} == {2, 4, 5, 7}
+    assert {r["doc_id"] for r in decontam.decontaminated(docs, items, least=12).collect()} == {1, 2, 4, 5, 6, 7}
+
+
 def removed(rows, length=50):
     first: dict[bytes, int] = {}
     for i, t in rows:

@@ -107,8 +107,51 @@ WITH["rts"] = """SELECT cell, t, m, p, CAST(0.0 AS DOUBLE) AS back, p AS nextvar
     CASE WHEN f.t = 60 THEN f.p ELSE greatest(0.0, f.p + (f.p / n.ahead) * (f.p / n.ahead) * (rts.p - n.ahead)) END,
     CASE WHEN f.t = 60 THEN 0.0 ELSE f.p / n.ahead * rts.p END, rts.p
   FROM rts JOIN kfs f ON f.cell = rts.cell AND f.t = rts.t - 1 JOIN kfs n ON n.cell = rts.cell AND n.t = rts.t"""
-RECURSIVE = {"kf", "rts"}
-COLUMNS = {"kf": "kf(cell, t, m, p, ahead)", "rts": "rts(cell, t, m, p, back, nextvar)"}
+# The same for all components: totals and cells on the log scale, shares as they are.
+WITH["share_in"] = "SELECT day, pair_id, value / SUM(value) OVER (PARTITION BY day, dest) AS share FROM flow"
+WITH["cell_sid"] = "SELECT cell, CAST(row_number() OVER (ORDER BY y, x) - 1 AS INT) AS sid FROM cells"
+
+
+def _total(name: str, side: str) -> str:
+    return f"""SELECT '{name}' AS component, sid, cal.day, cal.t, coalesce(v, 0.0) AS v, cal.day IN (SELECT day FROM seen) AND a IS NOT NULL AS s, a IS NOT NULL AS active FROM cal CROSS JOIN cell_sid
+      LEFT JOIN (SELECT day, {side} AS cell, SUM(value) AS v FROM flow GROUP BY 1, 2) f USING (day, cell) LEFT JOIN (SELECT DISTINCT {side} AS cell, 1 AS a FROM flow WHERE value > 0) g USING (cell)"""
+
+
+def _share(name: str, side: str, shares: str) -> str:
+    return f"""SELECT '{name}', pair_id, cal.day, cal.t, coalesce(share, 0.0), cal.day IN (SELECT day FROM seen) AND a IS NOT NULL AND coalesce(total, 0) > 0, a IS NOT NULL FROM cal CROSS JOIN pairs
+      LEFT JOIN {shares} f USING (day, pair_id) LEFT JOIN (SELECT day, {side} AS anchor, SUM(value) AS total FROM flow GROUP BY 1, 2) h ON h.day = cal.day AND h.anchor = pairs.{side}
+      LEFT JOIN (SELECT DISTINCT pair_id, 1 AS a FROM flow WHERE value > 0) g USING (pair_id)"""
+
+
+WITH["part"] = f"""SELECT 'D5' AS component, sid, day, t, value AS v, day IN (SELECT day FROM seen) AND a IS NOT NULL AS s, a IS NOT NULL AS active FROM dense JOIN cell_sid USING (cell) LEFT JOIN (SELECT DISTINCT cell, 1 AS a FROM diag WHERE value > 0) USING (cell)
+  UNION ALL {_total('F-total', 'origin')} UNION ALL {_total('R-total', 'dest')} UNION ALL {_share('F-share', 'origin', '(SELECT day, pair_id, share FROM share)')} UNION ALL {_share('R-share', 'dest', 'share_in')}"""
+WITH["fobs"] = """SELECT component, sid, t, s, active, CASE WHEN NOT s THEN 0.0 WHEN component LIKE '%share' THEN v ELSE ln(1 + v) END::DOUBLE AS y, CASE component WHEN 'R-total' THEN 0.001 WHEN 'D5' THEN 0.004 WHEN 'F-total' THEN 0.004 ELSE 0.00004 END::DOUBLE AS q,
+  CASE component WHEN 'R-total' THEN 0.5 WHEN 'D5' THEN 2.0 WHEN 'F-total' THEN 2.0 ELSE 0.02 END::DOUBLE AS r FROM part"""
+WITH["fkf"] = """SELECT component, sid, t, CASE WHEN s THEN 10000.0::DOUBLE / (10000.0::DOUBLE + r) * y ELSE 0.0 END::DOUBLE AS m, CASE WHEN s THEN (1 - 10000.0::DOUBLE / (10000.0::DOUBLE + r)) * 10000.0 ELSE 10000.0 END::DOUBLE AS p, 10000.0::DOUBLE AS ahead, 0.0::DOUBLE AS b FROM fobs WHERE t = 0
+  UNION ALL SELECT component, sid, t, CASE WHEN s THEN b + a / (a + r) * (y - b) ELSE b END, CASE WHEN s THEN (1 - a / (a + r)) * a ELSE a END, a, b FROM (
+    SELECT o.*, CASE WHEN o.t = 61 THEN 10000.0 ELSE f.p + o.q END::DOUBLE AS a, CASE WHEN o.t = 61 THEN 0.0 ELSE f.m END::DOUBLE AS b FROM fkf f JOIN fobs o ON o.component = f.component AND o.sid = f.sid AND o.t = f.t + 1)"""
+WITH["fkfs"] = "SELECT component, sid, t, m, p, ahead, b, lead(ahead) OVER (PARTITION BY component, sid ORDER BY t) AS beyond FROM fkf"
+WITH["frts"] = """SELECT component, sid, t, m, p FROM fkfs WHERE t = 365
+  UNION ALL SELECT f.component, f.sid, f.t, CASE WHEN f.t = 60 THEN f.m ELSE f.m + f.p / f.beyond * (n.m - f.m) END, CASE WHEN f.t = 60 THEN f.p ELSE greatest(0.0, f.p + (f.p / f.beyond) * (f.p / f.beyond) * (n.p - f.beyond)) END
+  FROM frts n JOIN fkfs f ON f.component = n.component AND f.sid = n.sid AND f.t = n.t - 1"""
+WITH["fraw"] = """SELECT component, sid, t, active, s, CASE WHEN NOT active THEN 0.0 WHEN component LIKE '%share' THEN m ELSE exp(m) - 1 END::DOUBLE AS v, p, 0.5 * CASE WHEN s THEN ln(2 * pi() * (ahead + r)) + pow(y - b, 2) / (ahead + r) ELSE 0.0 END AS nll
+  FROM frts JOIN fobs USING (component, sid, t) JOIN (SELECT component, sid, t, ahead, b FROM fkfs) USING (component, sid, t)"""
+WITH["fmean"] = "SELECT component, sid, t, CASE WHEN component LIKE '%share' THEN v ELSE greatest(v, 0.0) END AS mean FROM fraw"
+
+
+def _flowed(view: str, side: str, fallback: str) -> str:
+    label = "F" if view == "outgoing" else "R"
+    return f"""SELECT '{view}' AS view, day, origin, dest, total * CASE WHEN u_all > 0 THEN u / u_all ELSE ratio END AS value FROM (
+      SELECT g.day, pairs.origin, pairs.dest, ratio, h.mean AS total, greatest(f.mean, 0.0) AS u, SUM(greatest(f.mean, 0.0)) OVER (PARTITION BY g.day, pairs.{side}) AS u_all FROM target g JOIN fmean f ON f.component = '{label}-share' AND f.t = g.t JOIN pairs ON pairs.pair_id = f.sid
+      JOIN {fallback} k ON k.pair_id = f.sid JOIN cell_sid c ON c.cell = pairs.{side} JOIN fmean h ON h.component = '{label}-total' AND h.t = g.t AND h.sid = c.sid)"""
+
+
+WITH["fdir"] = _flowed("outgoing", "origin", "fallback") + " UNION ALL " + _flowed("incoming", "dest", "fallback_in")
+WITH["ffull"] = """SELECT day, origin, dest, mean AS value FROM target JOIN outside USING (weekday) UNION ALL SELECT day, cell, cell, mean FROM target JOIN fmean f ON f.component = 'D5' AND f.t = target.t JOIN cell_sid c ON c.sid = f.sid WHERE mean > 0
+  UNION ALL SELECT * FROM (SELECT day, origin, dest, SUM(value) * 0.5::DOUBLE AS value FROM fdir GROUP BY 1, 2, 3) WHERE value > 0"""
+WITH["fmatched"] = "SELECT coalesce(p.day, t.day) AS day, coalesce(p.origin, t.origin) AS origin, coalesce(p.dest, t.dest) AS dest, coalesce(p.value, 0.0) AS pred, coalesce(t.value, 0.0) AS actual FROM (SELECT f.* FROM ffull f WHERE f.origin IN (SELECT cell FROM cells) AND f.dest IN (SELECT cell FROM cells)) p FULL JOIN truth t ON p.day = t.day AND p.origin = t.origin AND p.dest = t.dest"
+RECURSIVE = {"kf", "rts", "fkf", "frts"}
+COLUMNS = {"kf": "kf(cell, t, m, p, ahead)", "rts": "rts(cell, t, m, p, back, nextvar)", "fkf": "fkf(component, sid, t, m, p, ahead, b)", "frts": "frts(component, sid, t, m, p)"}
 
 
 def sql(body: str) -> str:
@@ -190,6 +233,12 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
       z AS (SELECT * FROM x UNION ALL SELECT t, cell, f, v, false FROM base JOIN k USING (t)),
       g AS (SELECT a.cell, a.f AS i, b.f AS j, a.feature AS fi, b.feature AS fj, SUM(a.v * b.v) AS v FROM z a JOIN z b ON a.t = b.t AND a.cell = b.cell GROUP BY 1, 2, 3, 4, 5)
       SELECT 'zz' AS kind, cell, i, j, {q('v', 4)} AS v FROM g UNION ALL SELECT 'zx', cell, i, j, {q('v', 4)} FROM g WHERE fj UNION ALL SELECT 'xx', NULL, i, j, {q('SUM(v)', 4)} FROM g WHERE fi AND fj GROUP BY i, j""",
+    "fixed_fit_means": f"SELECT component, sid, CAST(t AS INT) AS t, {q('mean')} AS mean FROM fmean",
+    "fixed_fit_diagnostics": f"""SELECT component AS model, count(*) FILTER (t = 0 AND active) AS active, count(*) FILTER (s) AS observations, {q('SUM(nll)', 4)} AS objective, {q('count(*) FILTER (v < 0) / CAST(count(*) AS DOUBLE)')} AS negative_fraction,
+      {q('max(p) FILTER (active)')} AS max_state_variance FROM fraw GROUP BY 1""",
+    "fixed_directional_flow": f"SELECT view, day, origin, dest, {q('value')} AS value FROM fdir",
+    "fixed_forecast_full": f"SELECT day, origin, dest, {q('value')} AS value FROM ffull",
+    "fixed_forecast_scores": periods("fmatched"),
     "blend_flow": f"SELECT day, origin, dest, {q('value')} AS value FROM blend",
     "blend_compare": f"""WITH off AS (SELECT day, origin, dest, value FROM truth WHERE origin <> dest), e AS (SELECT coalesce(o.value, 0.0) - coalesce(f.value, 0.0) AS eo, coalesce(i.value, 0.0) - coalesce(f.value, 0.0) AS ei, coalesce(b.value, 0.0) - coalesce(f.value, 0.0) AS eb
       FROM out_flow o FULL JOIN in_flow i USING (day, origin, dest) FULL JOIN blend b USING (day, origin, dest) FULL JOIN off f USING (day, origin, dest))

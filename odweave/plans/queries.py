@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROXY, Settings
 from ..functions.columns import in_box, parse_cell, quantized
-from ..operators import estimation, external, matrix, scoring
+from ..operators import external, matrix, scoring, smoothing
 from ..sources import proxy, tables
 from ..sources.storage import store
 from . import analytics, forecast
@@ -330,43 +330,67 @@ def standardize_features(spark, sf_dir):
 # --- smoothing and fits ------------------------------------------------------
 
 
-def _smoothed(spark, sf_dir, q: float = 0.05, r: float = 2.0) -> DataFrame:
-    """cell, t, filtered and smoothed mean and variance of the diagonal under fixed q and r; a cell's whole series a group."""
-    import numpy as np
-    import pandas as pd
-
+def _filtered(spark, sf_dir, q: float = 0.05, r: float = 2.0) -> DataFrame:
+    """The filter over the diagonal under fixed q and r."""
     v = Views(spark, sf_dir)
-    at, prior = S.break_index, S.initial_variance
     seen = v.observed.select("day", F.lit(True).alias("seen"))
-    rows = v.diag_dense.join(seen, "day", "left").select("cell", "t", "value", F.coalesce("seen", F.lit(False)).alias("seen"))
-
-    def run(pdf):
-        pdf = pdf.sort_values("t")
-        y, on = pdf["value"].to_numpy(float)[:, None], pdf["seen"].to_numpy(bool)[:, None]
-        mean, var, lag, *_ = estimation.smooth(np.where(on, y, 0.0), on, q, r, at, prior)
-        fm, fv = [], []
-        for a, b in ((0, at), (at, len(y))):
-            # Filtered states are smoothed ones of a series that ends on that day.
-            m, p = 0.0, prior
-            for i in range(a, b):
-                p = p + q if i > a else p
-                k = p / (p + r) if on[i, 0] else 0.0
-                m, p = m + k * (y[i, 0] - m), (1 - k) * p
-                fm.append(m)
-                fv.append(p)
-        return pd.DataFrame({"cell": pdf["cell"].to_numpy(), "t": pdf["t"].to_numpy(), "filtered_mean": fm, "filtered_var": fv, "mean": mean[:, 0], "var": var[:, 0], "lag_cov": lag[:, 0]})
-
-    return rows.groupBy("cell").applyInPandas(run, "cell string, t int, filtered_mean double, filtered_var double, mean double, var double, lag_cov double")
+    rows = v.diag_dense.join(seen, "day", "left").select("cell", "t", F.col("value").alias("y"), F.coalesce("seen", F.lit(False)).alias("seen"), F.lit(q).alias("q"), F.lit(r).alias("r"))
+    return smoothing.filtered(rows, ["cell"], S)
 
 
 @query
 def kalman_filter_fixed(spark, sf_dir):
-    return _smoothed(spark, sf_dir).select("cell", "t", quantized(F.col("filtered_mean")).alias("mean"), quantized(F.col("filtered_var")).alias("var"))
+    days = _filtered(spark, sf_dir).select("cell", F.explode("f").alias("d"))
+    return days.select("cell", "d.t", quantized(F.col("d.m")).alias("mean"), quantized(F.col("d.p")).alias("var"))
 
 
 @query
 def rts_smoother_fixed(spark, sf_dir):
-    return _smoothed(spark, sf_dir).select("cell", "t", *[quantized(F.col(c)).alias(c) for c in ("mean", "var", "lag_cov")])
+    days = smoothing.smoothed(_filtered(spark, sf_dir), ["cell"], S).select("cell", F.explode("s").alias("d"))
+    return days.select("cell", "d.t", quantized(F.col("d.mean")).alias("mean"), quantized(F.col("d.var")).alias("var"), quantized(F.col("d.lag")).alias("lag_cov"))
+
+
+#: Known variances (q, r) of components on their scales, for forecasts that SQL can make too.
+VARIANCES = {"D5": (0.004, 2.0), "F-total": (0.004, 2.0), "R-total": (0.001, 0.5), "F-share": (0.00004, 0.02), "R-share": (0.00004, 0.02)}
+
+
+def _fixed(spark, sf_dir) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """(means, diagnostics, forecast) of the components without regressors under known variances."""
+    i = forecast.proxy_inputs(spark, sf_dir, S)
+    train, truth, observed, pairs = forecast.training(i, S)
+    rows, _ = forecast.components(i, train, pairs, observed, S, {n: (n, []) for n in forecast.COMPONENTS})
+    means, told = smoothing.fixed_fit(rows, VARIANCES, S)
+    means = store(means)
+    return means, told, forecast.from_fit(i, S, means, train, truth, observed, pairs, i.calendar.where("cv_window is not null"))
+
+
+@query
+def fixed_fit_means(spark, sf_dir):
+    return _fixed(spark, sf_dir)[0].select("component", "sid", "t", quantized(F.col("mean")).alias("mean"))
+
+
+@query
+def fixed_fit_diagnostics(spark, sf_dir):
+    told = _fixed(spark, sf_dir)[1]
+    return told.select("model", "active", "observations", quantized(F.col("objective"), 4).alias("objective"), quantized(F.col("negative_fraction")).alias("negative_fraction"), quantized(F.col("max_state_variance")).alias("max_state_variance"))
+
+
+@query
+def fixed_directional_flow(spark, sf_dir):
+    r = _fixed(spark, sf_dir)[2]
+    both = r["outgoing"].withColumn("view", F.lit("outgoing")).unionByName(r["incoming"].withColumn("view", F.lit("incoming")))
+    return both.select("view", "day", "origin", "dest", quantized(F.col("value")).alias("value"))
+
+
+@query
+def fixed_forecast_full(spark, sf_dir):
+    return _fixed(spark, sf_dir)[2]["full"].select("day", "origin", "dest", quantized(F.col("value")).alias("value"))
+
+
+@query
+def fixed_forecast_scores(spark, sf_dir):
+    p = forecast.scores(_fixed(spark, sf_dir)[2], tables.calendar(spark, S), S)
+    return p.select("period", "n_days", *[quantized(F.col(c)).alias(c) for c in ("nrmse_diag", "nrmse_offdiag", "combined_nrmse")])
 
 
 def fitted(spark: SparkSession, sf_dir: str, only: tuple[str, ...] = forecast.COMPONENTS) -> DataFrame:

@@ -69,10 +69,19 @@ def cell_concentration(both: DataFrame, top: int = 100) -> DataFrame:
 
 
 def error_by_area(both: DataFrame, areas: DataFrame) -> DataFrame:
-    """area of the origin: relative error against predicting nothing, predicted and actual totals."""
+    """area of the origin, part (diagonal or off-diagonal): squared error over that of predicting nothing, predicted and actual totals."""
     j = both.join(areas.select(F.col("cell").alias("origin"), "area"), "origin")
+    part = F.when(F.col("origin") == F.col("dest"), "diagonal").otherwise("off-diagonal")
     e, z = F.sum(F.pow(F.col("pred") - F.col("actual"), 2)), F.sum(F.pow("actual", F.lit(2)))
-    return j.groupBy("area").agg(F.when(z > 0, F.sqrt(e / z)).alias("relative_error"), F.sum("pred").alias("pred_total"), F.sum("actual").alias("actual_total"))
+    return j.groupBy("area", part.alias("part")).agg(F.when(z > 0, e / z).alias("relative_error"), F.sum("pred").alias("pred_total"), F.sum("actual").alias("actual_total"))
+
+
+def daily_pairs(both: DataFrame, days: DataFrame) -> DataFrame:
+    """day, n_predicted, n_recorded, n_both: off-diagonal pairs with a positive value."""
+    off = F.col("origin") != F.col("dest")
+    said, there = off & (F.col("pred") > 0), off & (F.col("actual") > 0)
+    per = both.groupBy("day").agg(F.count_if(said).alias("n_predicted"), F.count_if(there).alias("n_recorded"), F.count_if(said & there).alias("n_both"))
+    return days.select("day").join(per, "day", "left").na.fill(0)
 
 
 def daily_bias(both: DataFrame, days: DataFrame) -> DataFrame:

@@ -22,6 +22,36 @@ def presence_monthly(v, s) -> DataFrame:
     return per.join(days, "month").select("month", "cell", quantized(mean).alias("mean"), quantized(F.log1p(mean)).alias("log_mean"))
 
 
+def presence_weekly(v, s) -> DataFrame:
+    """week (from the break, negative before), cell, mean presence over the week's observed days."""
+    week = F.floor(F.datediff("day", F.lit(s.break_day)) / 7).cast("int")
+    days = v.od.select("day").distinct().groupBy(week.alias("week")).agg(F.count("*").alias("n"))
+    per = presence_daily(v, s).groupBy(week.alias("week"), "cell").agg(F.sum("presence").alias("p"))
+    return per.join(days, "week").select("week", "cell", quantized(F.col("p") / F.col("n")).alias("mean"))
+
+
+def classed(cells: DataFrame, land: DataFrame, shore: int = 2) -> DataFrame:
+    """Adds kind to ``cells`` (cell, y, x, active): land, sea, or noise for activity at sea ``shore`` cells or more from all land.
+
+    ``land`` has y and x of the land mask. The mask is grown cell by cell instead of measuring distances: each land cell is
+    spread over the square around it, so the join is one of equal keys.
+    """
+    steps = F.sequence(F.lit(1 - shore), F.lit(shore - 1))
+    near = land.select("y", "x", F.explode(steps).alias("dy")).select((F.col("y") + F.col("dy")).alias("y"), F.col("x"), F.explode(steps).alias("dx")).select("y", (F.col("x") + F.col("dx")).alias("x"))
+    known = land.select("y", "x", F.lit(True).alias("_land")).distinct()
+    j = cells.join(known, ["y", "x"], "left").join(near.distinct().withColumn("_near", F.lit(True)), ["y", "x"], "left")
+    kind = F.when(F.col("_land"), "land").when(F.col("active") & F.col("_near").isNull(), "noise").otherwise("sea")
+    return j.select(*cells.columns, kind.alias("kind"))
+
+
+def cell_class(v, s, shore: int = 2) -> DataFrame:
+    """cell, kind and presence of all cells; five nations in a corner of the grid stand for the land."""
+    all_ = v.od.groupBy(F.col("origin").alias("cell")).agg(F.sum("value").alias("presence"))
+    cells = v.nations.where("cell <> '-1_-1'").select("cell", "y", "x", "nationkey").join(all_, "cell", "left").withColumn("active", F.coalesce(F.col("presence") > 0, F.lit(False)))
+    land = cells.where("nationkey in (1, 2, 6, 7, 11)").select("y", "x")
+    return classed(cells, land, shore).select("cell", "kind", F.coalesce("presence", F.lit(0.0)).alias("presence"))
+
+
 def damage_ratio(v, s, least: float = 1.0, cap: float = 3.0) -> DataFrame:
     """cell, before, after, ratio: log2 of January's daily mean over that of the two months before, for cells with enough before, capped."""
     before = F.col("day") < F.lit(s.break_day)

@@ -116,7 +116,7 @@ def components(i: Inputs, train: DataFrame, pairs: DataFrame, observed: DataFram
         made = [(columns[name].index(c), f) for c in own if (name, c) in known for f in external.scales(c, *known[name, c], s.constant_sd)]
         if own and not made:
             raise ValueError(f"{fit}: no feature has a value that varies on the training rows")
-        fits[fit] = estimation.Fit(not name.endswith("share"), name == "D5", len(made))
+        fits[fit] = estimation.Fit(not name.endswith("share"), name == "D5", len(made), tuple(f.name for _, f in made))
         of[name].append(F.struct(F.lit(fit).alias("fit"), F.array(*[f.of(F.col("raw")[k]) for k, f in made]).cast("array<double>").alias("x")))
     if all(len(v) == 1 for v in of.values()):
         each = F.lit(None)
@@ -156,6 +156,22 @@ def fit_components(rows: DataFrame, fits: dict[str, estimation.Fit], cal: DataFr
     return fitted_.select("component", "sid", F.posexplode("mean").alias("t", "mean"), "info", "local").select("component", "sid", "t", "mean", first_day("info"), first_day("local"))
 
 
+CALENDAR_NAMES = ("tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "turn of the year")
+
+
+def named_coefficients(info: DataFrame, fits: dict[str, estimation.Fit]) -> DataFrame:
+    """model, name, local (mean over series), shared, total, percent (of the flow, where the scale is logarithmic); ``info`` has a struct x a fit."""
+    names = F.lit(None)
+    for fit, f in fits.items():
+        entries = [F.struct(F.lit(n).alias("name"), F.lit(k).alias("l"), F.lit(None).cast("int").alias("g")) for k, n in enumerate(CALENDAR_NAMES)]
+        entries += [F.struct(F.lit(n).alias("name"), F.lit(len(CALENDAR_NAMES) + k if f.local else None).cast("int").alias("l"), F.lit(k).alias("g")) for k, n in enumerate(f.names)]
+        names = F.when(F.col("x.model") == fit, F.array(*entries)).otherwise(names)
+    rows = info.select("x", F.explode(names).alias("n")).select(
+        F.col("x.model").alias("model"), "n.name", F.get("x.local_mean", F.col("n.l")).alias("local"), F.get("x.beta", F.col("n.g")).alias("shared"))
+    total = F.coalesce("local", F.lit(0.0)) + F.coalesce("shared", F.lit(0.0))
+    return rows.select("*", total.alias("total"), F.when(~F.col("model").endswith("share"), 100 * F.expm1(total)).alias("percent"))
+
+
 def directional_flow(fit: DataFrame, pairs: DataFrame, flows: DataFrame, cells: DataFrame, target: DataFrame, view: str) -> DataFrame:
     """day, origin, dest, value: the anchor's total times the renormalised share, on the target days."""
     label, anchor = ("F" if view == "outgoing" else "R"), matrix.ANCHOR[view][0]

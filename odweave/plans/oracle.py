@@ -179,9 +179,10 @@ _STD = " UNION ALL ".join(f"SELECT t, day, cell, '{f}' AS feature, {f} AS x FROM
 PAIRED = ", ".join(f"{q(f'{side}.{g}')} AS {g}_{name}" for g in ("evac", "water", "rain", "snow") for side, name in (("a", "anchor"), ("b", "partner")))
 
 SQL: dict[str, str] = {k: sql(v) for k, v in {
-    "calendar_dim": "SELECT * FROM cal",
-    "calendar_regressors": "SELECT t, " + ", ".join(f"CAST(weekday = {k} AS INT) AS weekday_{k}" for k in range(1, 7)) + ", CAST(year_end AS INT) AS turn FROM cal",
-    "eval_cells": "SELECT y || '_' || x AS cell, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((y - 35) * 5 + x - 30 AS INT) AS cell_ord FROM range(35, 38) a(y) CROSS JOIN range(30, 35) b(x)",
+    "calendar_dim": "SELECT cal.*, coalesce(n, 0) AS n_pairs FROM cal LEFT JOIN (SELECT day, count(*) AS n FROM od GROUP BY 1) USING (day)",
+    "calendar_regressors": "SELECT t, " + ", ".join(f"CAST(weekday = {k} AS INT) AS weekday_{k}" for k in range(1, 7)) + ", CAST(year_end AS INT) AS turn, diagonal FROM seen JOIN (SELECT t, SUM(value) AS diagonal FROM dense GROUP BY 1) USING (t)",
+    "eval_cells": """SELECT g.*, coalesce(facility_count, 0.0) AS facility_count, coalesce(flow, 0.0) AS flow FROM (SELECT y || '_' || x AS cell, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((y - 35) * 5 + x - 30 AS INT) AS cell_ord FROM range(35, 38) a(y) CROSS JOIN range(30, 35) b(x)) g
+      LEFT JOIN facility USING (cell) LEFT JOIN (SELECT origin AS cell, SUM(value) AS flow FROM od WHERE oin AND din GROUP BY 1) USING (cell)""",
     "cell_parse": """SELECT cell, CASE WHEN ok THEN y END AS y, CASE WHEN ok THEN x END AS x, coalesce(ok AND y BETWEEN 35 AND 70 AND x BETWEEN 30 AND 70, false) AS in_box FROM (
       SELECT cell, try_cast(split_part(cell, '_', 1) AS INT) AS y, try_cast(split_part(cell, '_', 2) AS INT) AS x,
       cell <> '-1_-1' AND len(string_split(cell, '_')) = 2 AND try_cast(split_part(cell, '_', 1) AS INT) BETWEEN 1 AND 100 AND try_cast(split_part(cell, '_', 2) AS INT) BETWEEN 1 AND 70 AS ok
@@ -257,12 +258,18 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
       SELECT top, {q('(SELECT SUM(e) FROM r WHERE k <= top) / (SELECT SUM(e) FROM p)')} AS share FROM (VALUES (10), (50)) v(top)""",
     "cell_error_concentration": f"""WITH p AS (SELECT origin, SUM(pow(pred - actual, 2)) AS e FROM matched WHERE origin = dest GROUP BY 1), r AS (SELECT e, row_number() OVER (ORDER BY e DESC, origin) AS k FROM p)
       SELECT CAST(top AS INT) AS top, {q('(SELECT SUM(e) FROM r WHERE k <= top) / (SELECT SUM(e) FROM p)')} AS share FROM (VALUES (5)) v(top)""",
-    "error_by_area": f"""SELECT area, {q('CASE WHEN SUM(actual * actual) > 0 THEN sqrt(SUM(pow(pred - actual, 2)) / SUM(actual * actual)) END', 4)} AS relative_error, {q('SUM(pred)', 4)} AS pred_total, {q('SUM(actual)', 4)} AS actual_total FROM matched JOIN cells ON cell = origin GROUP BY 1""",
+    "error_by_area": f"""SELECT area, CASE WHEN origin = dest THEN 'diagonal' ELSE 'off-diagonal' END AS part, {q('CASE WHEN SUM(actual * actual) > 0 THEN SUM(pow(pred - actual, 2)) / SUM(actual * actual) END', 4)} AS relative_error, {q('SUM(pred)', 4)} AS pred_total, {q('SUM(actual)', 4)} AS actual_total
+      FROM matched JOIN cells ON cell = origin GROUP BY 1, 2""",
+    "daily_pairs": """SELECT day, coalesce(p, 0) AS n_predicted, coalesce(r, 0) AS n_recorded, coalesce(b, 0) AS n_both FROM target LEFT JOIN (SELECT day, count(*) FILTER (pred > 0) AS p, count(*) FILTER (actual > 0) AS r, count(*) FILTER (pred > 0 AND actual > 0) AS b FROM matched WHERE origin <> dest GROUP BY 1) USING (day)""",
     "daily_bias": f"""SELECT g.day, {q('CASE WHEN ad > 0 THEN (coalesce(pd, 0.0) - ad) / ad END')} AS bias_diag, {q('CASE WHEN ao > 0 THEN (coalesce(po, 0.0) - ao) / ao END')} AS bias_off FROM target g LEFT JOIN
       (SELECT day, SUM(pred) FILTER (origin = dest) AS pd, SUM(actual) FILTER (origin = dest) AS ad, SUM(pred) FILTER (origin <> dest) AS po, SUM(actual) FILTER (origin <> dest) AS ao FROM matched GROUP BY 1) USING (day)""",
     "candidate_coverage": "SELECT count(*) AS n, count(pair_id) AS n_covered, SUM(value) AS amount, SUM(CASE WHEN pair_id IS NOT NULL THEN value ELSE 0.0 END) AS amount_covered FROM truth LEFT JOIN pairs USING (origin, dest) WHERE origin <> dest AND value > 0",
     "submission_shape": "SELECT day, count(*) AS n_rows, count(*) FILTER (value IS NULL OR value < 0) AS n_bad, count(*) - count(DISTINCT (origin, dest)) AS n_twice FROM pred GROUP BY 1",
     "presence_monthly": f"""SELECT month, cell, {q('p / n')} AS mean, {q('ln(1 + p / n)')} AS log_mean FROM (SELECT strftime(day, '%Y-%m') AS month, cell, SUM(presence) AS p FROM presence GROUP BY 1, 2) JOIN (SELECT strftime(day, '%Y-%m') AS month, count(DISTINCT day) AS n FROM od GROUP BY 1) USING (month)""",
+    "presence_weekly": f"""SELECT week, cell, {q('p / n')} AS mean FROM (SELECT CAST(floor(date_diff('day', DATE '1996-01-01', day) / 7.0) AS INT) AS week, cell, SUM(presence) AS p FROM presence GROUP BY 1, 2)
+      JOIN (SELECT CAST(floor(date_diff('day', DATE '1996-01-01', day) / 7.0) AS INT) AS week, count(DISTINCT day) AS n FROM od GROUP BY 1) USING (week)""",
+    "cell_class": """SELECT cell, CASE WHEN k IN (1, 2, 6, 7, 11) THEN 'land' WHEN coalesce(p, 0) > 0 AND (SELECT min(greatest(abs(l.y - nat.y), abs(l.x - nat.x))) FROM nat l WHERE l.k IN (1, 2, 6, 7, 11)) >= 2 THEN 'noise' ELSE 'sea' END AS kind, coalesce(p, 0.0) AS presence
+      FROM nat LEFT JOIN (SELECT origin AS cell, SUM(value) AS p FROM od GROUP BY 1) USING (cell) WHERE cell <> '-1_-1'""",
     "damage_ratio": "SELECT * FROM damage",
     "damage_topk": "SELECT * FROM damage ORDER BY ratio, cell LIMIT 5",
     "weekly_recovery": f"""WITH p AS (SELECT CAST(floor(date_diff('day', DATE '1996-01-01', day) / 7.0) AS INT) AS week, CASE WHEN y > 36 THEN 'north' ELSE 'south' END AS part, SUM(presence) AS p FROM presence JOIN cells USING (cell) GROUP BY 1, 2),

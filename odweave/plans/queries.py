@@ -11,7 +11,7 @@ from ..config import PROXY, Settings
 from ..functions.columns import in_box, parse_cell, quantized
 from ..operators import external, matrix, scoring, smoothing
 from ..sources import proxy, tables
-from ..sources.storage import store
+from ..sources.storage import scratch, store
 from . import analytics, forecast
 from .oracle import SQL
 
@@ -88,18 +88,32 @@ class Views:
 
 @query
 def calendar_dim(spark, sf_dir):
-    return tables.calendar(spark, S).select("day", "t", "day_int", "weekday", "year_end", "regime", "cv_window", "is_test", "in_span")
+    """The calendar, with the number of recorded pairs a day."""
+    v = Views(spark, sf_dir)
+    recorded = v.od.groupBy("day").agg(F.count("*").alias("n_pairs"))
+    days = v.cal.join(recorded, "day", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
+    return days.select("day", "t", "day_int", "weekday", "year_end", "regime", "cv_window", "is_test", "in_span", "n_pairs")
+
+
+def regressors(cal: DataFrame) -> DataFrame:
+    """t and the calendar's columns of the design."""
+    return cal.select("t", *[(F.col("weekday") == k).cast("int").alias(f"weekday_{k}") for k in range(1, 7)], F.col("year_end").cast("int").alias("turn"))
 
 
 @query
 def calendar_regressors(spark, sf_dir):
-    cal = tables.calendar(spark, S)
-    return cal.select("t", *[(F.col("weekday") == k).cast("int").alias(f"weekday_{k}") for k in range(1, 7)], F.col("year_end").cast("int").alias("turn"))
+    """The regressors of the days that are learned from, with what the diagonal sums to on each."""
+    v = Views(spark, sf_dir)
+    return regressors(v.observed).join(v.diag_dense.groupBy("t").agg(F.sum("value").alias("diagonal")), "t")
 
 
 @query
 def eval_cells(spark, sf_dir):
-    return tables.box_cells(spark, S.box)
+    """Every cell of the box in order, with its facilities and the flow that starts in it."""
+    v = Views(spark, sf_dir)
+    flow = matrix.in_box_flows(v.od, S.box).groupBy(F.col("origin").alias("cell")).agg(F.sum("value").alias("flow"))
+    return tables.box_cells(spark, S.box).join(v.facility, "cell", "left").join(flow, "cell", "left").select(
+        "cell", "y", "x", "cell_ord", F.coalesce("facility_count", F.lit(0.0)).alias("facility_count"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
 
 
 @query
@@ -111,26 +125,38 @@ def cell_parse(spark, sf_dir):
     return ids.distinct().select("cell", c["y"].alias("y"), c["x"].alias("x"), in_box(F.col("cell")).alias("in_box"))
 
 
+def _csv(frame: DataFrame, **names: str) -> str:
+    """The frame as a folder of CSV files with these column names; nulls as a dash, which is no number. Its path."""
+    path = scratch(frame.sparkSession, "csv")
+    frame.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(n) for c, n in names.items()]).write.csv(path, header=True)
+    return path
+
+
 @query
 def rate_reports(spark, sf_dir):
-    return proxy.reports(spark, sf_dir).select("area", "day", "evac", "water")
+    """Reports of both kinds as the CSV readers read them."""
+    given = proxy.reports(spark, sf_dir)
+    evac, water = (tables.read_rates(spark, _csv(given, day="日付", area="市町名", **{c: n}), n).withColumnRenamed("rate", c) for c, n in (("evac", "避難者率"), ("water", "断水世帯率")))
+    return evac.join(water, ["area", "day"], "full_outer").select(F.col("area").cast("int").alias("area"), "day", "evac", "water")
 
 
 @query
 def station_daily(spark, sf_dir):
-    return proxy.weather(spark, sf_dir)
+    """Weather as the CSV reader reads it."""
+    return tables.read_weather(spark, _csv(proxy.weather(spark, sf_dir), day="date", station="station", rain="precipitation_total_mm", snow="snow_depth_max_cm"))
 
 
 @query
 def cell_dim_aligned(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return tables.aligned(v.cells.select("cell"), v.nations.drop("y", "x", "nationkey"), "area", "lat", "lon").select("cell", F.coalesce(F.col("area").cast("string"), F.lit("out-of-scope")).alias("area"), quantized(F.col("lat")).alias("lat"), quantized(F.col("lon")).alias("lon"))
+    read = tables.read_cells(spark, _csv(v.nations, cell="grid_id", area="area", lat="latitude", lon="longitude"))
+    return tables.aligned(v.cells.select("cell"), read, "area", "lat", "lon").select("cell", F.coalesce(F.col("area").cast("string"), F.lit("out-of-scope")).alias("area"), quantized(F.col("lat")).alias("lat"), quantized(F.col("lon")).alias("lon"))
 
 
 @query
 def facility_aligned(spark, sf_dir):
     v = Views(spark, sf_dir)
-    return tables.aligned(v.cells.select("cell"), v.facility, "facility_count")
+    return tables.aligned(v.cells.select("cell"), tables.read_facilities(spark, _csv(v.facility, cell="grid_id", facility_count="facility_count")), "facility_count")
 
 
 @query
@@ -425,10 +451,11 @@ def fit_diagnostics(spark, sf_dir):
 
 @query
 def coef_summary(spark, sf_dir):
-    """Mean local coefficient of each regressor and the global ones, by component."""
-    x = fitted(spark, sf_dir).where("info is not null").select(F.from_json("info", INFO).alias("x"))
-    kinds = F.array(F.struct(F.lit("local").alias("kind"), F.col("x.local_mean").alias("v")), F.struct(F.lit("global").alias("kind"), F.col("x.beta").alias("v")))
-    return x.select("x.model", F.explode(kinds).alias("k")).select("model", "k.kind", F.posexplode("k.v").alias("place", "coefficient"))
+    """Mean local coefficient of each regressor, the global ones, and their sum, by component and name; effects on the log scale in percent too."""
+    i = forecast.proxy_inputs(spark, sf_dir, S)
+    train, _, observed, pairs = forecast.training(i, S)
+    rows, fits = forecast.components(i, train, pairs, observed, S, forecast.plain_variants(S))
+    return forecast.named_coefficients(forecast.fit_components(rows, fits, i.calendar, S).where("info is not null").select(F.from_json("info", INFO).alias("x")), fits)
 
 
 @query
@@ -447,7 +474,7 @@ def gram_stats(spark, sf_dir):
     seen = v.observed.select("day", F.lit(True).alias("obs"))
     raw = external.cell_features(v.daily, v.facility).join(matrix.active(v.diag, "cell"), "cell").join(seen, "day")
     z, names = external.standardize(store(raw.select("t", "cell", "obs", *S.diagonal_groups)), list(S.diagonal_groups), "obs", S.constant_sd)
-    j = z.join(calendar_regressors(spark, sf_dir), "t")
+    j = z.join(regressors(v.cal), "t")
     left = [*[f"weekday_{k}" for k in range(1, 7)], "turn", *names]
     sums = j.groupBy("cell").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a in left for b in left])
     cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"{a}__{b}").cast("double").alias("v")) for a in left for b in left])
@@ -563,7 +590,7 @@ def cell_error_concentration(spark, sf_dir):
 def error_by_area(spark, sf_dir):
     v = Views(spark, sf_dir)
     e = scoring.error_by_area(v.matched, v.cells)
-    return e.select("area", *[quantized(F.col(c), 4).alias(c) for c in ("relative_error", "pred_total", "actual_total")])
+    return e.select("area", "part", *[quantized(F.col(c), 4).alias(c) for c in ("relative_error", "pred_total", "actual_total")])
 
 
 @query
@@ -578,6 +605,12 @@ def candidate_coverage(spark, sf_dir):
     return scoring.candidate_coverage(v.truth, v.pairs)
 
 
+@query
+def daily_pairs(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return scoring.daily_pairs(v.matched, v.target)
+
+
 @query
 def submission_shape(spark, sf_dir):
     """Rows, bad values and days of a prediction, as a validator counts them."""
@@ -593,7 +626,7 @@ def _analysis(f):
     return query(g)
 
 
-for _f in (analytics.presence_monthly, analytics.damage_ratio, analytics.damage_topk, analytics.weekly_recovery, analytics.cell_geo, analytics.daily_total):
+for _f in (analytics.presence_monthly, analytics.presence_weekly, analytics.cell_class, analytics.damage_ratio, analytics.damage_topk, analytics.weekly_recovery, analytics.cell_geo, analytics.daily_total):
     _analysis(_f)
 
 

@@ -46,11 +46,16 @@ def station_distances(cells: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def nearest_weather(complete: DataFrame, distances: DataFrame, value: str) -> DataFrame:
-    """day, t, cell and log1p of the value at the nearest station with a finite, non-negative one; ties to the first station; else missing."""
-    usable = complete.where(finite(F.col(value)) & (F.col(value) >= 0)).select("day", "station", F.col(value).alias("v"))
-    best = usable.join(distances, "station").groupBy("day", "cell").agg(F.min(F.struct("km", "ord", "v")).alias("x"))
-    grid = complete.select("day", "t").distinct().join(distances.select("cell").distinct(), F.lit(True))
-    return grid.join(best, ["day", "cell"], "left").select("day", "t", "cell", F.log1p("x.v").alias(value))
+    """day, t, cell and log1p of the value at the nearest station with a finite, non-negative one; ties to the first station; else missing.
+
+    A cell has its stations in order of distance and a day a map of usable values, so a cell's value is the
+    first that the map has; stations by cells by days are never rows.
+    """
+    usable = complete.where(finite(F.col(value)) & (F.col(value) >= 0)).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("station", value))).alias("_values"))
+    ranked = distances.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("km", "ord", "station")))["station"].alias("_stations"))
+    grid = complete.select("day", "t").distinct().join(usable, "day", "left").join(ranked, F.lit(True))
+    found = F.filter(F.transform("_stations", lambda x: F.try_element_at("_values", x)), lambda x: x.isNotNull())
+    return grid.select("day", "t", "cell", F.log1p(F.get(found, F.lit(0))).alias(value))
 
 
 def daily_features(cells: DataFrame, rates: DataFrame, rain: DataFrame, snow: DataFrame) -> DataFrame:

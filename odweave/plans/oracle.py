@@ -150,8 +150,29 @@ WITH["fdir"] = _flowed("outgoing", "origin", "fallback") + " UNION ALL " + _flow
 WITH["ffull"] = """SELECT day, origin, dest, mean AS value FROM target JOIN outside USING (weekday) UNION ALL SELECT day, cell, cell, mean FROM target JOIN fmean f ON f.component = 'D5' AND f.t = target.t JOIN cell_sid c ON c.sid = f.sid WHERE mean > 0
   UNION ALL SELECT * FROM (SELECT day, origin, dest, SUM(value) * 0.5::DOUBLE AS value FROM fdir GROUP BY 1, 2, 3) WHERE value > 0"""
 WITH["fmatched"] = "SELECT coalesce(p.day, t.day) AS day, coalesce(p.origin, t.origin) AS origin, coalesce(p.dest, t.dest) AS dest, coalesce(p.value, 0.0) AS pred, coalesce(t.value, 0.0) AS actual FROM (SELECT f.* FROM ffull f WHERE f.origin IN (SELECT cell FROM cells) AND f.dest IN (SELECT cell FROM cells)) p FULL JOIN truth t ON p.day = t.day AND p.origin = t.origin AND p.dest = t.dest"
-RECURSIVE = {"kf", "rts", "fkf", "frts"}
-COLUMNS = {"kf": "kf(cell, t, m, p, ahead)", "rts": "rts(cell, t, m, p, back, nextvar)", "fkf": "fkf(component, sid, t, m, p, ahead, b)", "frts": "frts(component, sid, t, m, p)"}
+# The two-level ridge around regime means, each system reduced by Gauss-Jordan, a column a step of a recursion.
+WITH["rbase"] = "SELECT t, regime, cell, evac, water, rain, ln(1 + value) AS y FROM feat JOIN (SELECT t, cell, regime, value FROM dense) USING (t, cell) WHERE day IN (SELECT day FROM seen) AND cell IN (SELECT cell FROM diag WHERE value > 0)"
+WITH["rraw"] = "SELECT t, cell, 'evac' AS f, 1 AS o, evac AS x FROM rbase UNION ALL SELECT t, cell, 'water', 2, water FROM rbase UNION ALL SELECT t, cell, 'rain', 3, rain FROM rbase"
+WITH["rmu"] = "SELECT f, avg(x) AS mu FROM rraw GROUP BY 1 HAVING count(x) > 0"
+WITH["rwhole"] = "SELECT t, cell, f, o, coalesce(x, mu) AS v FROM rraw JOIN rmu USING (f) UNION ALL SELECT t, cell, f || '_missing', o + 0.5, CAST(x IS NULL AS DOUBLE) FROM rraw JOIN rmu USING (f)"
+WITH["rsd"] = "SELECT f, o, avg(v) AS mu, stddev_pop(v) AS sd, 7 + row_number() OVER (ORDER BY o) AS i FROM rwhole GROUP BY 1, 2 HAVING stddev_pop(v) >= 1e-10"
+WITH["rname"] = "SELECT CAST(k AS INT) AS i, 'weekday_' || k AS name FROM range(1, 7) r(k) UNION ALL SELECT 7, 'turn' UNION ALL SELECT CAST(i AS INT), f FROM rsd"
+WITH["rz"] = "SELECT t, cell, CAST(i AS INT) AS i, (v - mu) / sd AS v FROM rwhole JOIN rsd USING (f) UNION ALL SELECT t, cell, CAST(k AS INT), CAST(weekday = k AS DOUBLE) FROM rbase JOIN cal USING (t) CROSS JOIN range(1, 7) r(k) UNION ALL SELECT t, cell, 7, CAST(year_end AS DOUBLE) FROM rbase JOIN cal USING (t)"
+WITH["rw"] = "SELECT t, cell, y - avg(y) OVER (PARTITION BY cell, regime) AS w FROM rbase"
+WITH["rg"] = "SELECT a.cell, a.i, b.i AS j, SUM(a.v * b.v) AS v FROM rz a JOIN rz b ON a.t = b.t AND a.cell = b.cell GROUP BY 1, 2, 3"
+WITH["rr"] = "SELECT cell, i, SUM(v * w) AS v FROM rz JOIN rw USING (t, cell) GROUP BY 1, 2"
+WITH["rrow"] = """SELECT cell, i, list_concat(list(v + CASE WHEN i <> j THEN 0 WHEN i <= 7 THEN 1 ELSE 20 END ORDER BY j), list(v ORDER BY j) FILTER (j > 7), [any_value(r)]) AS x FROM (SELECT rg.*, rr.v AS r FROM rg JOIN rr USING (cell, i)) GROUP BY 1, 2"""
+WITH["rgj"] = """SELECT cell, 0 AS k, list(x ORDER BY i) AS m FROM rrow GROUP BY cell
+  UNION ALL SELECT cell, k + 1, list_transform(m, lambda x, i: CASE WHEN i = k + 1 THEN list_transform(x, lambda v: v / x[k + 1]) ELSE list_transform(x, lambda v, c: v - x[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM rgj WHERE k < len(m)"""
+WITH["rown"] = "SELECT cell, CAST(i AS INT) AS i, m[i] AS x FROM (SELECT cell, m, unnest(range(1, len(m) + 1)) AS i FROM rgj WHERE k = len(m))"
+WITH["rschur"] = """SELECT a.i, a.j, SUM(a.v - coalesce(t, 0)) AS v FROM (SELECT cell, i, j, v FROM rg WHERE i > 7 AND j > 7 UNION ALL SELECT cell, i, 0, v FROM rr WHERE i > 7) a
+  JOIN (SELECT g.cell, g.j AS i, c.j, SUM(g.v * c.v) AS t FROM rg g JOIN (SELECT cell, i, CAST(n AS INT) AS j, x[CASE WHEN n = 0 THEN len(x) ELSE (SELECT count(*) FROM rname) + n - 7 END] AS v FROM rown CROSS JOIN (SELECT i AS n FROM rname WHERE i > 7 UNION ALL SELECT 0)) c ON c.cell = g.cell AND c.i = g.i WHERE g.j > 7 GROUP BY 1, 2, 3) b
+  ON b.cell = a.cell AND b.i = a.i AND b.j = a.j GROUP BY 1, 2"""
+WITH["rsj"] = """SELECT 0 AS k, list(x ORDER BY i) AS m FROM (SELECT i, list_concat(list(v + CASE WHEN i = j THEN 1 ELSE 0 END ORDER BY j) FILTER (j > 0), list(v) FILTER (j = 0)) AS x FROM rschur GROUP BY i)
+  UNION ALL SELECT k + 1, list_transform(m, lambda x, i: CASE WHEN i = k + 1 THEN list_transform(x, lambda v: v / x[k + 1]) ELSE list_transform(x, lambda v, c: v - x[k + 1] * m[k + 1][c] / m[k + 1][k + 1]) END) FROM rsj WHERE k < len(m)"""
+WITH["rbeta"] = "SELECT CAST(7 + i AS INT) AS i, m[i][len(m) + 1] AS b FROM (SELECT m, unnest(range(1, len(m) + 1)) AS i FROM rsj WHERE k = len(m))"
+RECURSIVE = {"kf", "rts", "fkf", "frts", "rgj", "rsj"}
+COLUMNS = {"kf": "kf(cell, t, m, p, ahead)", "rts": "rts(cell, t, m, p, back, nextvar)", "fkf": "fkf(component, sid, t, m, p, ahead, b)", "frts": "frts(component, sid, t, m, p)", "rgj": "rgj(cell, k, m)", "rsj": "rsj(k, m)"}
 
 
 def sql(body: str) -> str:
@@ -234,6 +255,8 @@ SQL: dict[str, str] = {k: sql(v) for k, v in {
       z AS (SELECT * FROM x UNION ALL SELECT t, cell, f, v, false FROM base JOIN k USING (t)),
       g AS (SELECT a.cell, a.f AS i, b.f AS j, a.feature AS fi, b.feature AS fj, SUM(a.v * b.v) AS v FROM z a JOIN z b ON a.t = b.t AND a.cell = b.cell GROUP BY 1, 2, 3, 4, 5)
       SELECT 'zz' AS kind, cell, i, j, {q('v', 4)} AS v FROM g UNION ALL SELECT 'zx', cell, i, j, {q('v', 4)} FROM g WHERE fj UNION ALL SELECT 'xx', NULL, i, j, {q('SUM(v)', 4)} FROM g WHERE fi AND fj GROUP BY i, j""",
+    "ridge_fixed_levels": f"""SELECT cell, name, {q('any_value(x[len(x)]) - SUM(x[(SELECT count(*) FROM rname) + rbeta.i - 7] * b)')} AS coefficient FROM rown JOIN rname USING (i) CROSS JOIN rbeta GROUP BY cell, name
+      UNION ALL SELECT NULL, name, {q('b')} FROM rbeta JOIN rname USING (i)""",
     "fixed_fit_means": f"SELECT component, sid, CAST(t AS INT) AS t, {q('mean')} AS mean FROM fmean",
     "fixed_fit_diagnostics": f"""SELECT component AS model, count(*) FILTER (t = 0 AND active) AS active, count(*) FILTER (s) AS observations, {q('SUM(nll)', 4)} AS objective, {q('count(*) FILTER (v < 0) / CAST(count(*) AS DOUBLE)')} AS negative_fraction,
       {q('max(p) FILTER (active)')} AS max_state_variance FROM fraw GROUP BY 1""",

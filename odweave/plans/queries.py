@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PROXY, Settings
 from ..functions.columns import in_box, parse_cell, quantized
-from ..operators import external, matrix, scoring, smoothing
+from ..operators import external, matrix, ridge, scoring, smoothing
 from ..sources import proxy, tables
 from ..sources.storage import scratch, store
 from . import analytics, forecast
@@ -467,6 +467,23 @@ def ridge_fit(spark, sf_dir):
     return local.unionByName(shared)
 
 
+@query
+def ridge_fixed_levels(spark, sf_dir):
+    """Both levels of the diagonal's coefficients around the mean of each regime: local ones by cell, global ones without a cell."""
+    i = forecast.proxy_inputs(spark, sf_dir, S)
+    train, _, observed, pairs = forecast.training(i, S)
+    rows, fits = forecast.components(i, train, pairs, observed, S, forecast.plain_variants(S, ("D5",)))
+    names = [*(f"weekday_{k}" for k in range(1, 7)), "turn", *fits["D5"].names]
+    seen = rows.where("seen").join(i.calendar.select("t", "regime"), "t").join(regressors(i.calendar), "t").join(forecast.numbered_cells(i.cells).select("cell", "sid"), "sid")
+    y = F.log1p("target")
+    around = seen.select("cell", F.concat(F.array(*[F.col(n).cast("double") for n in names[:7]]), "x").alias("b"), (y - F.avg(y).over(Window.partitionBy("cell", "regime"))).alias("y"))
+    local, beta = ridge.two_level(store(around), "cell", 7, len(names), S)
+    named = F.array(*map(F.lit, names))
+    own = local.select("cell", F.posexplode("local").alias("place", "v")).select("cell", F.get(named, F.col("place")).alias("name"), quantized(F.col("v")).alias("coefficient"))
+    shared = spark.range(1).select(F.lit(None).cast("string").alias("cell"), F.explode(F.arrays_zip(F.array(*map(F.lit, names[7:])).alias("n"), F.array(*map(F.lit, beta)).alias("v"))).alias("z"))
+    return own.unionByName(shared.select("cell", F.col("z.n").alias("name"), quantized(F.col("z.v")).alias("coefficient")))
+
+
 @query
 def gram_stats(spark, sf_dir):
     """Masked sums of products over the seen days of active diagonal series: zz and zx by cell, xx over all; z is the calendar and x, x the features."""

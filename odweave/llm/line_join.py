@@ -15,7 +15,8 @@ Keys and line hashes travel as packed arrays, one row for a bucket and batch. A
 that very many lines share is not paired in its bucket. Its lines are first compared
 with one of them, the most central one, as long as such rounds link anything: a
 family around one line costs a comparison each. What is linked need not be compared
-again; the lines left apart are then compared with all of the key, dealt out as
+again. Of the lines left apart those of a key whose lines differ in a short middle only meet by their
+shortened middles; the others are compared with all of the key, dealt out as
 blocks, each pair of blocks a task of bounded size, where a bag-of-characters bound
 drops most pairs before the edit distance is run.
 
@@ -30,8 +31,9 @@ no rows; other columns are carried along untouched, whatever their names.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,8 @@ BUCKET_PAIRS, BLOCK = 4096, 512
 PACK_KEYS = 1 << 20
 #: Rounds in which lines of a common key are compared with one of them.
 LEADER_ROUNDS = 3
+#: Characters in which all lines of a common key may differ for it to be refined; lines of a refined key that are paired at once.
+MIDDLE, FEW = 16, 32
 _BLANK = " \t\n\x0b\f\r"
 
 
@@ -292,7 +296,7 @@ def verified(pairs: DataFrame, texts: DataFrame, t: int, least: int) -> DataFram
     return with_a.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_verify, t=t, least=least), "a long, b long")
 
 
-def common_links(common: DataFrame, texts: DataFrame, t: int, least: int) -> DataFrame:
+def common_links(common: DataFrame, texts: DataFrame, t: int, least: int, refine: bool = True) -> DataFrame:
     """Links among lines that share a key (key, h); every pair of a key within t edits ends up in one component, if not as a link."""
     links, label = None, None
 
@@ -319,8 +323,67 @@ def common_links(common: DataFrame, texts: DataFrame, t: int, least: int) -> Dat
             break
         links = more if links is None else stored(links.unionByName(more))
         label = components(links)
-    blocks = block_links(stored(by_component()), texts, t)
-    return blocks if links is None else links.unionByName(blocks)
+    placed = stored(by_component())
+    narrow, rest = refined(placed, texts, t) if refine else (None, placed)
+    found = [block_links(rest, texts, t)] + ([links] if links is not None else [])
+    if narrow is not None and not narrow.isEmpty():
+        size = narrow.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("c").alias("parts")).where("parts > 1")
+        few = narrow.join(size.where(F.col("n") <= FEW).select("key"), "key", "left_semi")
+        one, other = few.toDF("key", "a", "ca"), few.toDF("key", "b", "cb")
+        pairs = stored(one.join(other, "key").where("a < b and ca <> cb").select("a", "b").distinct())
+        found.append(verified(pairs, texts, t, least))
+        many = stored(narrow.join(size.where(F.col("n") > FEW).select("key"), "key", "left_semi").select("key", "h"))
+        if not many.isEmpty():
+            more = common_links(many, texts, t, least, refine=False)
+            found += [more] if more is not None else []
+    return reduce(DataFrame.unionByName, found)
+
+
+def _ends_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, h, c, text and how many characters a line shares with ``lead`` from its start and from its end."""
+    for batch in batches:
+        head, tail = [], []
+        for x, y in zip(batch.column("text").to_pylist(), batch.column("lead").to_pylist(), strict=True):
+            head.append(len(os.path.commonprefix([x, y])))
+            tail.append(len(os.path.commonprefix([x[::-1], y[::-1]])))
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "h", "c", "text")], pa.array(head, pa.int32()), pa.array(tail, pa.int32())], ["key", "h", "c", "text", "head", "tail"])
+
+
+def shortened(x: str, t: int) -> set[str]:
+    """A string with up to t characters left out, in all ways."""
+    out = last = {x}
+    for _ in range(t):
+        last = {y[:i] + y[i + 1 :] for y in last for i in range(len(y))}
+        out = out | last
+    return out
+
+
+def _variants(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            rows = [(k, h, c, v) for k, h, c, x in zip(*(part.column(n).to_pylist() for n in ("key", "h", "c", "middle")), strict=True) for v in shortened(x, t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["key", "h", "c", "v"])
+
+
+def refined(placed: DataFrame, texts: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """(finer keys: key, h, c; what is left as it was) of lines of a common key in several components.
+
+    Where all lines of a key start and end alike and differ in a short middle only (a sentence with a counter),
+    lines within t edits have middles within t edits, and those become equal by leaving out up to t characters of each.
+    So a line's new keys are its shortened middles, which few lines share.
+    """
+    per = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("c").alias("parts"), F.min("h").alias("first")).where("parts > 1")
+    lead = per.join(texts.toDF("first", "lead"), "first").select("key", "n", "lead")
+    met = salted_join(placed, lead, ["key"], "h").join(texts, "h").select("key", "h", "c", "text", "lead")
+    shared = stored(met.mapInArrow(_ends_shared, "key long, h long, c long, text string, head int, tail int"))
+    size = F.length("text")
+    key = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("head").alias("p"), F.min("tail").alias("s"), F.min(size).alias("low"), F.max(size).alias("high"))
+    key = stored(key.withColumn("s", F.least("s", F.col("low") - F.col("p"))).withColumn("narrow", F.col("high") - F.col("p") - F.col("s") <= MIDDLE))
+    middle = F.substring("text", F.col("p") + 1, F.length("text") - F.col("p") - F.col("s"))
+    short = salted_join(shared, key.where("narrow").select("key", "n", "p", "s"), ["key"], "h").select("key", "h", "c", middle.alias("middle"))
+    fine = short.mapInArrow(partial(_variants, t=t), "key long, h long, c long, v string").select(F.xxhash64("key", "v").alias("key"), "h", "c").distinct()
+    return stored(fine), stored(placed.join(key.where("not narrow").select("key"), "key", "left_semi"))
 
 
 def block_links(placed: DataFrame, texts: DataFrame, t: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -531,3 +532,37 @@ def test_line_join_of_lines_that_share_a_hash(spark):
     assert of(line_join.dedup_lines(docs)) == want
     for bits in (2, 1):
         assert of(line_join.dedup_lines(docs, bits=bits)) == want
+
+
+def test_line_join_of_counters(spark, monkeypatch):
+    """One sentence with a random number a line: links are found by shortened middles, and no block of lines is compared with another."""
+    rnd = random.Random(8)
+    n = 1200
+    lines = [f"the meter in the cellar of the old house on the hill showed {rnd.randrange(10**6):06d} units in the evening" for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(8)
+    blocks = spark.sparkContext.accumulator(0)
+
+    def counted(block, t, keep=line_join._verify_blocks):
+        blocks.add(1)
+        return keep(block, t)
+
+    monkeypatch.setattr(line_join, "_verify_blocks", counted)
+    drop = {r["doc_id"] for r in line_join.dedup_lines(docs).collect()}
+    number = [x[60:66] for x in lines]
+    by: dict[str, list[int]] = defaultdict(list)
+    for i, x in enumerate(number):
+        for v in line_join.shortened(x, 2):
+            by[v].append(i)
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for group in by.values():
+        for i, j in combinations(group, 2):
+            if top(i) != top(j) and line_join.edit_distance(number[i], number[j], 2) <= 2:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert drop == {i for i in range(n) if top(i) != i} and blocks.value == 0

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import PROXY, STATIONS, Settings
-from .functions.numbers import shown
 from .operators import matrix
 from .plans import forecast
 from .session import get_spark
@@ -54,7 +53,7 @@ def validate(i: forecast.Inputs, s: Settings, out: Path, tell) -> None:
         "experiment": "state-space", "date": dt.datetime.now().astimezone().isoformat(timespec="minutes"), "status": "scored", "compared_to": None,
         "results": {"overall": overall, "validation": scores, "fit_diagnostics": info}, "config": s.model(),
     }), encoding="utf-8")
-    tell("result", f"combined_nrmse {shown(overall['combined_nrmse'])}")
+    tell("result", f"combined_nrmse {overall['combined_nrmse']:.4f}")
     tell("file", sinks.relative(file, out))
     for window, *_ in s.windows:
         write(r["full"], days.where(F.col("cv_window") == window), out / f"validation_{window}.tsv", out, tell)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from odweave.config import PROXY, Box, Settings
 from odweave.functions.columns import in_box
-from odweave.functions.numbers import round_floats, shown
 from odweave.operators import estimation, external, matrix, scoring
 from odweave.sources import od_text, sinks, tables
 
@@ -111,8 +110,8 @@ def test_aligned(spark):
 
 
 def test_numbers():
-    assert round_floats({"a": 0.0000004567891, "b": [0.1234565, 3]}) == {"a": 4.56789e-07, "b": [round(0.1234565, 6), 3]}
-    assert (shown(1.0), shown(3)) == ("1.0000", "3")
+    written = json.loads(sinks.metrics_text({"a": 0.0000004567891, "b": [0.1234565, 3, None], "c": {"d": 0.0, "e": (1e20, -2.5)}}))
+    assert written == {"a": 4.56789e-07, "b": [round(0.1234565, 6), 3, None], "c": {"d": 0.0, "e": [1e20, -2.5]}}
 
 
 def test_outputs(tmp_path):

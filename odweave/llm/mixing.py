@@ -12,7 +12,7 @@ lies in as many tasks as there are shards.
 A source whose target exceeds its size is first taken whole as often as it fits;
 the draw settles the rest. Texts are counted whole, however long, block by block. Null sources are a source of their own, last in
 order. Null or blank texts have size 0 and take 0. A corpus without words takes
-nothing. Repeated rows are separate documents. All draws are hashes of the seed
+nothing. Repeated rows, and rows without a doc_id, are separate documents. All draws are hashes of the seed
 and the place, so reruns agree whatever the partitioning.
 """
 

@@ -7,7 +7,7 @@ it passes the plain rules and its score reaches a fixed threshold; nothing is
 drawn at random, so a rerun gives the same rows.
 
 Nulls and empty texts have no words: all counts are 0 and the base rule fails.
-Repeated rows are scored one by one. Columns of the input beside the named ones
+Texts are read whole, a very long one in one task. Repeated rows are scored one by one; a row without a doc_id is trusted by none. Columns of the input beside the named ones
 are not looked at. An empty corpus gives an empty result; without trusted
 documents every ratio is 0, so the plain rules decide alone.
 """

@@ -10,7 +10,8 @@ A rows' text is the only thing that a score is made from. Rows are learned from
 crc32(doc_id as text) mod 5 is not 0: remainder 1 calibrates, 2 to 4 fit. Labels are
 joined on doc_id after the statistics, which are a few numbers a row. A doc_id with
 several labels counts for each; null labels are left out. Null and empty texts are
-scored as texts without words. Without labels every score is 0.5. Repeated rows get
+scored as texts without words, very long ones whole, in one task each. A row without a doc_id meets no label and
+counts as held out. Without labels every score is 0.5. Repeated rows get
 equal scores. An empty table gives no rows.
 """
 

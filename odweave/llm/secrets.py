@@ -6,7 +6,7 @@ and one of ordinary identifiers, both trained from labelled samples, and adds th
 tokens whose mean log-likelihood ratio a character is high.
 
 Spans are in code points, end exclusive. Null and empty texts have none. Texts
-are read whole; repeated rows are scanned one by one; columns of the input beside
+are read whole, however long; repeated rows, and rows without a doc_id, are scanned one by one; columns of the input beside
 doc_id and text are not looked at; an empty table gives an empty result. A text
 without a match costs one pass of each pattern and nothing else.
 """

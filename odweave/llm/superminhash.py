@@ -20,7 +20,7 @@ Null and blank texts have no shingles and link with nothing; ties in the choice
 a leader go to the smaller key; a repeated row joins its twin's component. Rows of one
 doc_id with different texts are linked each by its own text. Rows without a doc_id are
 linked too; a component is named after its smallest doc_id (null if it has none) and
-they are never its kept one. An empty table gives no rows. Other columns of the input
+they are never its kept one. A very long text takes its arrays' memory in one task. An empty table gives no rows. Other columns of the input
 are not looked at.
 """
 

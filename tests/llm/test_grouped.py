@@ -566,3 +566,23 @@ def test_line_join_of_counters(spark, monkeypatch):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     assert drop == {i for i in range(n) if top(i) != i} and blocks.value == 0
+
+
+def test_chaining_equals_all_pairs(spark, sf_dir):
+    """All earlier texts against each later one, by the same chaining and alignment: no document with a passage is missed, nor are its words."""
+    rows = sorted({r["doc_id"]: r["text"] for r in documents(spark, sf_dir, 120).collect()}.items())
+    rows = [(i, t) for i, t in rows if len(t or "") < 40_000]
+    code: dict[str, int] = {}
+    words = [np.array([code.setdefault(w, len(code)) for w in (t or "").translate(ASCII_LOWER).split()], np.uint64) for _, t in rows]
+    words = [chaining.K.mix(w + np.uint64(1)) for w in words]
+    seeds = [set(chaining.runs(w, np.zeros(len(w), np.int64), chaining.SEED_WORDS)[0].tolist()) for w in words]
+    want: dict[int, set[int]] = {}
+    for j, (b, _) in enumerate(rows):
+        for i in range(j):
+            if seeds[i] & seeds[j]:
+                for start, end, *_ in chaining.passages(words[i], words[j]):
+                    want.setdefault(b, set()).update(range(start, end))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_passage_words"] for r in chaining.passage_summary(df, chaining.shared_passages(df)).collect()}
+    assert {i for i, n in got.items() if n} == set(want) and len(want) > 10
+    assert all(n <= len(want.get(i, ())) for i, n in got.items()) and sum(got.values()) >= 0.99 * sum(map(len, want.values()))

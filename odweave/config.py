@@ -61,7 +61,7 @@ class Settings:
         return (self.break_day - self.start).days
 
     def model(self) -> dict[str, object]:
-        """What a metrics file says about the model."""
+        """What a metrics file says about the model. The names of the keys."""
         a = asdict(self)
         return {
             "diagonal_groups": list(self.diagonal_groups), "offdiagonal_groups": list(self.offdiagonal_groups), "incoming_weight": self.incoming_weight,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.columns import finite
 from ..operators import estimation, external, matrix, scoring
+from ..session import slots
 from ..sources.storage import store as stored
 
 COMPONENTS = ("D5", "F-total", "F-share", "R-total", "R-share")
@@ -139,15 +140,13 @@ def fit_components(rows: DataFrame, fits: dict[str, estimation.Fit], cal: DataFr
     """
     days = cal.select("t", "weekday", "year_end").orderBy("t").collect()  # the calendar: a few hundred rows
     design = estimation.calendar_design(np.array([d["weekday"] for d in days]), np.array([d["year_end"] for d in days]))
-    context = rows.sparkSession.sparkContext
-    slots = max(1, context.defaultParallelism // int(context.getConf().get("spark.task.cpus", "1")))
     sizes = {r["component"]: r["n"] for r in rows.where("t = 0").groupBy("component").agg(F.count("*").alias("n")).collect()}  # a row a fit
     first, before = {}, 0
     for name in fits:
         first[name], before = before, before - (-sizes.get(name, 0) // BLOCK_SERIES)
     if not before:
         return rows.sparkSession.createDataFrame([], "component string, sid int, t int, mean double, info string, local array<double>")
-    tasks = min(slots, before)
+    tasks = min(slots(rows.sparkSession), before)
     number = F.create_map(*[F.lit(x) for pair in first.items() for x in pair])[F.col("component")] + F.floor(F.col("sid") / BLOCK_SERIES).cast("int")
     dealt = rows.withColumn("block", number).withColumn("task", (F.col("block") % tasks).cast("int")).repartitionById(tasks, "task").drop("task")
     fitted_ = dealt.sortWithinPartitions("component", "block", "sid", "t").mapInArrow(

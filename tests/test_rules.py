@@ -238,6 +238,12 @@ def test_fits_in_blocks_equal_plain_version(spark, monkeypatch, series):
         assert all((of[i, 0]["local"] is not None) == bool(active[i]) for i in range(7)) and np.allclose(info["local_mean"], np.mean([of[i, 0]["local"] for i in range(6)], 0))
 
 
+def test_slots(spark):
+    from odweave.session import slots
+
+    assert 1 <= slots(spark) <= spark.sparkContext.defaultParallelism
+
+
 def test_no_rows_no_fit(spark):
     from odweave.plans import forecast
 

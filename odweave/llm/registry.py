@@ -24,7 +24,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.secrets(table(spark, sf_dir, "documents"))
+    docs, good = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    found = secrets.secrets(docs, secrets.labelled_samples(spark).unionByName(secrets.trusted_samples(docs, good)))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans")
 
 

@@ -11,6 +11,8 @@ from collections import Counter
 import numpy as np
 from tests.llm.helpers import documents, texts
 
+from pyspark.sql import functions as F
+
 from odweave.llm import decontam, quality_llr, quality_rff, secrets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +80,38 @@ def test_markov_ratio_on_unseen_strings(spark):
     assert sum(got[i]["n_markov"] > 0 for i in range(200, 400)) <= 2
 
 
+def test_markov_ratio_decides_alone(spark, sf_dir):
+    """Keys of several alphabets, letters alone among them, from 16 characters on; tokens of the documents are left alone."""
+    rnd = random.Random(29)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    samples = secrets.labelled_samples(spark).unionByName(secrets.trusted_samples(docs, labels.where("quality = 1"))).cache()
+    assert samples.where("is_random").count() == secrets.SAMPLES < samples.where("not is_random").count()
+    rows, of = [], {}
+    for least, alphabet, n in ((0.95, low + up + digits + "+/", 16), (0.95, low + up, 16), (0.9, up + digits, 16), (0.9, low + digits, 16), (0.9, low, 16), (0.95, low, 26), (0.95, up + digits, 20)):
+        of[len(of)] = least
+        rows += [(1000 * (len(of) - 1) + i, "the key " + "".join(rnd.choice(alphabet) for _ in range(n)) + " is here") for i in range(200)]
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string"), samples).where("n_markov = 1 or n_access = 1").collect()
+    found = Counter(r["doc_id"] // 1000 for r in got)
+    assert all(found[k] >= least * 200 for k, least in of.items()), found
+    plain = secrets.secrets(docs, samples).agg(F.sum("n_markov"), F.sum(F.expr("size(base)"))).first()
+    tokens = docs.select(F.sum(F.size(F.regexp_extract_all("text", F.lit(secrets.TOKEN), F.lit(0))))).first()[0]
+    assert plain[0] <= 1e-3 * tokens
+
+
+def test_secrets_of_a_long_text(spark):
+    """Places hold over many folds of matches, and an empty list of trusted documents leaves the made samples."""
+    hexes, n = "0123456789abcdef" * 2, 3 * secrets.FOLD + 5
+    text = "é" + f"{hexes} é " * n + 'token: "abcdefgh"'
+    docs = spark.createDataFrame([(1, text), (2, hexes * 20_000), (None, hexes), (3, None)], "doc_id long, text string")
+    samples = secrets.labelled_samples(spark, 500)
+    assert secrets.trusted_samples(docs, docs.limit(0)).isEmpty()
+    got = {r["doc_id"]: r for r in secrets.secrets(docs, samples).collect()}
+    assert [tuple(x) for x in got[1]["base"]] == [(1 + 35 * i, 2, 33 + 35 * i) for i in range(n)] + [(1 + 35 * n, 0, len(text) - 1)]
+    assert got[1]["added"] == [] and [tuple(x) for x in got[2]["base"]] == [(0, 2, 640_000)]
+    assert got[None]["spans"] == "hex:0:32" and got[3]["spans"] == ""
+
+
 def within(item: str, text: str, e: int) -> bool:
     """Whether some stretch of the text is within e edits of the item, column by column."""
     row = np.arange(len(item) + 1)

@@ -130,7 +130,9 @@ def test_secrets(spark, sf_dir):
     want = {}
     for i, t in texts(docs):
         want[i] = base_spans(t or "")
-    found = secrets.secrets(docs).collect()
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    samples = secrets.labelled_samples(spark).unionByName(secrets.trusted_samples(docs, trusted)).cache()
+    found = secrets.secrets(docs, samples).collect()
     assert len(found) == docs.count()
     for r in found:
         b = want[r["doc_id"]]
@@ -141,7 +143,21 @@ def test_secrets(spark, sf_dir):
     by_id = {r["doc_id"]: r["spans"] for r in found}
     key = next(i for i, t, *_ in awkward() if t and t.startswith("key 9fK2"))
     assert by_id[key] == "markov:4:36"  # the random key, not the identifier
-    assert sum(r["n_markov"] for r in found) == 1
+    # What the ratio adds, token by token: the models counted again from the samples.
+    code, table = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}, np.full((2, secrets.CLASSES, secrets.CLASSES), 0.5)
+    for r in samples.collect():
+        for x, y in zip(r["text"], r["text"][1:]):
+            table[int(r["is_random"]), code.get(x, 0), code.get(y, 0)] += 1
+    log = np.log(table / table.sum(2, keepdims=True))
+    added = {}
+    for i, t in texts(docs):
+        added[i] = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{8,}", t or ""):
+            ratio = sum(log[1, code[x], code[y]] - log[0, code[x], code[y]] for x, y in zip(m[0], m[0][1:]))
+            if ratio >= max(14, 0.5 * (len(m[0]) - 1)) and not any(s < m.end() and m.start() < e for s, _, e in want[i]):
+                added[i].append((m.start(), 3, m.end()))
+    assert all([tuple(x) for x in r["added"]] == added[r["doc_id"]] for r in found)
+    assert sum(r["n_markov"] for r in found) == sum(len(added[r["doc_id"]]) for r in found) > 1
     assert secrets.secrets(docs.limit(0)).count() == 0
 
 

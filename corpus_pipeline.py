@@ -3,7 +3,9 @@
 Every stage reads what the one before has kept, and its decisions hold: documents
 that fail the quality rules go; lines that an earlier document has too go, and with
 them documents without a word left; one document of each group of near copies stays;
-documents that hold a benchmark item go; of the rest the mix takes so many words.
+documents that hold a benchmark item go; of the rest the mix takes so many words
+of each text. A row that the mix takes nothing of is left out of the result. The
+input has the columns of documents (doc_id, text, lang, source, n_chars).
 """
 
 from __future__ import annotations
@@ -52,11 +54,15 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows, _ = mixing.mix(docs)
     # A row meets its own draw: equal rows by their number, as mix() tells them apart.
     key = ["doc_id", "source", "_h"]
-    narrow = docs.select("doc_id", "lang", "source", "n_chars", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    own = [F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), F.xxhash64("doc_id", F.col("doc_id").isNull(), "source", F.col("source").isNull()).alias("_k")]
+    narrow = docs.select("doc_id", "lang", "source", "n_chars", *own)
     narrow = narrow.withColumn("_twin", F.row_number().over(Window.partitionBy(*key).orderBy("lang", "n_chars")))
     taken = rows.where("taken > 0").select(*[F.col(c).alias(f"_k{c}") for c in [*key, "_twin"]], "size", "source_size", "target", "taken")
     same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in [*key, "_twin"]])
-    return narrow.join(taken, same).select("doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
+    # Texts move once: both hashes are the key of their grouping (equal rows have one text) and of the join.
+    texts = docs.select(*own, "text").where("text is not null").groupBy("_h", "_k").agg(F.first("text").alias("text"))
+    mixed = narrow.join(taken, same).select("_h", "_k", "doc_id", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
+    return mixed.join(texts, ["_h", "_k"]).select("doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken")
 
 
 STAGES = [

@@ -64,12 +64,14 @@ def test_stages(spark, sf_dir):
 
     five = rows(stage["source_mixing"](spark, four, sf_dir))
     sizes, taken = defaultdict(int), defaultdict(int)
-    for r in rows(four).values():
+    left = rows(four)
+    for r in left.values():
         sizes[r["source"]] += len(WORD.findall(r["text"]))
     want = waterfill(dict(sizes))
     for r in five.values():
         taken[r["source"]] += r["taken"]
         assert 0 < r["taken"] <= 2 * r["size"]
+        assert r["text"] == left[r["doc_id"]]["text"] and r["size"] == len(WORD.findall(r["text"]))
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
 
 
@@ -96,6 +98,8 @@ def test_stages_with_repeated_rows_and_long_texts(spark, sf_dir):
         taken[r["source"]] += r["taken"]
     want = waterfill(dict(sizes))
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    texts = {(r["doc_id"], r["source"], r["text"]) for r in docs.collect()}
+    assert all((r["doc_id"], r["source"], r["text"]) in texts and r["size"] == len(WORD.findall(r["text"])) for r in mixed)
     assert sum(r["doc_id"] == 10006 for r in mixed) <= 2 and sum(r["doc_id"] is None for r in mixed) <= 3
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import awkward, documents, texts
 
 from odweave.llm import chat, mixing, quality_llr, secrets
+from odweave.llm.common import words_column
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,6 +63,12 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.loss_spans(chat.format_turns(df.limit(0)))).count() == 0
 
 
+def test_words_at_the_ends_of_a_text(spark):
+    texts = ["f", "of", "ff of fluff", "fabf", "\x0cab cd\x0c", "\x0c \x0b", "\x20\x09\x0a\x0b\x0c\x0d", "ntrb0u ntrb0u", "\\f\\", "\xa0f\xa0", "\x1ff\x1f", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", F.expr(words_column()).alias("w"))
+    assert {r["i"]: r["w"] for r in df.collect()} == {i: WORD.findall(t or "") for i, t in enumerate(texts)}
+
+
 def repeated(words):
     tri = Counter(zip(words, words[1:], words[2:]))
     hit = set()

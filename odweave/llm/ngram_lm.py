@@ -175,16 +175,37 @@ def grams(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int)
     return out
 
 
-def _arrays(row: dict, order: int) -> tuple[list[Grams], np.ndarray, np.ndarray]:
-    """The n-grams of a block, the sizes of its documents, and which tokens are to be learned."""
-    sizes = np.array(row["sizes"], np.int64)
-    g = grams(unpack_keys(row["words"]), unpack(row["tokens"]).astype(np.int64), sizes, order)
-    return g, sizes, np.repeat(~np.array(row["held"], bool), sizes)
+class Places(NamedTuple):
+    """What a block asks for at a level: sorted distinct keys (its n-grams, and below the top also the context that begins a text), and by token the place of its n-gram and of its context in the level above."""
+
+    keys: np.ndarray
+    own: np.ndarray
+    context: np.ndarray
+
 
+def places(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[Places]:
+    """The levels of a block. Tokens are looked up by the place of their word or by one sort a level, never one by one."""
+    g = grams(words, tokens, sizes, order)
+    begin = np.cumsum(sizes) - sizes
+    out = []
+    for k in range(1, order + 1):
+        below = k < order and len(tokens)
+        each = words if k == 1 else g[k - 1].key
+        keys, at = np.unique(np.append(each, g[k].context[begin[0]]) if below else each, return_inverse=True)
+        own = at[tokens] if k == 1 else at[: len(tokens)]
+        context = np.zeros(0, np.int64)
+        if below:
+            context = np.roll(own, 1)
+            context[begin] = at[-1]
+        out.append(Places(keys, own, context))
+    return out
 
-def _keys(g: list[Grams], k: int, order: int) -> np.ndarray:
-    """The distinct keys that a block asks for at a level: its n-grams, and below the top also the contexts that begin a text."""
-    return np.unique(g[k - 1].key if k == order else np.concatenate([g[k - 1].key, g[k].context]))
+
+def _arrays(row: dict, order: int) -> tuple[list[Places], np.ndarray, np.ndarray]:
+    """The levels of a block, the sizes of its documents, and which tokens are to be learned."""
+    sizes = np.array(row["sizes"], np.int64)
+    p = places(unpack_keys(row["words"]), unpack(row["tokens"]).astype(np.int64), sizes, order)
+    return p, sizes, np.repeat(~np.array(row["held"], bool), sizes)
 
 
 def _slices(block: int, keys: np.ndarray, vals: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -201,8 +222,8 @@ def _top(batches: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[p
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            g, _, learn = _arrays(row, order)
-            keys, at = np.unique(g[-1].key, return_inverse=True)
+            levels, _, learn = _arrays(row, order)
+            keys, at, _ = levels[-1]
             vals = [np.bincount(at, weights=learn, minlength=len(keys))]
             yield _slices(row["block"], keys, vals if order > 1 else [*vals, *[np.zeros(len(keys))] * 4, *vals], bits)
 
@@ -219,20 +240,19 @@ def _lower(left: pa.Table, right: pa.Table, k: int, order: int, bits: int) -> pa
     if not left.num_rows:
         return pa.Table.from_batches([_slices(0, np.zeros(0, U), [], 0)]).slice(0, 0)
     row = left.to_pylist()[0]
-    g, _, learn = _arrays(row, order)
-    keys = _keys(g, k, order)
-    above = _keys(g, k + 1, order)
+    levels, _, learn = _arrays(row, order)
+    (keys, own, before), above = levels[k - 1], levels[k]
     (count, *_), owned = _together(right)
     # One token for each n-gram of the level above; the contexts that begin a text end in no token and own nothing.
-    token = np.zeros(len(above), np.int64)
-    token[np.searchsorted(above, g[k].key)] = np.arange(len(g[k].key))
+    token = np.zeros(len(above.keys), np.int64)
+    token[above.own] = np.arange(len(above.own))
     count, token = count[owned], token[owned]
     n = len(keys)
-    suffix, context = np.searchsorted(keys, g[k - 1].key[token]), np.searchsorted(keys, g[k].context[token])
+    suffix, context = own[token], before[token]
     vals = [np.bincount(suffix, minlength=n), np.bincount(context, weights=count, minlength=n)]
     vals += [np.bincount(context[least], minlength=n) for least in (count == 1, count == 2, count >= 3)]
     if k == 1:
-        vals.append(np.bincount(np.searchsorted(keys, g[0].key), weights=learn, minlength=n))
+        vals.append(np.bincount(own, weights=learn, minlength=n))
     return pa.Table.from_batches([_slices(row["block"], keys, vals, bits)])
 
 
@@ -300,13 +320,12 @@ def _score(left: pa.Table, right: pa.Table, order: int, cut: list[np.ndarray], l
     share, total, types, trained = lowest
     if left.num_rows:
         row = left.to_pylist()[0]
-        g, sizes, _ = _arrays(row, order)
+        levels, sizes, _ = _arrays(row, order)
         ids, held, begin = row["ids"], row["held"], np.cumsum(sizes) - sizes
         p, context = np.zeros(0), None
         for k in range(1, order + 1):
             vals, _ = _together(right.filter(pc.equal(right["level"], k)))
-            keys = _keys(g, k, order)
-            at = np.searchsorted(keys, g[k - 1].key)
+            _, at, here = levels[k - 1]
             count = vals[0][at]
             rest = np.maximum(count - cut[k - 1][np.minimum(count, 3)], 0)
             if k == 1:
@@ -316,7 +335,6 @@ def _score(left: pa.Table, right: pa.Table, order: int, cut: list[np.ndarray], l
                 free = context[1] * cut[k - 1][1] + context[2] * cut[k - 1][2] + context[3] * cut[k - 1][3]
                 p = np.where(context[0] > 0, (rest + free * p) / np.maximum(context[0], 1), p)
             if k < order:
-                here = np.searchsorted(keys, g[k].context)
                 context = [v[here] for v in vals[1:5]]
         n = sizes
         known = np.add.reduceat((c > 0).astype(np.int64), begin)

@@ -104,6 +104,19 @@ def test_language_model_of_nothing(docs):
     assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in unlearned) == [(1, 0, 0, 0.0, 0.0), (9, 0, 0, 0.0, 0.0)]
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_places_of_a_block(order):
+    """Each token's n-gram and context stand at the places that are told, as a search for each of them finds."""
+    rnd = np.random.default_rng(order)
+    sizes = np.array([5, 1, 300, 2, 1])
+    words, tokens = np.unique(rnd.integers(0, 1 << 63, 40).astype(np.uint64))[::-1], rnd.permutation(np.append(np.arange(40), rnd.integers(0, 40, sizes.sum() - 40)))
+    g = ngram_lm.grams(words, tokens, sizes, order)
+    for k, (keys, own, context) in enumerate(ngram_lm.places(words, tokens, sizes, order), 1):
+        above = g[k].context if k < order else g[0].context
+        assert (keys == np.unique(np.concatenate([g[k - 1].key, above]))).all()
+        assert (own == np.searchsorted(keys, g[k - 1].key)).all() and (context == np.searchsorted(keys, above)).all()
+
+
 def test_packed_arrays():
     for a in ([], [0], [255, 256, 0], [1 << 63, (1 << 64) - 1, 5]):
         x = np.array(a, np.uint64)

@@ -12,7 +12,8 @@ edit distance. Equal lines are one node throughout, so a line that stands in a t
 of all documents costs one row.
 
 Keys and line hashes travel as packed arrays, one row for a bucket and batch. A key
-that very many lines share is not paired in its bucket. Its lines are first compared
+that many lines share, so that it has more than LINE_PAIRS pairs a line, is not paired
+in its bucket: what a bucket gives grows with its lines. They are first compared
 with one of them, the most central one, as long as such rounds link anything: a
 family around one line costs a comparison each. What is linked need not be compared
 again. Of the lines left apart those of a key whose lines differ in a short middle only meet by their
@@ -46,8 +47,8 @@ from .graph import components
 
 U = K.U
 THRESHOLD, MIN_LINE = 2, 40
-#: Pairs of one key that its bucket lists itself; beyond, the key's lines are compared in blocks of BLOCK.
-BUCKET_PAIRS, BLOCK = 4096, 512
+#: Pairs of one key that its bucket lists itself, in all and for each of its lines; beyond either, the key's lines meet their leaders, then in blocks of BLOCK.
+BUCKET_PAIRS, LINE_PAIRS, BLOCK = 4096, 4, 512
 #: Keys that are packed at once.
 PACK_KEYS = 1 << 20
 #: Rounds in which lines of a common key are compared with one of them.
@@ -231,7 +232,7 @@ def _match(bucket: pa.Table, most: int) -> pa.Table:
     a, b, k = [], [], []
     for g in live:
         index, looks = h[cut[g] : cut[g] + n_index[g]], h[cut[g] + n_index[g] : end[g]]
-        if len(index) * len(looks) <= most:
+        if len(index) * len(looks) <= min(most, LINE_PAIRS * (len(index) + len(looks))):
             x, y = np.repeat(index, len(looks)), np.tile(looks, len(index))
             no = x != y
             a.append(np.minimum(x, y)[no])

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm.helpers import documents, texts
 
@@ -519,6 +520,17 @@ def test_chaining_tells_rows_of_one_doc_id_apart(spark):
         assert {s for r in got for s in r["sources"]} <= {1, 2, None} and all(2 in r["sources"] for r in got if r["doc_id"] not in (2, 3))
 
 
+def test_bucket_rows_grow_with_lines():
+    """Lines that all share a key leave their bucket as so many rows, not as all their pairs, and none is left out."""
+    for n in (3, 8, 20, 60, 300):
+        h = np.arange(1, n + 1)
+        bucket = pa.table({"keys": [np.append(np.full(n, 8), np.full(n, 9)).astype("<u8").tobytes()], "lines": [np.append(h, h).tobytes()]})
+        found = line_join._match(bucket, line_join.BUCKET_PAIRS).to_pylist()
+        assert len(found) <= line_join.LINE_PAIRS * 2 * n
+        assert {x for r in found for x in (r["a"], r["b"]) if x is not None} == set(h.tolist())
+        assert len(found) == n * (n - 1) // 2 or all(r["key"] == 4 and r["b"] is None for r in found) and len(found) == n
+
+
 def test_line_join_of_lines_that_share_a_hash(spark):
     """With the first hash cut to two bits lines of all kinds share it: the second one keeps them apart, and links are the same."""
     rnd = random.Random(3)

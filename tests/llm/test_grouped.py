@@ -446,6 +446,19 @@ def test_windows_reach_out_of_a_run():
     assert chaining.beyond(at(60, 120), 130, 16, 50).tolist() == [*range(26, 60), *range(71, 81)]
 
 
+def test_hashes_of_windows():
+    """A window has the same hash wherever its words stand, and another one if a word differs or two change places."""
+    rnd = np.random.default_rng(9)
+    part, other = rnd.integers(1, 1 << 63, 50).astype(np.uint64), rnd.integers(1, 1 << 63, 400).astype(np.uint64)
+    changed, turned = part.copy(), part.copy()
+    changed[31] += np.uint64(1)
+    turned[[7, 8]] = part[[8, 7]]
+    h = np.concatenate([part, other[:77], part, changed, other[77:], turned, part])
+    hashes = chaining.windows(h, np.arange(len(h) - 49), 50, chaining.summed(h)).tolist()
+    spelled = [tuple(h[i : i + 50].tolist()) for i in range(len(h) - 49)]
+    assert len(set(hashes)) == len(set(spelled)) == len(set(zip(hashes, spelled, strict=True))) < len(h) - 50
+
+
 def test_passage_with_words_replaced(spark):
     docs, want = [], set()
     for every in (5, 6, 7, 8, 10):

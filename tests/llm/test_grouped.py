@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.helpers import documents, texts
 
 from odweave.llm import chaining, decontam, line_join, quality_rff, suffix_dedup, superminhash
+from odweave.llm.common import stored
 from odweave.llm.graph import components
 
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -611,3 +614,15 @@ def test_chaining_equals_all_pairs(spark, sf_dir):
     got = {r["doc_id"]: r["n_passage_words"] for r in chaining.passage_summary(df, chaining.shared_passages(df)).collect()}
     assert {i for i, n in got.items() if n} == set(want) and len(want) > 10
     assert all(n <= len(want.get(i, ())) for i, n in got.items()) and sum(got.values()) >= 0.99 * sum(map(len, want.values()))
+
+
+def test_stored_frames_leave_no_shuffle_files(spark):
+    def held():
+        return int(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size())
+
+    before = held()
+    stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    end = time.time() + 20
+    while held() > before and time.time() < end:
+        time.sleep(0.2)
+    assert held() == before

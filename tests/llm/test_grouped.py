@@ -616,6 +616,27 @@ def test_chaining_equals_all_pairs(spark, sf_dir):
     assert all(n <= len(want.get(i, ())) for i, n in got.items()) and sum(got.values()) >= 0.99 * sum(map(len, want.values()))
 
 
+def test_chaining_of_all_pairs_of_frequent_seeds(spark, monkeypatch):
+    """Asked for all pairs of frequent seeds, chaining finds the passages of every two texts of a family, over several blocks of a seed."""
+    monkeypatch.setattr(chaining, "BLOCK", 8)
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(60_000):05d}"
+    copies = [[word() for _ in range(60)]]
+    for _ in range(1, 40):
+        x = list(rnd.choice(copies))
+        for j in range(rnd.randrange(12), 60, 12):
+            x[j] = word()
+        copies.append(x)
+    hashed = {w: chaining.K.mix(np.array([i + 1], np.uint64))[0] for i, w in enumerate(sorted({w for x in copies for w in x}))}
+    arrays = [np.array([hashed[w] for w in x], np.uint64) for x in copies]
+    want = {(i, j): sum(p[1] - p[0] for p in chaining.passages(arrays[i], arrays[j])) for j in range(40) for i in range(j)}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(copies)], "doc_id long, text string").repartition(4)
+    pairs = lambda **k: {(r["a"], r["b"]): r["n"] for r in chaining.shared_passages(df, **k).groupBy("a", "b").agg(F.sum(F.expr("end - start")).alias("n")).collect()}
+    got = pairs(exact=True)
+    assert got == {p: n for p, n in want.items() if n} and 100 < len(got)
+    assert got.keys() > pairs().keys()
+
+
 def test_stored_frames_leave_no_shuffle_files(spark):
     def held():
         return int(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size())

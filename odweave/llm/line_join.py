@@ -49,8 +49,8 @@ U = K.U
 THRESHOLD, MIN_LINE = 2, 40
 #: Pairs of one key that its bucket lists itself, in all and for each of its lines; beyond either, the key's lines meet their leaders, then in blocks of BLOCK.
 BUCKET_PAIRS, LINE_PAIRS, BLOCK = 4096, 4, 512
-#: Keys that are packed at once.
-PACK_KEYS = 1 << 20
+#: Keys that are packed at once; sorted and packed they take some hundred bytes each of a worker.
+PACK_KEYS = 1 << 18
 #: Rounds in which lines of a common key are compared with one of them.
 LEADER_ROUNDS = 3
 #: Characters in which all lines of a common key may differ for it to be refined; lines of a refined key that are paired at once.

@@ -637,7 +637,7 @@ def test_chaining_of_all_pairs_of_frequent_seeds(spark, monkeypatch):
     assert got.keys() > pairs().keys()
 
 
-def test_stored_frames_leave_no_shuffle_files(spark):
+def test_stored_frames_leave_no_shuffle_files_and_batches_are_bounded(spark):
     def held():
         return int(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size())
 
@@ -647,3 +647,6 @@ def test_stored_frames_leave_no_shuffle_files(spark):
     while held() > before and time.time() < end:
         time.sleep(0.2)
     assert held() == before
+    count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    rows = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 200).alias("t")).mapInArrow(count, "n long").collect()
+    assert len(rows) > 3 and max(r["n"] for r in rows) < 5 << 20

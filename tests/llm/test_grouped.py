@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -475,6 +476,30 @@ def test_passage_with_words_replaced(spark):
     assert set(found) == want and min(found.values()) >= 50
 
 
+def test_seeds_are_packed_in_bounded_memory():
+    """Two tasks and what they leave behind have to fit beside the JVM's heap: a megabyte of text a pack, a few of a bucket."""
+
+    def most(f):
+        tracemalloc.start()
+        out = f()
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top, out
+
+    rng = random.Random(5)
+    text = [" ".join(f"{rng.randrange(1 << 20):05x}" for _ in range(2000)) for _ in range(700)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(i, i + 50), pa.int64()), "text": text[i : i + 50]}) for i in range(0, 700, 50)]
+    list(chaining._seeds(iter(batches[:2]), 8, 4, 16, 8))  # tables of powers stay
+    top, n = most(lambda: sum(len(x) // 8 for b in chaining._seeds(iter(batches), 200, 4, 16, 8) for x in b.column("fps").to_pylist()))
+    assert n > 1_400_000 and top < 40e6
+    rows = chaining.BUCKET_BYTES // 6
+    fps = (np.arange(rows, dtype=np.uint64) % np.uint64(rows // 3) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(16)) & ~np.uint64(1)
+    docs = np.arange(rows, dtype=np.int64)
+    bucket = pa.table({"fps": [chaining.packed(fps)], "docs": [chaining.packed(docs)], "near": [np.zeros(rows, "<u2").tobytes()]})
+    top, pairs = most(lambda: chaining._shared(bucket, chaining.RARE, 7))
+    assert pairs.num_rows > rows // 2 and top < 150e6
+
+
 def test_common_is_longest():
     rnd = random.Random(4)
     for _ in range(300):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odweave.llm import decontam, line_join, mixing, quality_llr, superminhash
-from odweave.llm.common import noded, stored, table
+from odweave.llm.common import noded, passing, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole = noded(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
-    groups = stored(superminhash.grouped(whole, percent=80))
+    groups = superminhash.grouped(whole, percent=80)
     # Of a group the row with the smallest doc_id stays, rows without one come last; of equal rows, which share a node, one.
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     stays = groups.where("component is not null").groupBy("component").agg(F.min(rank).alias("x")).select("x.node")
@@ -80,7 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over the documents, each one's rows stored before the next reads them."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs)
+        docs = (passing(stage) if i < len(STAGES) - 1 else stage)(spark, docs, sf_dir)
     return docs

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import passing, stored
 
 
+@passing
 def components(edges: DataFrame) -> DataFrame:
     """node, component for every endpoint of ``edges`` (a, b); the component is its smallest node.
 

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import noded, partitions, salted_join, stored
+from .common import noded, partitions, passing, salted_join, stored
 from .graph import components
 
 U = K.U
@@ -455,6 +455,7 @@ def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most
     return lines, kinds, components(links)
 
 
+@passing
 def dedup_lines(docs: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS, bits: int = 64) -> DataFrame:
     """node, doc_id, n_removed, n_fuzzy and drop (ascending numbers of the lines that go), one row a (doc_id, text) with a line to drop.
 

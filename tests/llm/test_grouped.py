@@ -8,6 +8,7 @@ import time
 import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import documents, texts
 
 from odweave.llm import chaining, decontam, line_join, quality_rff, suffix_dedup, superminhash
-from odweave.llm.common import stored
+from odweave.llm.common import noded, passing, stored
 from odweave.llm.graph import components
+from odweave.sources.storage import shared_folder
 
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 SPACES = " \t\n\x0b\f\r"
@@ -675,3 +677,22 @@ def test_stored_frames_leave_no_shuffle_files_and_batches_are_bounded(spark):
     count = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
     rows = spark.range(0, 10_000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 200).alias("t")).mapInArrow(count, "n long").collect()
     assert len(rows) > 3 and max(r["n"] for r in rows) < 5 << 20
+
+
+def test_stored_frames_go_when_their_reader_has_ended(spark, sf_dir):
+    there = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("odweave/frame-*")}
+    docs = noded(documents(spark, sf_dir).select("doc_id", "text"))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    for of in (lambda: components(edges), lambda: line_join.dedup_lines(docs), lambda: superminhash.grouped(docs)):
+        before = there()
+        found = of()
+        assert not found.isEmpty() and len(there() - before) == 1
+
+    @passing
+    def ends_badly():
+        raise ValueError(stored(edges).isEmpty())
+
+    before = there()
+    with pytest.raises(ValueError, match="False"):
+        ends_badly()
+    assert there() == before

@@ -13,7 +13,8 @@ of all documents costs one row.
 
 Keys and line hashes travel as packed arrays, one row for a bucket and batch. A key
 that many lines share, so that it has more than LINE_PAIRS pairs a line, is not paired
-in its bucket: what a bucket gives grows with its lines. They are first compared
+in its bucket: what a bucket gives grows with its lines. Up to WHOLE of them meet in
+one task, where what is linked already is not compared again. More are first compared
 with one of them, the most central one, as long as such rounds link anything: a
 family around one line costs a comparison each. What is linked need not be compared
 again. Of the lines left apart those of a key whose lines differ in a short middle only meet by their
@@ -49,6 +50,8 @@ U = K.U
 THRESHOLD, MIN_LINE = 2, 40
 #: Pairs of one key that its bucket lists itself, in all and for each of its lines; beyond either, the key's lines meet their leaders, then in blocks of BLOCK.
 BUCKET_PAIRS, LINE_PAIRS, BLOCK = 4096, 4, 512
+#: Lines of a common key that are compared in one task, as many as a pair of blocks has; only keys with more take rounds of leaders.
+WHOLE = 2 * BLOCK
 #: Keys that are packed at once; sorted and packed they take some hundred bytes each of a worker.
 PACK_KEYS = 1 << 18
 #: Rounds in which lines of a common key are compared with one of them.
@@ -215,7 +218,7 @@ def _keys(batches: Iterator[pa.RecordBatch], t: int, least: int, buckets: int, b
 
 
 def _match(bucket: pa.Table, most: int) -> pa.Table:
-    """a, b, key: pairs of lines that share an index key (key null), or the lines of a very common key (b null)."""
+    """a, b, key, n: pairs of lines that share an index key (key null), or the lines of a very common key (b null) and their number."""
     key = np.frombuffer(b"".join(x.as_py() for x in bucket.column("keys")), U)
     h = np.frombuffer(b"".join(x.as_py() for x in bucket.column("lines")), np.int64)
     o = np.lexsort((h, key))
@@ -242,11 +245,13 @@ def _match(bucket: pa.Table, most: int) -> pa.Table:
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.int64)
     common = np.concatenate([m for _, m in k]) if k else np.zeros(0, np.int64)
     names = np.concatenate([np.full(len(m), g, np.int64) for g, m in k]) if k else np.zeros(0, np.int64)
+    sizes = np.concatenate([np.full(len(m), len(m), np.int64) for _, m in k]) if k else np.zeros(0, np.int64)
     none = lambda n: pa.nulls(n, pa.int64())
     return pa.table({
         "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.array(common)]),
         "b": pa.concat_arrays([pa.array(pairs[:, 1]), none(len(common))]),
         "key": pa.concat_arrays([none(len(pairs)), pa.array(names)]),
+        "n": pa.concat_arrays([none(len(pairs)), pa.array(sizes)]),
     })
 
 
@@ -279,6 +284,25 @@ def _verify_blocks(block: pa.Table, t: int) -> pa.Table:
     return pa.table({c: pa.array([p[i] for p in out], pa.int64()) for i, c in enumerate("ab")})
 
 
+def _verify_key(block: pa.Table, t: int, least: int, check) -> pa.Table:
+    """Links between the lines of one key that leave the same components as all its pairs within t edits: ``check`` (_verify) gets no lines that are in one already."""
+    h, text = (block.column(c).to_pylist() for c in ("h", "text"))
+    place = {x: i for i, x in enumerate(h)}
+    bags, size, root = np.stack([bag(x) for x in text]).astype(np.int32), np.array([len(x) for x in text]), np.arange(len(text))
+    out: list[tuple[int, int]] = []
+    for i in range(len(text) - 1):
+        other = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (np.abs(size[i + 1 :] - size[i]) <= t))
+        other = other[np.abs(bags[other] - bags[i]).sum(1) <= 2 * t]
+        if not len(other):
+            continue
+        rows = [[h[i]] * len(other), [h[j] for j in other], [text[i]] * len(other), [text[j] for j in other]]
+        for found in check(iter([pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["a", "b", "ta", "tb"])]), t, least):
+            for b in found.column("b").to_pylist():
+                out.append((h[i], b))
+                root[root == root[place[b]]] = root[i]
+    return pa.table({c: pa.array([p[i] for p in out], pa.int64()) for i, c in enumerate("ab")})
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, text of the lines whose number is wanted (column lines, ascending)."""
     for batch in (piece for b in batches for piece in K.pieces(b, b.column("text"))):
@@ -297,6 +321,12 @@ def verified(pairs: DataFrame, texts: DataFrame, t: int, least: int) -> DataFram
     return with_a.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(partial(_verify, t=t, least=least), "a long, b long")
 
 
+def key_links(common: DataFrame, texts: DataFrame, t: int, least: int) -> DataFrame:
+    """Links among the lines of each key (key, h) in one task a key; no key has more than WHOLE of them."""
+    check = _verify
+    return common.select("key", "h").join(texts, "h").groupBy("key").applyInArrow(lambda block: _verify_key(block, t, least, check), "a long, b long")
+
+
 def common_links(common: DataFrame, texts: DataFrame, t: int, least: int, refine: bool = True) -> DataFrame:
     """Links among lines that share a key (key, h); every pair of a key within t edits ends up in one component, if not as a link."""
     links, label = None, None
@@ -422,14 +452,15 @@ def line_kinds(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def told_apart(found: DataFrame, several: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates (a, b) and members of common keys (key, h) of ``_match`` by kinds instead of hashes; kinds of one hash are candidates of each other."""
-    pairs, common = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("h"))
+    """Candidates (a, b) and members of common keys (key, h, the key's number n) of ``_match`` by kinds instead of hashes; kinds of one hash are candidates of each other."""
+    pairs, common = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("h"), "n")
     if not several.isEmpty():
         of = lambda c: several.toDF(f"_{c}", f"_{c}k")
         kind = lambda df, c: df.join(of(c), F.col(c) == F.col(f"_{c}"), "left").withColumn(c, F.coalesce(f"_{c}k", c)).drop(f"_{c}", f"_{c}k")
         same = several.toDF("h", "a").join(several.toDF("h", "b"), "h").where("a < b").select("a", "b")
-        pairs, common = kind(kind(pairs, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same), kind(common, "h")
-    return stored(pairs.distinct()), stored(common.distinct())
+        pairs, common = kind(kind(pairs, "a"), "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same), stored(kind(common, "h").select("key", "h"))
+        common = stored(salted_join(common, common.groupBy("key").agg(F.count("*").alias("n")), ["key"], "h"))
+    return stored(pairs.distinct()), common  # a key's lines come from one bucket, each once
 
 
 def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most: int = BUCKET_PAIRS, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -441,7 +472,7 @@ def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most
     # A bucket's packed arrays are held by one task: their number follows the lines, a few MB each.
     buckets = max(4 * n, -(-lines.count() // 40_000))
     packed = src.select("text").mapInArrow(partial(_keys, t=t, least=least, buckets=buckets, bits=bits), "bucket long, keys binary, lines binary")
-    found = stored(packed.groupBy("bucket").applyInArrow(lambda bucket: _match(bucket, most), "a long, b long, key long"))
+    found = stored(packed.groupBy("bucket").applyInArrow(lambda bucket: _match(bucket, most), "a long, b long, key long, n long"))
     pairs, common = told_apart(found, several)
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(common.select("h")).distinct()
     # One place of each wanted line, gathered by row, so a text is read once.
@@ -449,8 +480,11 @@ def line_classes(src: DataFrame, t: int = THRESHOLD, least: int = MIN_LINE, most
     asked = place.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("line", "k"))).alias("x")).select("node", F.col("x.line").alias("lines"), F.col("x.k").alias("hs"))
     texts = stored(src.select("node", "text").join(asked, "node").mapInArrow(_texts, "h long, text string").groupBy("h").agg(F.min("text").alias("text")))
     links = verified(pairs, texts, t, least)
-    if not common.isEmpty():
-        more = common_links(common, texts, t, least)
+    whole, beyond = common.where(F.col("n") <= WHOLE), common.where(F.col("n") > WHOLE)
+    if not whole.isEmpty():
+        links = links.unionByName(key_links(whole, texts, t, least))
+    if not beyond.isEmpty():
+        more = common_links(beyond.select("key", "h"), texts, t, least)
         links = links if more is None else links.unionByName(more)
     return lines, kinds, components(links)
 

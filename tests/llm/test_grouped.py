@@ -664,6 +664,29 @@ def test_chaining_of_all_pairs_of_frequent_seeds(spark, monkeypatch):
     assert got.keys() > pairs().keys()
 
 
+def test_lines_of_a_key_in_one_task(spark, monkeypatch):
+    """Keys of some hundred lines take no rounds of leaders: one task compares a key's lines, a family costs few comparisons, components are those of all pairs."""
+    rnd = random.Random(4)
+    base = ["".join(rnd.choice("abcdefgh é") for _ in range(56)) for _ in range(3)]
+    head = "the same beginning of every line, and then "
+    lines = sorted({head + edited(rnd, rnd.choice(base), rnd.randint(0, 3)).replace("\n", "") for _ in range(400)})
+    lines = sorted({x.strip() for x in lines} | {f"{head}{rnd.randrange(10**9):09d} of other units and nothing else besides" for _ in range(100)})
+    links = [(a, b) for a, b in combinations(lines, 2) if line_join.edit_distance(a, b, 2) <= 2]
+    label = union(lines, links)
+    monkeypatch.setattr(line_join, "common_links", None)
+    compared, keep = [], line_join.edit_distance
+    monkeypatch.setattr(line_join, "edit_distance", lambda a, b, t: compared.append(1) or keep(a, b, t))
+    block = pa.table({"h": list(range(len(lines))), "text": lines})
+    found = line_join._verify_key(block, 2, 40, line_join._verify).to_pylist()
+    got = union(lines, [(lines[r["a"]], lines[r["b"]]) for r in found])
+    same = lambda of: len({(label[x], of[x]) for x in lines}) == len(set(label.values())) == len(set(of.values()))
+    assert same(got) and len(found) < 2 * len(lines) and 20 * len(compared) < len(lines) ** 2
+    assert line_join._verify_key(block, 2, 200, line_join._verify).num_rows == 0
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    first = {label[x]: i for i, x in reversed(list(enumerate(lines)))}
+    assert {r["doc_id"] for r in line_join.dedup_lines(docs).collect()} == {i for i, x in enumerate(lines) if first[label[x]] != i}
+
+
 def test_stored_frames_leave_no_shuffle_files_and_batches_are_bounded(spark):
     def held():
         return int(spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size())
